@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, textops, token_counts, wavelet
+from . import chat, packing, textops, token_counts, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,13 +41,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(fold != 0))
+    return toxicity.score(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = wavelet.write_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), f"{textops.shared_dir(spark)}/ids")
     return wavelet.read_ids(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op5_chat_formatting, op6_packing, op10_wavelet_ids)}
+    return {f.__name__: f for f in (op2_token_counts, op5_chat_formatting, op6_packing, op7_toxicity, op10_wavelet_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
