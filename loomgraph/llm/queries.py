@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, textops, token_counts, toxicity, wavelet
+from . import chat, packing, pii, textops, token_counts, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,13 +48,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    base, every = pii.digest(F.col("pii")), pii.digest(F.concat("pii", "terms"))
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(base.cast("binary"), 256).alias("base_sha256"), every.alias("spans"))
+
+
 def op10_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = wavelet.write_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), f"{textops.shared_dir(spark)}/ids")
     return wavelet.read_ids(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op5_chat_formatting, op6_packing, op7_toxicity, op10_wavelet_ids)}
+    return {f.__name__: f for f in (op2_token_counts, op5_chat_formatting, op6_packing, op7_toxicity, op9_pii, op10_wavelet_ids)}
 
 
 def oracle_sql() -> dict[str, str]:

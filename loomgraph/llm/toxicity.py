@@ -53,7 +53,7 @@ def _dictionaries(toxic: list[str], ordinary: list[str], most: int) -> tuple[byt
     a, b = _neighbours(toxic), _neighbours(ordinary)
     ratio = max(1, sum(a.values())) / max(1, sum(b.values()))
     least = max(3, 0.01 * len(toxic))
-    marked = [(n, w) for w, n in a.items() if n >= least and n - 1.9 * math.sqrt(n) > 3 * ((m := b[w] * ratio) + 2 * math.sqrt(m))]
+    marked = [(n, w) for w, n in a.items() if n >= least and n - 2 * math.sqrt(n) > 3 * ((m := b[w] * ratio) + 2 * math.sqrt(m))]
     common = [(n, w) for w, n in b.items() if w and len(w) <= 20 and not a[w] > 3 * n * ratio]
 
     def content(pairs: list[tuple[int, str]]) -> bytes:
