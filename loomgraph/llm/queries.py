@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, pii, textops, token_counts, toxicity, wavelet
+from . import chat, packing, pii, textops, token_counts, toxicity, vamana, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return vamana.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -61,7 +66,7 @@ def op10_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op5_chat_formatting, op6_packing, op7_toxicity, op9_pii, op10_wavelet_ids)}
+    return {f.__name__: f for f in (op2_token_counts, op5_chat_formatting, op6_packing, op7_toxicity, op8_nearest, op9_pii, op10_wavelet_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
