@@ -35,22 +35,28 @@ def _words(text: str) -> list[str]:
     return text.lower().split()
 
 
-def _neighbours(texts: list[str]) -> Counter:
-    """For each word the number of distinct words before it: copies of a text don't add to it."""
+def _spread(texts: list[str]) -> Counter:
+    """For each word the texts that have it or the distinct words before it, whichever are fewer.
+
+    Neither copies of a text nor repeats within one add to it.
+    """
     seen: dict[str, set[str]] = {}
+    within: Counter = Counter()
     for t in texts:
-        before = ""
+        before, own = "", set()
         for w in _words(t):
             w = w.strip(_STRIP)
             if len(w) <= 32:
                 seen.setdefault(w, set()).add(before)
+                own.add(w)
             before = w
-    return Counter({w: len(s) for w, s in seen.items()})
+        within.update(own)
+    return Counter({w: min(len(s), within[w]) for w, s in seen.items()})
 
 
 def _dictionaries(toxic: list[str], ordinary: list[str], most: int) -> tuple[bytes, bytes]:
     """Frequent ordinary words make the ordinary dictionary; the toxic one adds words that stand out in toxic texts."""
-    a, b = _neighbours(toxic), _neighbours(ordinary)
+    a, b = _spread(toxic), _spread(ordinary)
     ratio = max(1, sum(a.values())) / max(1, sum(b.values()))
     least = max(3, 0.01 * len(toxic))
     marked = [(n, w) for w, n in a.items() if n >= least and n - 2 * math.sqrt(n) > 3 * ((m := b[w] * ratio) + 2 * math.sqrt(m))]
@@ -131,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Trains on at most `sample` labelled documents of either class, those with the smallest hash of their key.
 
     Three quarters of them (by a second hash) make the dictionaries and the rest calibrates the thresholds; with
-    fewer than 40 toxic ones, all do both. Labels that are null or other than 0 and 1 are left out. Without
+    fewer than 600 toxic ones, all do both. Labels that are null or other than 0 and 1 are left out. Without
     documents of both classes the model's score is the share of toxic ones (0 without any).
     """
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)").groupBy("key").agg(F.max("label").alias("label"))
@@ -142,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     prior = len(part[1]) / max(1, len(rows))
     if not part[0] or not part[1]:
         return ToxicityModel(FRAME, FRAME, (), prior)
-    odd = lambda r: len(part[1]) >= 40 and bool(textops.crc_of_id([f"part {r['key']}"])[0] % 4 == 0)
+    odd = lambda r: len(part[1]) >= 600 and bool(textops.crc_of_id([f"part {r['key']}"])[0] % 4 == 0)
     learn = {k: [r["text"] for r in part[k] if not odd(r)] for k in (0, 1)}
     ordinary, toxic = _dictionaries(learn[1], learn[0], dictionary)
     model = ToxicityModel(ordinary, toxic, (), prior)
