@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, pii, textops, token_counts, toxicity, vamana, wavelet
+from . import chat, decontaminate, ngram_join, packing, pii, textops, token_counts, toxicity, vamana, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -72,7 +76,7 @@ def op10_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op5_chat_formatting, op6_packing, op7_toxicity, op8_nearest, op9_pii, op10_wavelet_ids)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_decontamination, op5_chat_formatting, op6_packing, op7_toxicity, op8_nearest, op9_pii, op10_wavelet_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
