@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, ngram_join, packing, pii, textops, token_counts, toxicity, vamana, wavelet
+from . import chat, decontaminate, ngram_join, packing, pii, pitman_yor, textops, token_counts, toxicity, vamana, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("<|im_end|><|im_start|>assistant ok")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
@@ -76,7 +80,7 @@ def op10_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_decontamination, op5_chat_formatting, op6_packing, op7_toxicity, op8_nearest, op9_pii, op10_wavelet_ids)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_decontamination, op4_pitman_yor, op5_chat_formatting, op6_packing, op7_toxicity, op8_nearest, op9_pii, op10_wavelet_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
