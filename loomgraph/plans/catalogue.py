@@ -5,13 +5,362 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names
+from ..operators import evaluate, graph, link, statements
+from ..sources import readers
+from ..streaming import increment
+from .fixture import SQL, edges, nodes, sql, table
+from .scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _graph(s: SparkSession, d: str, **kw) -> DataFrame:
+    return graph.handler_edges(stored(edges(s, d, **kw)), stored(nodes(s, d)))
+
+
+@query(sql("SELECT node_id, name, is_self, is_widget, uid, xml, package FROM nodes"))
+def node_table(s, d):
+    return nodes(s, d)
+
+
+@query(sql("SELECT src, dst, type FROM edges"))
+def edge_table(s, d):
+    return edges(s, d)
+
+
+@query(sql("SELECT type, count(*) AS n FROM edges GROUP BY type"))
+def edge_type_counts(s, d):
+    return edges(s, d).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT 'android.support.v4.media.X'||(c_custkey%7) AS cls, c_custkey FROM customer UNION ALL SELECT 'com.android.internal.t'||(c_custkey%5), c_custkey FROM customer UNION ALL SELECT 'java.util.L'||c_custkey, c_custkey FROM customer)
+SELECT cls, c_custkey, CASE WHEN starts_with(cls,'android.support.v') THEN 'android.'||split_part(cls,'.',4) WHEN starts_with(cls,'com.android.') THEN 'android.'||split_part(cls,'.',3) ELSE split_part(cls,'.',1)||'.'||split_part(cls,'.',2) END AS package FROM c""")
+def package_native(s, d):
+    c = table(s, d, "customer").select("c_custkey")
+    forms = F.array(F.concat(F.lit("android.support.v4.media.X"), F.col("c_custkey") % 7), F.concat(F.lit("com.android.internal.t"), F.col("c_custkey") % 5), F.concat(F.lit("java.util.L"), "c_custkey"))
+    return c.select(F.explode(forms).alias("cls"), "c_custkey").withColumn("package", names.native_package(F.col("cls")))
+
+
+@query(sql("SELECT n.node_id, n.name, coalesce((SELECT min_by(prefix, ord) FROM (VALUES ('Brand1',0),('Brand2',1),('Brand23',2),('o.',3)) t(prefix,ord) WHERE starts_with(substr(n.name,2), prefix)),'-') AS package FROM nodes n WHERE NOT is_widget"))
+def package_prefix(s, d):
+    prefixes = s.createDataFrame([("Brand1", 0), ("Brand2", 1), ("Brand23", 2), ("o.", 3)], "prefix string, ord int")
+    return link.package_of(nodes(s, d).where("NOT is_widget").select("node_id", "name"), prefixes).select("node_id", "name", "package")
+
+
+@query("SELECT o_orderkey, lower(to_hex(o_orderkey)) AS hex, o_orderkey AS back FROM orders")
+def hex_dec_roundtrip(s, d):
+    h = names.to_hex(F.col("o_orderkey"))
+    return table(s, d, "orders").select("o_orderkey", h.alias("hex"), names.from_hex(h).alias("back"))
+
+
+@query("SELECT c_custkey, c_custkey||'$'||c_mktsegment AS key, c_custkey::VARCHAR AS uid, c_mktsegment AS xml FROM customer")
+def composite_key(s, d):
+    k = table(s, d, "customer").select("c_custkey", names.composite(F.col("c_custkey"), F.col("c_mktsegment")).alias("key"))
+    return k.withColumn("uid", F.substring_index("key", "$", 1)).withColumn("xml", F.substring_index("key", "$", -1))
+
+
+@query("SELECT * FROM (VALUES ('void onClick(android.view.View,int)','onClick(Landroid/view/View;I)V'),('int[][] f()','f()[[I'),('java.lang.String g(long,byte[])','g(J[B)Ljava/lang/String;')) t(java, smali)")
+def smali_signature(s, d):
+    rows = s.createDataFrame([("void onClick(android.view.View,int)",), ("int[][] f()",), ("java.lang.String g(long,byte[])",)], "java string")
+    return rows.withColumn("smali", names.smali_method(F.col("java")))
+
+
+_KINDS = "VALUES ('<androidx.a.B: void c()>'),('<javax.a.B: void c()>'),('<com.x.B: void c()>'),('<com.android.B: void c()>'),('<android.B: int d()>')"
+
+
+@query(f"SELECT name, CASE WHEN regexp_matches(name,'^<(android|androidx|com\\.android)\\.') THEN 'ANDROID' WHEN regexp_matches(name,'^<(java|javax|com\\.sun)\\.') THEN 'JAVA' ELSE 'METHOD' END AS kind, split_part(substr(name,2),':',1) AS cls FROM ({_KINDS}) t(name)")
+def node_kinds(s, d):
+    rows = s.sql(f"SELECT * FROM {_KINDS} AS t(name)")
+    return rows.select("name", names.node_kind(F.col("name")).alias("kind"), names.class_of(F.col("name")).alias("cls"))
+
+
+@query(sql("SELECT DISTINCT w.node_id AS src, m.node_id AS dst, 4 AS type FROM orders o JOIN nodes w ON w.uid=o.o_custkey AND w.is_widget JOIN nodes m ON m.name='<o.M: void m'||o.o_orderkey||'()>' WHERE o_orderpriority='1-URGENT'"))
+def link_event_edges(s, d):
+    n = stored(nodes(s, d))
+    pairs = table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("uid"), F.concat(F.lit("<o.M: void m"), "o_orderkey", F.lit("()>")).alias("method"))
+    return link.link(pairs, n.where("is_widget"), n.where("NOT is_widget"), names.EVENT)
+
+
+@query(sql("SELECT src, dst, type FROM edges WHERE type<>3 UNION ALL SELECT DISTINCT src, dst, 3 FROM edges WHERE type=4"))
+def replace_edges_of_type(s, d):
+    e = edges(s, d)
+    return link.replace_type(e, e.where("type = 4").select("src", "dst", F.lit(3).alias("type")).distinct(), names.USE)
+
+
+@query(sql("SELECT src, string_agg(dst||':'||type, ' ' ORDER BY dst, type) AS next FROM (SELECT CASE WHEN type=2 THEN dst ELSE src END AS src, CASE WHEN type=2 THEN src ELSE dst END AS dst, type FROM edges WHERE type<>1) GROUP BY src"))
+def adjacency(s, d):
+    lists = graph.adjacency(edges(s, d)).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "type"))).alias("n"))
+    return lists.select("src", F.array_join(F.transform("n", lambda x: F.concat_ws(":", x["dst"].cast("string"), x["type"].cast("string"))), " ").alias("next"))
+
+
+@query(sql("SELECT seed, node FROM reach0"))
+def reach_hop0(s, d):
+    e = stored(edges(s, d))
+    return graph.reach(e, nodes(s, d), e.where("type = 4").select(F.col("dst").alias("seed")), 0)
+
+
+@query(sql("SELECT seed, node FROM reach1"))
+def reach_hop1(s, d):
+    e = stored(edges(s, d))
+    return graph.reach(e, nodes(s, d), e.where("type = 4").select(F.col("dst").alias("seed")), 1)
+
+
+@query(sql("SELECT a.uid, a.eid, n_nodes, n_edges FROM (SELECT uid, eid, count(DISTINCT node) AS n_nodes FROM (SELECT uid, eid, src AS node FROM graph UNION ALL SELECT uid, eid, dst FROM graph) GROUP BY uid, eid) a JOIN (SELECT uid, eid, count(*) AS n_edges FROM graph GROUP BY uid, eid) b USING (uid, eid)"))
+def uhg_size(s, d):
+    return graph.sizes(_graph(s, d))
+
+
+@query(sql("SELECT uid, eid, src, dst, type FROM graph"))
+def uhg_edges(s, d):
+    return _graph(s, d)
+
+
+@query(sql("SELECT h.uid, h.eid, h.src AS child FROM (SELECT uid, eid, src, count(*) AS held FROM graph WHERE type IN (3,4) AND src%3=0 GROUP BY ALL) h JOIN (SELECT src, count(*) AS total FROM edges WHERE type IN (3,4) GROUP BY src) t USING (src) WHERE held=total AND h.src<>h.uid"))
+def child_ui(s, d):
+    return graph.child_widgets(_graph(s, d), edges(s, d), nodes(s, d))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text),'the') OR contains(lower(text),'und ')")
+def keep_by_text(s, d):
+    return link.keep_by_words(table(s, d, "documents"), "text", ["the", "Und "]).select("doc_id")
+
+
+@query(sql("SELECT DISTINCT graph.uid, eid FROM graph JOIN nodes ON dst=node_id WHERE package<>'-' AND (contains(lower(name),'brand1') OR contains(lower(name),'brand55'))"))
+def keep_by_method(s, d):
+    api = link.keep_by_words(nodes(s, d).where("package <> '-'"), "name", ["brand1", "Brand55"]).select(F.col("node_id").alias("dst"))
+    return _graph(s, d).join(api, "dst", "left_semi").select("uid", "eid").distinct()
+
+
+@query(sql("SELECT node_id, NOT contains(name,'(') OR contains(split_part(split_part(name,':',-1),'(',1),'m1') OR contains(split_part(name,':',1),'Brand2') AS noise FROM nodes"))
+def noise_filter(s, d):
+    return nodes(s, d).select("node_id", names.is_noise(F.col("name"), ["m1"], ["Brand2"]).alias("noise"))
+
+
+@query(sql("SELECT uid, eid, src, dst, type FROM graph WHERE type<>4 OR src=uid"))
+def prune_events(s, d):
+    return graph.prune_events(_graph(s, d))
+
+
+_CASE = "cases AS (SELECT g.uid, g.eid, g.eid AS src, min(dst) AS dst FROM graph g WHERE g.src=g.eid AND type=0 AND dst%3=2 GROUP BY ALL), seeds AS (SELECT b.* FROM graph b JOIN cases c ON b.uid=c.uid AND b.eid=c.eid AND b.src=c.src AND b.type<>4 AND b.dst<>c.dst), gone AS (SELECT DISTINCT s.uid, s.eid, s.dst AS node FROM seeds s JOIN cases c ON s.uid=c.uid AND s.eid=c.eid AND s.dst<>c.dst UNION SELECT n.uid, n.eid, g.dst FROM gone n JOIN graph g ON g.uid=n.uid AND g.eid=n.eid AND g.src=n.node JOIN cases c ON c.uid=n.uid AND c.eid=n.eid AND g.dst<>c.dst)"
+
+
+@query(f"WITH RECURSIVE {SQL}, {_CASE} SELECT uid, eid, src, dst, type FROM graph g WHERE (type<>4 OR src=uid) AND NOT EXISTS (SELECT 1 FROM gone n WHERE n.uid=g.uid AND n.eid=g.eid AND n.node=g.src) AND NOT EXISTS (SELECT 1 FROM seeds s WHERE s.uid=g.uid AND s.eid=g.eid AND s.src=g.src AND s.dst=g.dst AND s.type=g.type)")
+def prune_switch(s, d):
+    g = stored(_graph(s, d))
+    cases = g.where("src = eid AND type = 0 AND dst % 3 = 2").groupBy("uid", "eid", "src").agg(F.min("dst").alias("dst"))
+    return graph.prune_cases(g, cases)
+
+
+@query(None)
+def prune_leaf(s, d):
+    return graph.prune_leaves(_graph(s, d, ring=False), nodes(s, d))
+
+
+@query(sql("SELECT c.uid, c.eid, c.node, CASE WHEN o.inner_ IS NULL THEN -1 WHEN o.inner_ THEN 0 ELSE 1 END AS next_type FROM (SELECT DISTINCT uid, eid, dst AS node FROM graph WHERE type=0 AND dst%3=1) c LEFT JOIN (SELECT uid, eid, src AS node, bool_and(dst%3=1) AS inner_ FROM graph GROUP BY ALL) o USING (uid, eid, node)"))
+def next_edge_type(s, d):
+    return graph.next_edge_type(stored(_graph(s, d)), nodes(s, d))
+
+
+@query(sql("SELECT dst AS node, sum(type)>0 AS linked FROM edges GROUP BY dst"))
+def linked_to_ui(s, d):
+    return graph.linked_to_ui(edges(s, d))
+
+
+@query(sql("SELECT DISTINCT src FROM edges WHERE type=0"))
+def non_leaf(s, d):
+    return edges(s, d).where("type = 0").select("src").distinct()
+
+
+@query(sql("SELECT src, count(*) AS n FROM edges e WHERE type=0 AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.node_id=e.dst AND n.package IN ('-','Brand#11','Brand#12')) GROUP BY src"))
+def unresolved_callees(s, d):
+    known = nodes(s, d).where(F.col("package").isin("-", "Brand#11", "Brand#12")).select(F.col("node_id").alias("dst"))
+    return edges(s, d).where("type = 0").join(known, "dst", "left_anti").groupBy("src").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT e.src, e.dst, e.type, a.name AS src_name, b.name AS dst_name FROM edges e JOIN nodes a ON a.node_id=e.src JOIN nodes b ON b.node_id=e.dst"))
+def edge_endpoints(s, d):
+    n = nodes(s, d)
+    return edges(s, d).join(n.select(F.col("node_id").alias("src"), F.col("name").alias("src_name")), "src").join(n.select(F.col("node_id").alias("dst"), F.col("name").alias("dst_name")), "dst").select("src", "dst", "type", "src_name", "dst_name")
+
+
+@query(sql("SELECT uid, eid, 'digraph {' || chr(10) || string_agg('  '||src||' -> '||dst||' [label='||type||'];', chr(10) ORDER BY src, dst, type) || chr(10) || '}' AS dot FROM graph WHERE type IN (0,4) GROUP BY uid, eid"))
+def dot_lines(s, d):
+    return readers.dot_lines(_graph(s, d).where("type IN (0, 4)"), ["uid", "eid"])
+
+
+_BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
+
+
+@query(sql("SELECT src, " + "||".join(f"(CASE WHEN bool_or(package='{b}') THEN '1' ELSE '0' END)" for b in _BRANDS) + " AS bits FROM edges JOIN nodes ON node_id=dst AND dst%3=2 WHERE src%3=1 AND type=0 GROUP BY src"))
+def permission_multihot(s, d):
+    items = edges(s, d).where("type = 0 AND src % 3 = 1").join(nodes(s, d).where("NOT is_self AND NOT is_widget").select(F.col("node_id").alias("dst"), "package"), "dst")
+    return evaluate.multi_hot(items, "src", "package", _BRANDS).select("src", F.array_join(F.col("bits").cast("array<string>"), "").alias("bits"))
+
+
+@query("SELECT l_orderkey AS grp, l_linenumber AS flag, round(k/n,6) AS mean, round(sqrt((k/n)*(1-k/n)),6) AS std FROM (SELECT l_orderkey%100 AS l_orderkey, l_linenumber, count(DISTINCT l_partkey)::DOUBLE AS k FROM lineitem GROUP BY ALL) JOIN (SELECT l_orderkey%100 AS l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) USING (l_orderkey)")
+def opcode_stats(s, d):
+    items = table(s, d, "lineitem").select((F.col("l_orderkey") % 100).alias("grp"), F.col("l_partkey").alias("m"), F.col("l_linenumber").alias("flag"))
+    out = evaluate.flag_stats(items, "grp", "m", "flag", items)
+    return out.select("grp", "flag", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query(None)
+def laplacian_features(s, d):
+    return evaluate.laplacian(_graph(s, d).where("type = 0"), ["uid", "eid"]).select("uid", "eid", F.round("eigen_mean", 9).alias("eigen_mean"))
+
+
+@query(None)
+def word2vec_mean(s, d):
+    from pyspark.ml.feature import Word2Vec
+
+    sentences = _graph(s, d).join(nodes(s, d).select(F.col("node_id").alias("dst"), "name"), "dst").groupBy("uid", "eid").agg(F.array_sort(F.collect_set("name")).alias("words"))
+    model = Word2Vec(vectorSize=64, windowSize=5, minCount=1, maxIter=1, seed=7, inputCol="words", outputCol="vec").fit(sentences)
+    return model.transform(sentences).select("uid", "eid", F.size("words").alias("n_words"))
+
+
+@query("SELECT vec_id, round((x-lo)/(hi-lo),6) AS scaled FROM (SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings), (SELECT min(embedding[1]::DOUBLE) AS lo, max(embedding[1]::DOUBLE) AS hi FROM embeddings)")
+def minmax_first_component(s, d):
+    return evaluate.minmax_first(table(s, d, "embeddings"), "vec_id", "embedding").select("vec_id", F.round("scaled", 6).alias("scaled"))
+
+
+_KNN = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), pairs AS (SELECT a.vec_id AS id, a.label AS truth, b.label AS label, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.e,b.e),9), b.vec_id) AS r FROM v a, v b), votes AS (SELECT id, truth, label, count(*) AS n FROM pairs WHERE r<=10 GROUP BY ALL), pred AS (SELECT id, truth, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS k FROM votes) WHERE k=1)"
+
+
+def _scores_sql(rows: str) -> str:
+    return f"SELECT label, round(p,6) AS precision, round(r,6) AS recall, round(CASE WHEN p+r>0 THEN 2*p*r/(p+r) ELSE 0 END,6) AS f1 FROM (SELECT l.label, coalesce((SELECT count_if(truth=predicted)::DOUBLE/count(*) FROM {rows} x WHERE x.predicted=l.label HAVING count(*)>0),0) AS p, coalesce((SELECT count_if(truth=predicted)::DOUBLE/count(*) FROM {rows} x WHERE x.truth=l.label HAVING count(*)>0),0) AS r FROM (SELECT truth AS label FROM {rows} UNION SELECT predicted FROM {rows}) l)"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"WITH {_KNN} SELECT id, truth, predicted FROM pred")
+def knn_predict(s, d):
+    return evaluate.knn(table(s, d, "embeddings"), "vec_id", "embedding", "label")
+
+
+@query(f"WITH {_KNN} {_scores_sql('pred')}")
+def knn_metrics(s, d):
+    return _rounded(evaluate.scores(stored(knn_predict(s, d)), "truth", "predicted"))
+
+
+_CLUSTER = "c AS (SELECT vec_id, vec_id%7 AS cluster, label FROM embeddings), dom AS (SELECT cluster, label AS dominant FROM (SELECT cluster, label, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, label) AS k FROM c GROUP BY cluster, label) WHERE k=1)"
+
+
+def _clusters(s, d):
+    rows = table(s, d, "embeddings").select("vec_id", (F.col("vec_id") % 7).alias("cluster"), "label")
+    return rows, evaluate.dominant_label(rows, "cluster", "label")
+
+
+@query(f"WITH {_CLUSTER} SELECT cluster, dominant FROM dom")
+def cluster_dominant_label(s, d):
+    return _clusters(s, d)[1]
+
+
+@query(f"WITH {_CLUSTER}, m AS (SELECT label AS truth, dominant AS predicted FROM c JOIN dom USING (cluster)) {_scores_sql('m')}")
+def cluster_metrics(s, d):
+    rows, dom = _clusters(s, d)
+    return _rounded(evaluate.scores(rows.join(dom, "cluster"), "label", "dominant"))
+
+
+@query(f"WITH {_CLUSTER} SELECT dominant, label, count(*) AS n FROM c JOIN dom USING (cluster) GROUP BY ALL")
+def confusion(s, d):
+    rows, dom = _clusters(s, d)
+    return rows.join(dom, "cluster").groupBy("dominant", "label").agg(F.count("*").alias("n"))
+
+
+@query(None)
+def ward_clusters(s, d):
+    return evaluate.ward(table(s, d, "embeddings"), "vec_id", "embedding", 200)
+
+
+@query("SELECT a.label, round((a.m-b.m)/nullif(b.m,0),6) AS uplift FROM (SELECT label, avg(embedding[1]::DOUBLE) AS m FROM embeddings GROUP BY label) a JOIN (SELECT label, avg(embedding[2]::DOUBLE) AS m FROM embeddings GROUP BY label) b USING (label)")
+def metric_uplift(s, d):
+    e = table(s, d, "embeddings").groupBy("label").agg(F.avg(F.get("embedding", F.lit(0)).cast("double")).alias("a"), F.avg(F.get("embedding", F.lit(1)).cast("double")).alias("b"))
+    return e.select("label", F.round((F.col("a") - F.col("b")) / F.nullif("b", F.lit(0.0)), 6).alias("uplift"))
+
+
+@query("SELECT o_orderkey, CASE WHEN p.p_partkey%5=0 THEN q.p_name ELSE p.p_name END AS value FROM orders o LEFT JOIN part p ON p.p_partkey=o.o_custkey LEFT JOIN part q ON p.p_partkey%5=0 AND q.p_partkey=p.p_partkey+1")
+def reference_resolve(s, d):
+    refs = table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("ref"))
+    values = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("value"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey") + 1).alias("points_to"))
+    return link.resolve(refs, values).select("o_orderkey", "value")
+
+
+@query("SELECT o_orderkey, coalesce(p_name,'NOT_FOUND') AS value FROM orders LEFT JOIN part ON p_partkey=o_orderkey")
+def attribute_resolve(s, d):
+    values = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("value"), F.lit(None).cast("bigint").alias("points_to"))
+    return link.resolve(table(s, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("ref")), values, "NOT_FOUND").select("o_orderkey", "value")
+
+
+@query(None)
+def html_tree(s, d):
+    return readers.markup_tree(table(s, d, "pages"), "page_id", "html")
+
+
+@query(None)
+def layout_stats(s, d):
+    tree = readers.markup_tree(table(s, d, "pages"), "page_id", "html")
+    return tree.groupBy("page_id").agg(F.count("*").alias("n_elements"), F.max("depth").alias("deepest"), F.countDistinct("tag").alias("n_tags"))
+
+
+@query("WITH RECURSIVE p AS (SELECT o_orderkey AS class, o_orderkey//3 AS parent FROM orders WHERE o_orderkey<2000 AND o_orderkey>0), a AS (SELECT class, parent AS ancestor FROM p UNION SELECT a.class, p.parent FROM a JOIN p ON p.class=a.ancestor) SELECT class, ancestor FROM a")
+def superclass_closure(s, d):
+    parents = table(s, d, "orders").where("o_orderkey < 2000 AND o_orderkey > 0").select(F.col("o_orderkey").alias("class"), F.floor(F.col("o_orderkey") / 3).cast("bigint").alias("parent"))
+    return statements.superclasses(parents)
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role='user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS defined FROM conversations")
+def latest_definition(s, d):
+    return statements.latest_definition(table(s, d, "conversations"), ["conv_id"], "turn", "role = 'user'", "turn").select("conv_id", "turn", "defined")
+
+
+@query("SELECT conv_id, turn, first_value(CASE WHEN role='assistant' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stored FROM conversations")
+def forward_store(s, d):
+    return statements.forward_store(table(s, d, "conversations"), ["conv_id"], "turn", "role = 'assistant'", "turn").select("conv_id", "turn", "stored")
+
+
+@query("SELECT conv_id, turn, block FROM (SELECT conv_id, turn, last_value(CASE WHEN role='user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block FROM conversations) WHERE block IS NOT NULL")
+def case_blocks(s, d):
+    return statements.case_blocks(table(s, d, "conversations"), ["conv_id"], "turn", "role = 'user'").select("conv_id", "turn", "block")
+
+
+@query("SELECT o_orderkey, 'C'||o_custkey||CASE o_orderpriority WHEN '1-URGENT' THEN '.onClick' ELSE '.onTouch' END AS handler FROM orders WHERE o_orderpriority IN ('1-URGENT','2-HIGH')")
+def registered_handlers(s, d):
+    callee = F.when(F.col("o_orderpriority") == "1-URGENT", "setOnClickListener").when(F.col("o_orderpriority") == "2-HIGH", "setOnTouchListener").otherwise("run")
+    calls = table(s, d, "orders").select("o_orderkey", callee.alias("callee"), F.concat(F.lit("C"), "o_custkey").alias("listener"))
+    return statements.registrations(calls, "callee", "listener").select("o_orderkey", "handler")
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def json_maps(s, d):
+    return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal>0)")
+def incremental_skip(s, d):
+    log = table(s, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.lit("ok").alias("status"))
+    return increment.not_done(table(s, d, "orders"), log, "o_custkey").select("o_orderkey")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
