@@ -126,7 +126,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, codes, width: int, percent: int)
     sizes = pairs.groupBy("a").agg(F.count("*").alias("m"))
     salted = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / MEMBERS)).cast("int"))
     to = salted.select(F.col("b").alias("id"), F.col("a").alias("probe"), "salt", F.lit(1).alias("role")).unionByName(salted.select(F.col("a").alias("id"), F.col("a").alias("probe"), "salt", F.lit(0).alias("role")).distinct())
-    rows = docs.join(to, "id").select("probe", "salt", "role", "id", "text").repartition("probe", "salt").sortWithinPartitions("probe", "salt", "role", "id")
+    rows = docs.join(to.hint("merge"), "id").select("probe", "salt", "role", "id", "text").repartition("probe", "salt").sortWithinPartitions("probe", "salt", "role", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, probe = None, np.zeros(0, np.uint64)
@@ -184,37 +184,50 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textops.slices(batches, "text"):
             found = [ordered(s, codes.value) for s in doc_sets(part.column("text"), width)]
-            heads = [s[len(s) - prefix_size(len(s), percent) :].view(np.int64) if len(s) else s.view(np.int64) for s in found]
+            heads = [(s[len(s) - prefix_size(len(s), percent) :] ^ np.uint64(1 << 63)).view(np.int64) if len(s) else s.view(np.int64) for s in found]  # signed order is that of the tokens
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.array([len(s) for s in found], np.int64)), tokens], ["id", "n", "tokens"])
 
     heads = slim.where("id IS NOT NULL").mapInArrow(prefixes, "id long, n long, tokens array<long>")
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    posts = heads.join(reps, "id", "left_semi").select("id", "n", F.explode("tokens").alias("token"))
+    posts = heads.join(reps, "id", "left_semi").select("id", "n", F.get("tokens", F.lit(0)).alias("last"), F.explode("tokens").alias("token"))
     group = Window.partitionBy("token")
-    shared = posts.withColumn("size", F.count("*").over(group)).where("size > 1").withColumn("first", F.min(F.struct("id", "n")).over(group)).select("token", "id", "n", "first")
-    shared = textops.stored(shared, f"{home}/shared")
-
-    proposals = shared.where((F.col("first.id") < F.col("id")) & _compatible(F.col("n"), F.col("first.n"), percent)).groupBy("id", F.col("first.id").alias("a")).agg(F.count("*").alias("c"))
+    shared = textops.stored(posts.withColumn("size", F.count("*").over(group)).where("size > 1").drop("size"), f"{home}/shared")
+    # An n-gram of x's prefix that no other prefix has is not in any y whose prefix reaches as far or farther, so
+    # the overlap with y is at most n - own, own being the number of these.
+    alone = shared.groupBy("id", "n").agg(F.count("*").alias("k")).select("id", (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - F.col("k")).alias("own"))
+    shared = textops.stored(shared.join(alone, "id"), f"{home}/owned")
+    # The text with the fewest n-grams of its own is likely the one that the others were made from.
+    centre = shared.withColumn("first", F.min(F.struct("own", "id", "n")).over(group))
+
+    proposals = centre.where((F.col("first.id") != F.col("id")) & _compatible(F.col("n"), F.col("first.n"), percent)).groupBy("id", F.col("first.id").alias("a")).agg(F.count("*").alias("c"))
     best = proposals.groupBy("id").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", F.col("id").alias("b"))
     near = textops.stored(_verify(textops.stored(best, f"{home}/pairs1"), slim, codes, width, percent), f"{home}/links1")
     comps = components.components(near, f"{home}/cc1")
 
-    placed = shared.select("token", "id", "n").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.withColumn("low", F.min("component").over(group)).withColumn("high", F.max("component").over(group)).where("low < high").select("token", "id", "n", "component")
-    mixed = textops.stored(mixed, f"{home}/mixed")
-    other = mixed.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    size = lambda n: prefix_size(n, percent) if not isinstance(n, Column) else n - F.floor((n * percent + 99) / 100) + 1
-    pairs = (
-        mixed.withColumnsRenamed({"id": "a", "n": "na", "component": "ca"})
-        .join(other, "token")
-        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _compatible(F.col("na"), F.col("nb"), percent))
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.count("*").alias("c"))
-        .where(F.col("c") + F.greatest(F.col("na") - size(F.col("na")), F.col("nb") - size(F.col("nb"))) >= F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent)))
-        .select("a", "b")
+    placed = shared.select("token", "id", "n", "last", "own").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.withColumn("low", F.min("component").over(group)).withColumn("high", F.max("component").over(group)).where("low < high").drop("low", "high")
+    # Pairs must share `least` tokens of their prefixes; the rarest shared one then has as many behind it in both.
+    own = Window.partitionBy("id")
+    mixed = mixed.withColumn("rank", F.row_number().over(own.orderBy(F.desc("token")))).withColumn("k", F.count("*").over(own))
+    mixed = textops.stored(mixed.select("token", "id", "n", "last", "component", (F.col("n") - F.col("own")).alias("most"), "rank", "k"), f"{home}/mixed")
+    side = lambda x: mixed.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "last", "component", "most", "rank", "k")])
+    need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent))
+    rest = lambda x: F.floor((F.col(f"n_{x}") * percent + 99) / 100) - 1  # noqa: E731  what lies behind the prefix
+    least = F.greatest(need - F.greatest(rest("x"), rest("y")), F.lit(1))
+    early = lambda x: F.col(f"rank_{x}") <= F.col(f"k_{x}") - least + 1
+    met = (
+        side("x")
+        .join(side("y"), "token")
+        .where((F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y")) & _compatible(F.col("n_x"), F.col("n_y"), percent))
+        .where((F.when(F.col("last_x") >= F.col("last_y"), F.col("most_x")).otherwise(F.col("most_y")) >= need) & early("x") & early("y"))
+        .select("id_x", "id_y", least.alias("least"))
+        .distinct()
     )
+    heads = mixed.groupBy("id").agg(F.collect_list("token").alias("tokens"))
+    held = lambda x: heads.select(F.col("id").alias(f"id_{x}"), F.col("tokens").alias(f"tokens_{x}"))
+    pairs = met.join(held("x"), "id_x").join(held("y"), "id_y").where(F.size(F.array_intersect("tokens_x", "tokens_y")) >= F.col("least")).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
     far = textops.stored(_verify(textops.stored(pairs, f"{home}/pairs2"), slim, codes, width, percent), f"{home}/links2")
     comps = components.components(near.unionByName(far), f"{home}/cc2")
     ranked = classes.join(comps, F.col("rep") == F.col("id"), "left").select("s1", "s2", F.col("n").alias("cn"), F.coalesce("component", "rep").alias("component_id"))
