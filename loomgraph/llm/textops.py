@@ -18,6 +18,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
+ALNUM_ONLY = np.ones(256, dtype=bool)
+ALNUM_ONLY[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,12 +116,15 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 class Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of an Arrow slice, A-Z lower-cased: byte spans, document index and hashes."""
+    """The words `[^\\x20\\x09-\\x0D]+` of an Arrow slice, A-Z lower-cased: byte spans, document index and hashes.
 
-    def __init__(self, texts: pa.Array):
+    `apart` names other separating bytes instead of white space.
+    """
+
+    def __init__(self, texts: pa.Array, apart: np.ndarray = _SPACE):
         raw, off = offsets(texts)
         self.raw, self.off, self.n_docs = _LOWER[raw], off, len(off) - 1
-        word = ~_SPACE[self.raw]
+        word = ~apart[self.raw]
         edge = np.zeros(len(raw) + 1, dtype=bool)
         edge[off] = True
         before = np.concatenate([[False], word[:-1]]) if len(raw) else word
@@ -143,7 +148,7 @@ def chained(h: np.ndarray, width: int) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = mix(h[:n] + _GOLD * np.uint64(width))
+    out = mix(h[:n] + np.uint64(int(_GOLD) * width % (1 << 64)))
     for k in range(1, width):
         out = mix((out ^ h[k : k + n]) * _GOLD + np.uint64(k))
     return out
@@ -155,6 +160,7 @@ def crc_of_id(ids: list) -> np.ndarray:
 
 
 _SPACED = re.compile(r"\s | \s")
+_ODD = re.compile(r"[\s0-9<]")
 
 
 class Encoder:
@@ -162,48 +168,61 @@ class Encoder:
 
     A space between two characters that are no white space always begins a new pre-token, so a text's ids
     are those of its chunks one after another. A chunk is encoded once; the table of chunks keeps at most
-    `keep` of them, and later ones are encoded anew in each slice. Texts with other white space beside a
-    space are encoded whole.
+    `keep` of them, and others are encoded anew in each slice. With `spaced` (the space belongs to the
+    next pre-token), texts with other white space beside a space are encoded whole. New chunks without
+    digits go to the library several hundred at a time, with a chunk of one digit between each two.
     """
 
-    def __init__(self, path: str, spaced: bool = True, keep: int = 350_000):
+    def __init__(self, path: str, spaced: bool = True, keep: int = 800_000):
         from tokenizers import Tokenizer
 
-        self.model, self.spaced, self.keep, self.known, self.over = Tokenizer.from_file(path), spaced, keep, {}, {}
+        self.model, self.spaced, self.keep, self.known = Tokenizer.from_file(path), spaced, keep, {}
+        self.lead = " " if spaced else ""
+        between = self.model.encode(" 0", add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunks(self, words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if w and not _ODD.search(w)] if self.between is not None else []
+        done = set(plain)
+        rest = [w for w in words if w not in done]
+        out: dict[str, bytes] = {}
+        for i in range(0, len(rest), 2000):
+            out.update(zip(rest[i : i + 2000], self._ids([self.lead + w for w in rest[i : i + 2000]]), strict=True))
+        for i in range(0, len(plain), 500):
+            some = plain[i : i + 500]
+            ids = np.array(self.model.encode_batch_fast([self.lead + " 0 ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut, data = np.flatnonzero(ids == self.between), ids.tobytes()
+            starts, ends = [0, *((cut + 1) * 4).tolist()], [*(cut * 4).tolist(), len(data)]
+            out.update(zip(some, [data[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = []
-        need: set[str] = set()
+        flat: list[str] = []
+        firsts, ends = [], []
         for t in texts:
-            if self.spaced and _SPACED.search(t):
-                parts.append(None)
-                continue
-            p = t.split(" ")
             if self.spaced:
-                p[0] = "\x00" + p[0]
-            parts.append(p)
-            need.update(p)
-        need.difference_update(self.known)
-        fresh: dict[str, bytes] = {}
-        todo = list(need)
-        for i in range(0, len(todo), 5000):
-            some = todo[i : i + 5000]
-            plain = [w[1:] if self.spaced and w[:1] == "\x00" else (f" {w}" if self.spaced else w) for w in some]
-            fresh.update(zip(some, self._ids(plain), strict=True))
-        if len(self.known) + len(fresh) <= self.keep:
-            self.known.update(fresh)
-            get = self.known.__getitem__
-        else:
-            known = self.known
-
-            def get(w: str) -> bytes:
-                v = known.get(w)
-                return fresh[w] if v is None else v
-
-        return [self._ids([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
+                if _SPACED.search(t):
+                    firsts.append(t)
+                else:
+                    p = t.split(" ")
+                    firsts.append(p[0])
+                    flat += p[1:]
+            else:
+                flat += t.split(" ")
+            ends.append(len(flat))
+        got = list(map(self.known.get, flat))
+        holes = [i for i, v in enumerate(got) if v is None]
+        if holes:
+            fresh = self._chunks(list(dict.fromkeys(map(flat.__getitem__, holes))))
+            for i in holes:
+                got[i] = fresh[flat[i]]
+            if len(self.known) + len(fresh) <= self.keep:
+                self.known.update(fresh)
+        heads = self._ids(firsts) if self.spaced else [b""] * len(texts)
+        return [h + b"".join(got[a:b]) for h, a, b in zip(heads, [0, *ends], ends, strict=False)]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
