@@ -13,18 +13,19 @@ from pyspark.sql import DataFrame
 from . import textops
 
 
-def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
+def closest_fill(counts: dict[int, int], capacity: int, order: list[int] | None = None) -> dict[int, int]:
     """The multiset of lengths, with the largest among them, whose sum comes closest to capacity from below.
 
     Subset sums are the bits of one integer, shifted once for each copy; the way back through the stored
-    integers gives how many of each length were taken.
+    integers gives how many of each length were taken. order, if given, has all lengths from the longest
+    down, and may have some that are used up.
     """
-    order = sorted((n for n, c in counts.items() if c), reverse=True)
-    first = order[0]
+    order = sorted(counts, reverse=True) if order is None else order
+    first = next(n for n in order if n in counts)
     room, reach, steps = capacity - first, 1, []
     mask = (1 << (room + 1)) - 1
     for n in order:
-        if n > room:
+        if n > room or n not in counts:
             continue
         for _ in range(min(counts[n] - (n == first), room // n)):
             grown = (reach | (reach << n)) & mask
@@ -68,8 +69,11 @@ class Packer:
 
     def sequences(self, last: bool) -> Iterator[list[tuple]]:
         """Full sequences while more than the reserve is held; at the end all, of which the final one may be short."""
+        order = sorted(self.counts, reverse=True)
         while self.counts and (last or self.held > self.reserve):
-            fill = closest_fill(self.counts, self.capacity)
+            while order[0] not in self.counts:
+                del order[0]
+            fill = closest_fill(self.counts, self.capacity, order)
             slack = self.capacity - sum(n * c for n, c in fill.items())
             times = min(self.counts[n] // c for n, c in fill.items())
             if slack:
@@ -80,6 +84,7 @@ class Packer:
                     doc, start, ids, total = self.take(min(self.counts))
                     seq.append((doc, start, ids[: slack * 4], total))
                     self.add((doc, start + slack, ids[slack * 4 :], total))
+                    order = sorted(self.counts, reverse=True)
                 yield seq
 
 
@@ -117,7 +122,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
             return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], ["key", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
         kind = None
-        for part in textops.slices(batches, "text", 3_000_000):
+        for part in textops.slices(batches, "text"):
             kind = part.schema.field("key").type
             for doc, ids in zip(part.column("key").to_pylist(), enc.encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
                 ids += end

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -159,7 +160,6 @@ def crc_of_id(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(str(i).encode()) if i is not None else 0 for i in ids], dtype=np.int64)
 
 
-_SPACED = re.compile(r"\s | \s")
 _ODD = re.compile(r"[\s0-9<]")
 
 
@@ -169,11 +169,12 @@ class Encoder:
     A space between two characters that are no white space always begins a new pre-token, so a text's ids
     are those of its chunks one after another. A chunk is encoded once; the table of chunks keeps at most
     `keep` of them, and others are encoded anew in each slice. With `spaced` (the space belongs to the
-    next pre-token), texts with other white space beside a space are encoded whole. New chunks without
+    next pre-token), texts with other white space beside a space are encoded whole: a chunk that begins or ends
+    with white space is kept as None. New chunks without
     digits go to the library several hundred at a time, with a chunk of one digit between each two.
     """
 
-    def __init__(self, path: str, spaced: bool = True, keep: int = 800_000):
+    def __init__(self, path: str, spaced: bool = True, keep: int = 1_100_000):
         from tokenizers import Tokenizer
 
         self.model, self.spaced, self.keep, self.known = Tokenizer.from_file(path), spaced, keep, {}
@@ -201,28 +202,34 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         flat: list[str] = []
-        firsts, ends = [], []
+        heads, tails, ends = [], [], []
         for t in texts:
-            if self.spaced:
-                if _SPACED.search(t):
-                    firsts.append(t)
-                else:
-                    p = t.split(" ")
-                    firsts.append(p[0])
-                    flat += p[1:]
+            p = t.split(" ")
+            if self.spaced:  # the first chunk has no space before it, and the last may end in white space
+                heads.append(p[0])
+                tails.append(p.pop() if len(p) > 1 and (not p[-1] or p[-1][-1].isspace()) else None)
+                flat += p[1:]
             else:
-                flat += t.split(" ")
+                flat += p
             ends.append(len(flat))
-        got = list(map(self.known.get, flat))
-        holes = [i for i, v in enumerate(got) if v is None]
+        got = list(map(self.known.get, flat, repeat(False)))
+        holes = [i for i, v in enumerate(got) if v is False]
         if holes:
-            fresh = self._chunks(list(dict.fromkeys(map(flat.__getitem__, holes))))
+            fresh: dict[str, bytes | None] = dict.fromkeys(map(flat.__getitem__, holes))
+            whole = [w for w in fresh if not self.spaced or w and not (w[0].isspace() or w[-1].isspace())]
+            fresh.update(self._chunks(whole))
             for i in holes:
                 got[i] = fresh[flat[i]]
             if len(self.known) + len(fresh) <= self.keep:
                 self.known.update(fresh)
-        heads = self._ids(firsts) if self.spaced else [b""] * len(texts)
-        return [h + b"".join(got[a:b]) for h, a, b in zip(heads, [0, *ends], ends, strict=False)]
+        if not self.spaced:
+            return [b"".join(got[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        out = []
+        for t, h, tail, head, a, b in zip(texts, self._ids(heads), tails, heads, [0, *ends], ends, strict=False):
+            part = got[a:b]
+            apart = (b > a or tail is not None) and head[-1:].isspace() or (tail is not None and tail[:1].isspace()) or None in part
+            out.append(self._ids([t])[0] if apart else h + b"".join(part) + (self._ids([" " + tail])[0] if tail is not None else b""))
+        return out
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
