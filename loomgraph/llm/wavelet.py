@@ -134,7 +134,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FILE_SCHEMA).parquet(path)
 
 
-def read_ids(files: DataFrame, key: str = "doc_id") -> DataFrame:
+def read_ids(files: DataFrame, key: str = "doc_id", most_broadcast: int = 200_000) -> DataFrame:
     """Documents read back from the bit planes: key, start (ids of all documents before), n_tokens, ids (binary uint32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,4 +156,6 @@ def read_ids(files: DataFrame, key: str = "doc_id") -> DataFrame:
     inner = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("part", "shard", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)).alias("shard_start")).join(at, "part").select("part", "shard", (F.col("part_start") + F.col("shard_start")).alias("shard_start"))
     docs = files.mapInArrow(run, "part int, shard int, key long, within long, n_tokens long, ids binary")
+    if files.count() <= most_broadcast:  # a row of 16 bytes for each shard; more of them are met by a shuffled join
+        starts = F.broadcast(starts)
     return docs.join(starts, ["part", "shard"]).select(F.col("key").alias(key), (F.col("shard_start") + F.col("within")).alias("start"), "n_tokens", "ids")

@@ -281,3 +281,16 @@ def test_pipeline(spark, tmp_path):
             assert {r.doc_id for r in now.collect()} == {i for i, (_, c) in _groups([(i, t) for i, t in texts], 5, 80).items() if i == c}
     kept = spark.read.parquet(f"file://{tmp_path}/pii")
     assert {r.doc_id for r in now.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_encoder_is_the_library():
+    from tokenizers import Tokenizer
+
+    from loomgraph.llm.textops import Encoder
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices([" ", " ", "a", "The", "\n", "\t", "é", "9", "<|endoftext|>", "　", "'s", "!", "́", "\x1c"], k=rng.randrange(12))) for _ in range(4000)]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        enc, tok = Encoder(P.path(name), spaced, keep=500), Tokenizer.from_file(P.path(name))
+        want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert enc.encode(texts[:2000]) + enc.encode(texts[2000:]) == want
