@@ -141,6 +141,7 @@ def tile(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         shared = spark.sparkContext.broadcast((small.ids, small.items, small.seeds, small.sorted, small.sieve))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            textops.release()
             known = Benchmark([], [], least)
             known.ids, known.items, known.seeds, known.sorted, known.sieve = shared.value
             for part in textops.slices(batches, text):

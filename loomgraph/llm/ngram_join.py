@@ -82,6 +82,7 @@ def _sketch_and_sets(docs: DataFrame, width: int) -> DataFrame:
     """Rows of documents (id, n, s1, s2) and, with a null n, blocks of each task's n-gram counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textops.release()
         counts = np.zeros(SKETCH, np.int64)
         names = ["id", "n", "s1", "s2", "block", "counts"]
         for part in textops.slices(batches, "text"):

@@ -174,7 +174,7 @@ class Encoder:
     digits go to the library several hundred at a time, with a chunk of one digit between each two.
     """
 
-    def __init__(self, path: str, spaced: bool = True, keep: int = 1_100_000):
+    def __init__(self, path: str, spaced: bool = True, keep: int = 700_000):
         from tokenizers import Tokenizer
 
         self.model, self.spaced, self.keep, self.known = Tokenizer.from_file(path), spaced, keep, {}
@@ -232,12 +232,23 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+_CACHE: list = [None, None]
+
+
+def cached(owner: tuple, make):
+    """What `make` gives, kept for later tasks of this Python worker until another owner asks: one table at a time."""
+    if _CACHE[0] != owner:
+        release()
+        _CACHE[:] = [owner, make()]
+    return _CACHE[1]
+
+
+def release() -> None:
+    """Lets go of the table that earlier tasks left in this Python worker."""
+    _CACHE[:] = [None, None]
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
-    """One Encoder for each file and Python worker, so that chunks met in one task serve the next."""
+    """One Encoder for each Python worker, so that chunks met in one task serve the next."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = Encoder(path, spaced)
-    return _ENCODERS[path, spaced]
+    return cached(("encoder", path, spaced), lambda: Encoder(path, spaced))

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from . import textops
 
 _PRETOKEN = re.compile(" +[^ ]*")
-_MODELS: dict[str, PieceCounter] = {}
 
 
 class PieceCounter:
@@ -56,11 +55,10 @@ def token_counts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model not in _MODELS:
-            _MODELS[model] = PieceCounter(model)
+        counter = textops.cached(("pieces", model), lambda: PieceCounter(model))
         for part in textops.slices(batches, "text"):
             texts = part.column("text")
-            n = np.array(_MODELS[model].totals([t or "" for t in texts.to_pylist()]), dtype=np.int64)
+            n = np.array(counter.totals([t or "" for t in texts.to_pylist()]), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(textops.lengths(texts)), pa.array(n), pa.array(n > most)], ["key", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text")

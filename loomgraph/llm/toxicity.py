@@ -18,7 +18,6 @@ from . import textops
 FRAME = b" ~0123456789ABCDEF~QWERTYUIOP~"
 LEVELS = (2, 3, 4, 5, 6)
 _STRIP = ".,;:!?\"'()[]|"
-_KNOWN: dict[int, dict[str, int]] = {}
 
 
 @dataclass(frozen=True)
@@ -76,13 +75,13 @@ def _dictionaries(toxic: list[str], ordinary: list[str], most: int) -> tuple[byt
 
 
 class _Scorer:
-    def __init__(self, model: ToxicityModel, keep: int = 500_000):
+    def __init__(self, model: ToxicityModel, keep: int = 300_000):
         import zstandard
 
         kind = zstandard.DICT_TYPE_RAWCONTENT
         make = lambda d: zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_checksum=False, write_dict_id=False)
         self.plain, self.toxic, self.keep = make(model.ordinary), make(model.toxic), keep
-        self.known = _KNOWN.setdefault(hash((model.ordinary, model.toxic)), {})
+        self.known = textops.cached(("toxicity", model.ordinary, model.toxic), dict)
 
     def saved(self, word: str) -> int:
         """Bytes that the toxic dictionary saves over the ordinary one; words of over 64 bytes are cut into windows."""
