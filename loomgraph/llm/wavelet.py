@@ -42,7 +42,7 @@ class WaveletMatrix:
             sums = np.bitwise_count(whole).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64)
             planes.append(packed.tobytes())
             ranks.append((np.cumsum(sums) - sums).astype("<u4").tobytes())
-            now = np.concatenate([now[~one], now[one]])
+            now = np.concatenate([now.compress(~one), now.compress(one)])
         return cls(len(ids), planes, ranks)
 
     def _bit(self, level: int, i: int) -> int:
@@ -95,8 +95,8 @@ class WaveletMatrix:
         for level in range(self.width - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n).view(bool)
             up = np.empty_like(now)
-            up[~one] = now[: self.zeros[level]]
-            up[one] = now[self.zeros[level] :] | (1 << (self.width - 1 - level))
+            up[np.flatnonzero(~one)] = now[: self.zeros[level]]
+            up[np.flatnonzero(one)] = now[self.zeros[level] :] | (1 << (self.width - 1 - level))
             now = up
         return now
 
