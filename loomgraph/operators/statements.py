@@ -1,10 +1,12 @@
-"""Ordered scans of statement lists: latest definitions, forward stores, case blocks, registrations."""
+"""Ordered scans of statement lists: latest definitions, forward stores, case blocks, registrations, values behind variables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import stored
+
 #: Calls that register a listener, and the handler that each calls.
 LISTENERS = {"setOnClickListener": "onClick", "setOnLongClickListener": "onLongClick", "setOnTouchListener": "onTouch", "setOnKeyListener": "onKey", "setOnItemClickListener": "onItemClick", "setOnItemSelectedListener": "onItemSelected"}
 
@@ -35,8 +37,6 @@ def registrations(calls: DataFrame, callee: str, listener: str) -> DataFrame:
 
 def superclasses(parents: DataFrame, rounds: int = 64) -> DataFrame:
     """(class, ancestor) over a table of (class, parent); cycles end, since known pairs are not followed again."""
-    from ..plans.scratch import stored
-
     seen = front = stored(parents.select("class", F.col("parent").alias("ancestor")).distinct())
     for _ in range(rounds):
         up = front.join(parents.select(F.col("class").alias("ancestor"), F.col("parent").alias("next")), "ancestor").select("class", F.col("next").alias("ancestor")).distinct()
@@ -45,3 +45,71 @@ def superclasses(parents: DataFrame, rounds: int = 64) -> DataFrame:
             return seen
         seen = seen.unionByName(front)
     raise RuntimeError("the hierarchy is deeper than expected")
+
+
+def follow_back(steps: DataFrame, scope: list[str], rounds: int = 32) -> DataFrame:
+    """(scope, pos, value, origin, site): what each statement's variable holds, followed back through assignments.
+
+    A step has scope, pos, lhs (the variable it assigns, or null), want (the variable it takes over, or null), value
+    (what it holds itself, if want is null) and site (true where the position is to be kept). The latest earlier
+    assignment of `want` is found for all steps by one window; these links are then doubled, so rounds grow with the
+    logarithm of the longest chain. origin is where the chain ends, site the kept position nearest to that end;
+    value is null where a variable is never assigned. Positions are distinct in a scope.
+    """
+    sets = steps.where("lhs IS NOT NULL").select(*scope, F.col("lhs").alias("var"), "pos", F.col("pos").alias("set"))
+    wants = steps.where("want IS NOT NULL").select(*scope, F.col("want").alias("var"), "pos", F.lit(None).cast(steps.schema["pos"].dataType).alias("set"))
+    before = Window.partitionBy(*scope, "var").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
+    found = sets.unionByName(wants).withColumn("up", F.last("set", ignorenulls=True).over(before)).where("set IS NULL").select(*scope, "pos", "up")
+    kept = F.when(F.col("site"), F.col("pos"))
+    now = steps.join(found, [*scope, "pos"], "left").select(*scope, "pos", F.when(F.col("want").isNull(), F.col("value")).alias("value"), F.col("pos").alias("origin"), kept.alias("site"), "up")
+    now = stored(now)
+    for _ in range(rounds):
+        if now.where("up IS NOT NULL").isEmpty():
+            return now.drop("up")
+        to = now.select(*scope, F.col("pos").alias("up"), F.col("value").alias("v"), F.col("origin").alias("o"), F.col("site").alias("s"), F.col("up").alias("next"))
+        moved = now.where("up IS NOT NULL").join(to, [*scope, "up"]).select(*scope, "pos", F.col("v").alias("value"), F.col("o").alias("origin"), F.coalesce("s", "site").alias("site"), F.col("next").alias("up"))
+        now = stored(now.where("up IS NULL").unionByName(moved))
+    raise RuntimeError("a chain of assignments is longer than expected")
+
+
+def _literal(text: Column) -> Column:
+    """The contents of a quoted argument; null for a variable or number."""
+    return F.when(text.startswith('"'), F.substr(text, F.lit(2), F.length(text) - 2))
+
+
+def string_behind(stmts: DataFrame, scope: list[str]) -> DataFrame:
+    """The text behind the first argument of every statement, through copies, wrapping calls and preferences.
+
+    stmts: scope, pos, lhs, rhs, rhs_kind (string, local, invoke or other), callee, args. Quoted arguments are texts and
+    names are variables. A call of getString with two arguments gives `[p] key default`; other calls pass their first
+    argument on, and one with neither a text nor a variable there is passed over. Other right sides end the chain.
+    """
+    first = F.get("args", F.lit(0))
+    stored_text = (F.col("rhs_kind") == "invoke") & F.contains(F.col("callee"), F.lit("getString")) & (F.size("args") == 2)
+    named = F.when(first.rlike("^[A-Za-z_$]"), first)
+    assigns = stmts.where("lhs IS NOT NULL AND rhs_kind IS NOT NULL")
+    calls = F.col("rhs_kind") == "invoke"
+    want = F.when(F.col("rhs_kind") == "local", F.col("rhs")).when(calls & ~stored_text, named)
+    value = F.when(F.col("rhs_kind") == "string", F.col("rhs")).when(stored_text, F.concat(F.lit("[p] "), first, F.lit(" "), F.get("args", F.lit(1)))).when(calls, _literal(first))
+    sets = assigns.select(*scope, "pos", "lhs", want.alias("want"), value.alias("value"), (~calls).alias("ends")).where("ends OR want IS NOT NULL OR value IS NOT NULL").drop("ends")
+    uses = stmts.where("lhs IS NULL").select(*scope, "pos", F.lit(None).cast("string").alias("lhs"), named.alias("want"), _literal(first).alias("value"))
+    return follow_back(sets.unionByName(uses).withColumn("site", F.lit(False)), scope).drop("site")
+
+
+def widget_behind(stmts: DataFrame, scope: list[str], fields: DataFrame) -> DataFrame:
+    """(scope, pos, value, origin, site): the widget id behind the receiver of every call, and the look-up it came from.
+
+    Casts and copies are followed back to a number, a field with a known id (fields: class, field, id; the scope has
+    `class`) or the argument of findViewById, whose position is `site`. A field without an id is passed over; another
+    call ends the chain without a value.
+    """
+    first = F.get("args", F.lit(0))
+    number = lambda c: F.when(c.rlike("^-?[0-9]+$"), c)
+    known = fields.groupBy("class", F.col("field").alias("rhs")).agg(F.min("id").cast("string").alias("field_id"), F.lit("field").alias("rhs_kind"))
+    assigns = stmts.where("lhs IS NOT NULL AND rhs_kind IS NOT NULL").join(known, ["class", "rhs", "rhs_kind"], "left")
+    find = (F.col("rhs_kind") == "invoke") & (F.col("callee") == "findViewById")
+    want = F.when(F.col("rhs_kind").isin("local", "cast"), F.col("rhs")).when(find & number(first).isNull(), first)
+    value = F.when(F.col("rhs_kind") == "int", F.col("rhs")).when(find, number(first)).when(F.col("rhs_kind") == "field", F.col("field_id"))
+    sets = assigns.where("rhs_kind <> 'field' OR field_id IS NOT NULL").select(*scope, "pos", "lhs", want.alias("want"), value.alias("value"), find.alias("site"))
+    uses = stmts.where("lhs IS NULL").select(*scope, "pos", F.lit(None).cast("string").alias("lhs"), F.col("receiver").alias("want"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("site"))
+    return follow_back(sets.unionByName(uses), scope)

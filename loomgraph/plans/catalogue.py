@@ -120,6 +120,14 @@ def reach_hop1(s, d):
     return graph.reach(e, nodes(s, d), e.where("type = 4").select(F.col("dst").alias("seed")), 1)
 
 
+@query(sql(", lib AS (SELECT p_partkey*3+2 AS seed, p_partkey*3+2 AS node FROM part UNION SELECT r.seed, e.dst FROM lib r JOIN ok e ON e.src=r.node AND e.api_call) SELECT seed, node FROM lib"))
+def reach_unbounded(s, d):
+    """Hop -1 among library methods, from each of them."""
+    n = stored(nodes(s, d))
+    library = n.where("NOT is_self AND NOT is_widget").select("node_id")
+    return graph.reach(stored(edges(s, d).join(library, F.col("src") == F.col("node_id"), "left_semi")), n, library.select(F.col("node_id").alias("seed")), -1)
+
+
 @query(sql("SELECT a.uid, a.eid, n_nodes, n_edges FROM (SELECT uid, eid, count(DISTINCT node) AS n_nodes FROM (SELECT uid, eid, src AS node FROM graph UNION ALL SELECT uid, eid, dst FROM graph) GROUP BY uid, eid) a JOIN (SELECT uid, eid, count(*) AS n_edges FROM graph GROUP BY uid, eid) b USING (uid, eid)"))
 def uhg_size(s, d):
     return graph.sizes(_graph(s, d))
@@ -347,6 +355,26 @@ def registered_handlers(s, d):
     return statements.registrations(calls, "callee", "listener").select("o_orderkey", "handler")
 
 
+_STEPS = """s AS (SELECT o_custkey, o_orderkey AS pos, 'v'||(o_orderkey%3) AS lhs, CASE o_orderkey%5 WHEN 1 THEN 'v'||(o_orderkey//5%3) WHEN 2 THEN 'v'||(o_orderkey//7%3) END AS want, CASE o_orderkey%5 WHEN 0 THEN o_orderpriority WHEN 3 THEN '[p] k '||o_orderstatus END AS value FROM orders),
+p AS (SELECT s.*, (SELECT max(d.pos) FROM s d WHERE d.o_custkey=s.o_custkey AND d.lhs=s.want AND d.pos<s.pos) AS up FROM s),
+walk AS (SELECT o_custkey, pos, pos AS origin, up, value FROM p UNION ALL SELECT w.o_custkey, w.pos, p.pos, p.up, p.value FROM walk w JOIN p ON p.o_custkey=w.o_custkey AND p.pos=w.up)"""
+
+
+@query(f"WITH RECURSIVE {_STEPS} SELECT o_custkey, pos, value, origin FROM walk WHERE up IS NULL")
+def string_behind_local(s, d):
+    kind, var = F.col("o_orderkey") % 5, lambda n: F.concat(F.lit("v"), (F.floor(F.col("o_orderkey") / n) % 3).cast("string"))
+    stmts = table(s, d, "orders").select(
+        "o_custkey",
+        F.col("o_orderkey").alias("pos"),
+        var(1).alias("lhs"),
+        F.when(kind == 0, F.col("o_orderpriority")).when(kind == 1, var(5)).alias("rhs"),
+        F.when(kind == 0, "string").when(kind == 1, "local").when(kind == 4, "other").otherwise("invoke").alias("rhs_kind"),
+        F.when(kind == 2, "valueOf").when(kind == 3, "getString").alias("callee"),
+        F.when(kind == 2, F.array(var(7))).when(kind == 3, F.array(F.lit("k"), "o_orderstatus")).alias("args"),
+    )
+    return statements.string_behind(stmts, ["o_custkey"]).select("o_custkey", "pos", "value", "origin")
+
+
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def json_maps(s, d):
     return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))

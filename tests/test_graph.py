@@ -139,3 +139,64 @@ def test_markup_tree(spark):
 def test_done_work_is_skipped(spark):
     w, log = spark.createDataFrame([(1,), (2,), (3,)], "app long"), spark.createDataFrame([(1, "ok"), (2, "failed")], "app long, status string")
     assert {r.app for r in increment.not_done(w, log, "app").collect()} == {2, 3}
+
+
+STMTS = "class string, pos int, lhs string, rhs string, rhs_kind string, callee string, receiver string, args array<string>"
+
+
+def test_string_behind(spark):
+    rows = [
+        ("A", 1, "a", "hello", "string", None, None, None),
+        ("A", 2, "b", "a", "local", None, None, None),
+        ("A", 3, "c", None, "invoke", "valueOf", None, ["b"]),
+        ("A", 4, "c", None, "invoke", "count", None, ["7"]),  # neither text nor variable: passed over
+        ("A", 5, None, None, None, "setText", "v", ["c"]),
+        ("A", 6, "a", "a", "local", None, None, None),
+        ("A", 7, None, None, None, "setText", "v", ["a"]),
+        ("A", 8, "p", None, "invoke", "getString", None, ['"k"', '"d"']),
+        ("A", 9, None, None, None, "setHint", "v", ["p"]),
+        ("A", 10, None, None, None, "setHint", "v", ['"own"']),
+        ("A", 11, None, None, None, "setHint", "v", ["never"]),
+        ("B", 12, None, None, None, "setHint", "v", ["a"]),
+        ("A", 13, "a", None, "other", None, None, None),
+        ("A", 14, None, None, None, "setText", "v", ["a"]),
+        ("A", 15, None, None, None, "run", "v", None),
+    ]
+    got = {r.pos: (r.value, r.origin) for r in statements.string_behind(spark.createDataFrame(rows, STMTS), ["class"]).collect()}
+    assert got[5] == ("hello", 1) and got[7] == ("hello", 1) and 4 not in got
+    assert got[9] == ('[p] "k" "d"', 8) and got[10] == ("own", 10)
+    assert got[11] == got[12][:1] + (11,) == (None, 11) and got[14] == (None, 13) and got[15] == (None, 15)
+    assert statements.string_behind(spark.createDataFrame([], STMTS), ["class"]).count() == 0
+
+
+def test_widget_behind(spark):
+    rows = [
+        ("A", 1, "i", "77", "int", None, None, None),
+        ("A", 2, "v", None, "invoke", "findViewById", None, ["i"]),
+        ("A", 3, "b", "v", "cast", None, None, None),
+        ("A", 4, None, None, None, "setOnClickListener", "b", ["this"]),
+        ("A", 5, "b", "known", "field", None, None, None),
+        ("A", 6, "b", "unknown", "field", None, None, None),
+        ("A", 7, None, None, None, "setOnClickListener", "b", ["this"]),
+        ("A", 8, "b", None, "invoke", "create", None, []),
+        ("A", 9, None, None, None, "setOnClickListener", "b", ["this"]),
+        ("B", 10, "b", None, "invoke", "findViewById", None, ["5"]),
+        ("B", 11, None, None, None, "setOnClickListener", "b", ["this"]),
+    ]
+    fields = spark.createDataFrame([("A", "known", 9), ("B", "unknown", 8)], "class string, field string, id int")
+    got = {r.pos: (r.value, r.origin, r.site) for r in statements.widget_behind(spark.createDataFrame(rows, STMTS), ["class"], fields).collect()}
+    assert (got[4], got[7], got[9], got[11]) == (("77", 1, 2), ("9", 5, None), (None, 8, None), ("5", 10, 10))
+
+
+def test_resource_writers(spark, tmp_path):
+    res = spark.createDataFrame([("x", "bool", "dark", 1, "true"), ("x", "integer", "n", 2, "3"), ("y", "drawable", "d<1>", 0x7F010203, None)], "app_id string, type string, name string, id int, value string")
+    readers.write_public(res, f"{tmp_path}/values")
+    back = spark.read.format("xml").option("rowTag", "public").schema("_type STRING, _name STRING, _id STRING, app_id STRING").load(f"{tmp_path}/values/public")
+    assert {tuple(r) for r in back.collect()} == {("bool", "dark", "0x00000001", "x"), ("integer", "n", "0x00000002", "x"), ("drawable", "d<1>", "0x7f010203", "y")}
+    readers.write_values(res, f"{tmp_path}/values")
+    rows = spark.read.format("xml").option("rowTag", "item").schema("_type STRING, _name STRING, _VALUE STRING, app_id STRING").load(f"{tmp_path}/values/drawables")
+    assert [tuple(r) for r in rows.collect()] == [("drawable", "d<1>", str(0x7F010203), "y")]
+    readers.write_manifest(spark.createDataFrame([("x", 30, None)], "app_id string, target int, least int"), f"{tmp_path}/manifest")
+    assert spark.read.format("xml").option("rowTag", "uses-sdk").schema("_targetSdkVersion STRING").load(f"{tmp_path}/manifest").first()[0] == "30"
+    readers.write_sub_layouts(spark.createDataFrame([("x", "b"), ("x", "a"), ("x", "a")], "app_id string, layout string"), f"{tmp_path}/sub")
+    assert json.loads(spark.read.text(f"{tmp_path}/sub").first()[0]) == ["a", "b"]
