@@ -161,6 +161,7 @@ def crc_of_id(ids: list) -> np.ndarray:
 
 
 _ODD = re.compile(r"[\s0-9<]")
+_CONTROL = "\x1c\x1d\x1e\x1f"
 
 
 class Encoder:
@@ -170,7 +171,8 @@ class Encoder:
     are those of its chunks one after another. A chunk is encoded once; the table of chunks keeps at most
     `keep` of them, and others are encoded anew in each slice. With `spaced` (the space belongs to the
     next pre-token), texts with other white space beside a space are encoded whole: a chunk that begins or ends
-    with white space is kept as None. New chunks without
+    with white space is kept as None. Without it white space is dropped, and any of it parts chunks (but in texts
+    with the four control characters that Python alone counts as white space). New chunks without
     digits go to the library several hundred at a time, with a chunk of one digit between each two.
     """
 
@@ -204,7 +206,7 @@ class Encoder:
         flat: list[str] = []
         heads, tails, ends = [], [], []
         for t in texts:
-            p = t.split(" ")
+            p = t.split(" ") if self.spaced or any(c in t for c in _CONTROL) else t.split()
             if self.spaced:  # the first chunk has no space before it, and the last may end in white space
                 heads.append(p[0])
                 tails.append(p.pop() if len(p) > 1 and (not p[-1] or p[-1][-1].isspace()) else None)
