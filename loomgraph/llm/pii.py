@@ -22,6 +22,7 @@ PATTERNS = {
 }
 _HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _OCTETS = r"^(0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.|$)){4}$"
+_WORD = r"(?<![\p{L}\p{N}])\p{L}{4,}+(?![\p{L}\p{N}])"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -69,57 +70,88 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("pii", F.concat(*[_kind_spans(body, k) for k in KINDS]))
 
 
-def context_terms(found: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 80) -> DataFrame:
-    """Words of four letters or more within `reach` code points of a span: key, entity, term, start, end, context."""
-    near = found.where(F.size("pii") > 0).select(F.col(key).alias("key"), F.col(text).alias("text"), F.explode("pii").alias("s"))
-    low = F.greatest(F.col("s.start") - reach, F.lit(0))
-    sides = F.array(
-        F.struct(low.alias("at"), F.substr("text", low + 1, F.col("s.start") - low).alias("part")),
-        F.struct(F.col("s.end").alias("at"), F.substr("text", F.col("s.end") + 1, F.lit(reach)).alias("part")),
-    )
-    word = r"(?<![\p{L}\p{N}])\p{L}{4,}+(?![\p{L}\p{N}])"
-    parts = near.select("key", F.col("s.value").alias("entity"), F.explode(sides).alias("p"))
-    words, gaps = F.regexp_extract_all("p.part", F.lit(word), F.lit(0)), F.split("p.part", word, -1)
-    size = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda x, y: x + F.length(y))
-    spots = F.transform(words, lambda w, i: F.struct(F.lower(w).alias("term"), (F.col("p.at") + size(gaps, i + 1) + size(words, i)).alias("start"), F.length(w).alias("n")))
-    return parts.select("key", "entity", F.xxhash64("p.part").alias("context"), F.explode(spots).alias("w")).select(
-        "key", "entity", "context", F.col("w.term").alias("term"), F.col("w.start").alias("start"), (F.col("w.start") + F.col("w.n")).alias("end")
-    )
-
-
-def disclosing_terms(terms: DataFrame, found: DataFrame, text: str = "text", threshold: float = 0.8, support: int = 4) -> DataFrame:
+def _rest(text: str) -> Column:
+    """The text with its base spans blanked, so that every other character keeps its place."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        start = F.greatest(s["start"], a["at"])
+        fresh = F.array(F.substr(body, a["at"] + 1, start - a["at"]), F.repeat(F.lit(" "), s["end"] - start))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], fresh).alias("out"))
+
+    done = F.aggregate(F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), begin, step)
+    return F.when(F.size("pii") > 0, F.concat(F.array_join(done["out"], ""), F.substr(body, done["at"] + 1, F.length(body)))).otherwise(body)
+
+
+def _terms(rest: Column) -> Column:
+    """The distinct words of four letters or more, lower-cased; one empty string where there are none."""
+    return F.array_distinct(F.split(F.lower(F.array_join(F.regexp_extract_all(rest, F.lit(_WORD), F.lit(0)), " ")), " "))
+
+
+def _spots(rest: Column, wanted: Column) -> Column:
+    """Spans of all words whose lower case is wanted, by start, in one pass over words and gaps."""
+    words, gaps = F.regexp_extract_all(rest, F.lit(_WORD), F.lit(0)), F.split(rest, _WORD, -1)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+
+    def step(a: Column, x: Column) -> Column:
+        start, term = a["at"] + F.length(x["gap"]), F.lower(x["word"])
+        end = start + F.length(x["word"])
+        span = F.array(F.struct(F.lit("term").alias("kind"), start.alias("start"), end.alias("end"), term.alias("value")))
+        return F.struct(end.alias("at"), F.when(F.array_contains(wanted, term), F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+
+    pairs = F.zip_with(words, F.slice(gaps, F.lit(1), F.size(words)), lambda w, g: F.struct(w.alias("word"), g.alias("gap")))
+    return F.aggregate(pairs, begin, step, lambda a: a["spans"])
+
+
+def disclosing_terms(rows: DataFrame, home: str, threshold: float = 0.8, support: int = 4, reach: int = 80) -> DataFrame:
     """(entity, term) whose normalised information reaches the threshold: log2(n(t,e) N / (n(t) n(e))) / log2(N / n(e)).
 
-    N is the number of documents, n(t) those with the term, n(e) those with the entity and n(t,e) the distinct
-    contexts in which both occur; copies of a passage are one context. Terms with less support are kept.
-    All counts are over the whole corpus.
+    Rows have a number, the text without base spans, the text's hash and pii. N, n(t) and n(e) are rows, copies
+    included, and n(t,e) the distinct texts that hold both anywhere. Copies of a passage count once for
+    support: it is the number of distinct contexts, `reach` code points on either side of the term's first
+    place in a text with the entity. Terms with less support are kept in the text.
     """
-    body = F.lower(F.coalesce(F.col(text), F.lit("")))
-    n = found.count()
-    pairs = terms.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    owners = terms.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    # Only documents that may hold a candidate matter, but n(t) needs every text: words are distinct in each document before they are counted.
-    seen = found.select(F.explode(F.array_distinct(F.split(body, r"[^\p{L}\p{N}]+"))).alias("term")).where(F.length("term") >= 4)
-    counts = seen.groupBy("term").agg(F.count("*").alias("n_t"))
-    told = F.log2(F.col("n_te") * n / (F.greatest("n_t", "n_te") * F.greatest("n_e", "n_te"))) / F.log2(F.lit(n) / F.greatest("n_e", "n_te"))
-    return pairs.join(owners, "entity").join(counts, "term").where((F.col("n_e") < n) & (told >= threshold)).select("entity", "term")
+    n = rows.count()
+    counts = rows.select(F.explode(_terms(F.col("rest"))).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n_t"))
+    holders = rows.where(F.size("pii") > 0)
+    # Rows of one text have the same entities and terms: the first stands for all of them.
+    owners = holders.select("row", "hash", F.explode(F.array_distinct(F.transform("pii", lambda s: s["value"]))).alias("entity")).groupBy("hash", "entity").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    known = owners.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("n_texts")).where((F.col("n_texts") >= support) & (F.col("n_e") < n))
+    # The threshold is n(t) <= n(t,e) (N / n(e)) ** (1 - threshold), and n(t,e) is at most n(e): other terms can't reach it.
+    owners = textops.stored(owners.join(known, "entity").select("row", "entity", "copies", "n_e", (F.col("n_e") * F.pow(n / F.col("n_e"), F.lit(1 - threshold)) + 1e-6).alias("most")), f"{home}/owners")
+    held = holders.join(owners.groupBy("row").agg(F.max("most").alias("row_most")), "row").select("row", "row_most", F.explode(_terms(F.col("rest"))).alias("term"))
+    near = held.join(counts.where(F.col("n_t") >= support), "term").where("n_t <= row_most").join(owners, "row").where("n_t <= most")
+    near = textops.stored(near.select("row", "entity", "term", "copies", "n_e", "n_t"), f"{home}/near")
+    told = F.log2(F.col("n_texts") * n / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
+    likely = near.groupBy("entity", "term").agg(F.count("*").alias("n_texts"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    likely = textops.stored(likely.where((F.col("n_texts") >= support) & (told >= threshold - 1e-9)).select("entity", "term"), f"{home}/likely")
+    pairs = near.join(likely, ["entity", "term"], "left_semi").select("row", "entity", "term")
+    wanted = pairs.groupBy("row").agg(F.collect_set("term").alias("wanted"))
+    spots = holders.join(wanted, "row").select("row", "rest", F.explode(_spots(F.col("rest"), F.col("wanted"))).alias("s"))
+    low = F.greatest(F.col("s.start") - reach, F.lit(0))
+    around = F.xxhash64(F.substr("rest", low + 1, F.col("s.end") + reach - low))
+    firsts = spots.groupBy("row", F.col("s.value").alias("term")).agg(F.min_by(around, "s.start").alias("context"))
+    contexts = pairs.join(firsts, ["row", "term"]).groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"))
+    return contexts.where(F.col("contexts") >= support).select("entity", "term")
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, support: int = 4) -> DataFrame:
     """Adds to docs `pii` (base spans) and `terms` (spans of kind term, by start) of every row; all columns stay.
 
-    Null and empty texts have no spans. Rows with one key share their term spans, which are cut to the text
-    when it is rewritten; null keys get base spans only. An empty table gives none. Columns named pii or
-    terms are replaced.
+    Terms are looked for in whole texts, outside base spans, and every occurrence of a disclosing term is
+    marked in every row, with or without the entity. Null and empty texts have no spans. Rows are told
+    apart by a number of their own, so null and repeated keys are treated as others. An empty table gives
+    none. Columns named pii or terms are replaced.
     """
-    spark = docs.sparkSession
-    found = find(docs.drop("pii", "terms"), text)
-    slim = textops.stored(found.select(F.col(key).alias(key), F.col(text).alias(text), "pii").where(F.size("pii") > 0), f"{textops.shared_dir(spark)}/found")
-    terms = context_terms(slim, key, text)
-    told = disclosing_terms(terms, found, text, threshold, support)
-    span = F.struct(F.lit("term").alias("kind"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("term").alias("value"))
-    extra = terms.join(told, ["entity", "term"]).groupBy("key").agg(F.array_sort(F.collect_set(span)).alias("terms"))
-    return found.join(extra.withColumnRenamed("key", "__key"), F.col(key) == F.col("__key"), "left").drop("__key").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))
+    home = textops.shared_dir(docs.sparkSession)
+    found = textops.stored(find(docs.drop("pii", "terms"), text).withColumn("__row", F.monotonically_increasing_id()), f"{home}/found")
+    rows = found.select(F.col("__row").alias("row"), _rest(text).alias("rest"), F.xxhash64(text).alias("hash"), "pii")
+    told = textops.stored(disclosing_terms(rows, home, threshold, support), f"{home}/told")
+    held = rows.select("row", F.explode(_terms(F.col("rest"))).alias("term")).join(told.select("term"), "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("__told"))
+    held = textops.stored(held.withColumnRenamed("row", "__row"), f"{home}/held")
+    terms = F.when(F.col("__told").isNotNull(), _spots(_rest(text), F.col("__told"))).otherwise(F.array().cast(SPAN))
+    return found.join(held, "__row", "left").withColumn("terms", terms).drop("__row", "__told")
 
 
 def digest(spans: Column) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -239,6 +240,17 @@ def test_disclosing_terms(spark):
     assert {(i, "zorblatt") for i in range(8)} <= found and not any(v in ("report", "today", "about") for _, v in found)
 
 
+def test_disclosing_terms_of_whole_texts(spark):
+    gap = lambda i: " ".join(f"gap{'abcdefghij'[i % 10]}{'klmnopqrst'[k % 10]}{i}" for k in range(20))
+    rows = [(i, f"Zorblatt {gap(i)} zorblatt {gap(i + 20)} contact ann@corp.com today, then {gap(i + 40)} ZORBLATT") for i in range(8)]
+    rows += [(50, f"nobody {gap(50)} knows zorblatt"), (None, "no key but zorblatt here"), (7, "same key, zorblatt again")] + [(100 + i, f"filler{i} report today about item{i}") for i in range(60)]
+    got = [(r.doc_id, r.text, [(s.start, s.end) for s in r.terms if s.value == "zorblatt"], {s.value for s in r.terms}) for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(rows)
+    for _, text, spans, _ in got:
+        assert spans == [(m.start(), m.end()) for m in re.finditer("zorblatt", text.lower())]
+    assert not any("report" in v or "corp" in v for *_, v in got)
+
+
 def test_wavelet_matrix():
     rng = np.random.RandomState(6)
     ids = rng.randint(0, 300, 3000).astype("<u4")
