@@ -107,10 +107,11 @@ def _spots(rest: Column, wanted: Column) -> Column:
 def disclosing_terms(rows: DataFrame, home: str, threshold: float = 0.8, support: int = 4, reach: int = 80) -> DataFrame:
     """(entity, term) whose normalised information reaches the threshold: log2(n(t,e) N / (n(t) n(e))) / log2(N / n(e)).
 
-    Rows have a number, the text without base spans, the text's hash and pii. N, n(t) and n(e) are rows, copies
-    included, and n(t,e) the distinct texts that hold both anywhere. Copies of a passage count once for
-    support: it is the number of distinct contexts, `reach` code points on either side of the term's first
-    place in a text with the entity. Terms with less support are kept in the text.
+    Rows have a number, the text without base spans, the text's hash and pii. Counts are over rows, copies
+    included, for all four: N, those with the term, those with the entity, and those with both anywhere in
+    the text. Copies of a passage count once for support: it is the number of distinct contexts, `reach`
+    code points on either side of the term's first place in a text with the entity. Terms with less
+    support are kept in the text.
     """
     n = rows.count()
     counts = rows.select(F.explode(_terms(F.col("rest"))).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n_t"))
@@ -123,8 +124,8 @@ def disclosing_terms(rows: DataFrame, home: str, threshold: float = 0.8, support
     held = holders.join(owners.groupBy("row").agg(F.max("most").alias("row_most")), "row").select("row", "row_most", F.explode(_terms(F.col("rest"))).alias("term"))
     near = held.join(counts.where(F.col("n_t") >= support), "term").where("n_t <= row_most").join(owners, "row").where("n_t <= most")
     near = textops.stored(near.select("row", "entity", "term", "copies", "n_e", "n_t"), f"{home}/near")
-    told = F.log2(F.col("n_texts") * n / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
-    likely = near.groupBy("entity", "term").agg(F.count("*").alias("n_texts"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    told = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
+    likely = near.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("n_texts"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
     likely = textops.stored(likely.where((F.col("n_texts") >= support) & (told >= threshold - 1e-9)).select("entity", "term"), f"{home}/likely")
     pairs = near.join(likely, ["entity", "term"], "left_semi").select("row", "entity", "term")
     wanted = pairs.groupBy("row").agg(F.collect_set("term").alias("wanted"))

@@ -251,6 +251,15 @@ def test_disclosing_terms_of_whole_texts(spark):
     assert not any("report" in v or "corp" in v for *_, v in got)
 
 
+def test_disclosing_terms_count_copies_alike(spark):
+    rows = [(40 * k + i, f"{'abcd'[k] * 5} report {'efgh'[k] * 5} by zorblatt contact ann@corp.com {'ijkl'[k] * 5}") for k in range(4) for i in range(40)]
+    rows += [(1000 + i, f"filler{i} report today about item{i}") for i in range(1000)]
+    rows += [(3000 + i, f"same report by grumpkin contact bob@corp.com here number {i}") for i in range(3)] + [(4000 + i, "one passage of wumpus with eve@corp.com in it") for i in range(40)]
+    got = {r.doc_id: {s.value for s in r.terms} for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("zorblatt" in got[i] for i in range(160))
+    assert not any(v & {"report", "grumpkin", "wumpus"} for v in got.values())  # fewer than four contexts
+
+
 def test_wavelet_matrix():
     rng = np.random.RandomState(6)
     ids = rng.randint(0, 300, 3000).astype("<u4")
