@@ -333,6 +333,13 @@ def superclass_closure(s, d):
     return statements.superclasses(parents)
 
 
+@query("WITH RECURSIVE p AS (SELECT o_orderkey AS class, o_orderkey//3 AS parent FROM orders WHERE o_orderkey>0), a AS (SELECT class, parent AS ancestor FROM p UNION SELECT a.class, p.parent FROM a JOIN p ON p.class=a.ancestor) SELECT class, ancestor FROM a")
+def superclass_closure_whole(s, d):
+    """The closure over all orders; superclass_closure and its SQL hold only keys below 2,000."""
+    parents = table(s, d, "orders").where("o_orderkey > 0").select(F.col("o_orderkey").alias("class"), F.floor(F.col("o_orderkey") / 3).cast("bigint").alias("parent"))
+    return statements.superclasses(parents)
+
+
 @query("SELECT conv_id, turn, last_value(CASE WHEN role='user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS defined FROM conversations")
 def latest_definition(s, d):
     return statements.latest_definition(table(s, d, "conversations"), ["conv_id"], "turn", "role = 'user'", "turn").select("conv_id", "turn", "defined")
