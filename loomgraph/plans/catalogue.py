@@ -234,11 +234,7 @@ def laplacian_features(s, d):
 
 @query(None)
 def word2vec_mean(s, d):
-    from pyspark.ml.feature import Word2Vec
-
-    sentences = _graph(s, d).join(nodes(s, d).select(F.col("node_id").alias("dst"), "name"), "dst").groupBy("uid", "eid").agg(F.array_sort(F.collect_set("name")).alias("words"))
-    model = Word2Vec(vectorSize=64, windowSize=5, minCount=1, maxIter=1, seed=7, inputCol="words", outputCol="vec").fit(sentences)
-    return model.transform(sentences).select("uid", "eid", F.size("words").alias("n_words"))
+    return evaluate.word2vec_mean(_graph(s, d), nodes(s, d), ["uid", "eid"])
 
 
 @query("SELECT vec_id, round((x-lo)/(hi-lo),6) AS scaled FROM (SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings), (SELECT min(embedding[1]::DOUBLE) AS lo, max(embedding[1]::DOUBLE) AS hi FROM embeddings)")

@@ -200,3 +200,14 @@ def test_resource_writers(spark, tmp_path):
     assert spark.read.format("xml").option("rowTag", "uses-sdk").schema("_targetSdkVersion STRING").load(f"{tmp_path}/manifest").first()[0] == "30"
     readers.write_sub_layouts(spark.createDataFrame([("x", "b"), ("x", "a"), ("x", "a")], "app_id string, layout string"), f"{tmp_path}/sub")
     assert json.loads(spark.read.text(f"{tmp_path}/sub").first()[0]) == ["a", "b"]
+
+
+def test_word2vec_mean(spark):
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(5)], "node_id long, name string")
+    sets = {1: [(0, 1)], 2: [(1, 2)], 3: [(0, 2)], 4: [(0, 1), (1, 2)]}
+    rows = [(u, 1, a, b, 0) for u, pairs in sets.items() for a, b in pairs] + [(4, 1, 3, 4, 4), (5, 1, 3, 4, 4)]
+    got = {r.uid: r for r in evaluate.word2vec_mean(spark.createDataFrame(rows, "uid long, eid long, src long, dst long, type int"), names, ["uid", "eid"]).collect()}
+    assert {u: r.n_words for u, r in got.items()} == {1: 2, 2: 2, 3: 2, 4: 3}
+    assert all(len(r.vec) == 64 and any(r.vec) for r in got.values())
+    for k in range(64):
+        assert 3 * got[4].vec[k] == pytest.approx(got[1].vec[k] + got[2].vec[k] + got[3].vec[k], abs=1e-6)
