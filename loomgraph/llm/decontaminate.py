@@ -18,9 +18,18 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+_APART = r"[^\x00-\x7F\p{L}\p{M}\p{N}]+"
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+
+
 def _words(texts: pa.Array) -> textops.Words:
-    """Runs of letters and digits, lower-cased in every script."""
-    return textops.Words(pc.utf8_lower(texts), textops.ALNUM_ONLY)
+    """Runs of letters, their marks and digits, lower-cased in every script; single characters in scripts without spaces."""
+    texts = pc.utf8_lower(texts.fill_null(""))
+    odd = pc.invert(pc.string_is_ascii(texts))
+    if pc.any(odd).as_py():
+        parted = pc.replace_substring_regex(texts.filter(odd), _APART, " ")
+        texts = pc.replace_with_mask(texts, odd, pc.replace_substring_regex(parted, _UNSPACED, r" \1 "))
+    return textops.Words(texts, textops.ALNUM_ONLY)
 
 
 def _rolling(words: np.ndarray, size: int) -> np.ndarray:
@@ -124,11 +133,11 @@ class Benchmark:
 def tile(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", least: int = 5, threshold: float = 0.6, most_bytes: int = 16_000_000) -> DataFrame:
     """Adds `matches` to docs: the benchmark items of whose words the tiles in the text cover the threshold or more.
 
-    Words are runs of letters and digits, lower-cased. Tiles may stand anywhere in the text, so that
+    Words are runs of letters and digits, lower-cased, and single characters in scripts without spaces. Tiles may stand anywhere in the text, so that
     passages in another order count. Items of fewer than `least` words, and null texts on either side, match
     nothing. Repeated rows are judged alike; an empty table gives none. A benchmark of at most most_bytes of
-    text goes to every task; a larger one is met by a join of seeds, in which documents with a null key
-    match nothing. A column named matches is replaced.
+    text goes to every task; a larger one is met by a join of seeds, in which rows of either side have a
+    number of their own, with the same results. A column named matches is replaced.
     """
     spark = docs.sparkSession
     keep = docs.drop("matches")
@@ -154,7 +163,7 @@ def tile(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                 found: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 for d in np.unique(doc).tolist():
                     own = where[doc == d]
-                    found[d] = known.matches(words.hash[words.first[d] : words.last[d]], own - words.first[d], grams[own], threshold)
+                    found[d] = sorted(known.matches(words.hash[words.first[d] : words.last[d]], own - words.first[d], grams[own], threshold), key=lambda m: tuple(m.values()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], [*part.schema.names, "matches"])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields)
@@ -178,11 +187,13 @@ def tile(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                 for m in one.matches(words.hash, where, grams[where], threshold):
                     yield pa.RecordBatch.from_pylist([{"id": r["id"], **m}])
 
-    kind = keep.schema[key].dataType.simpleString()
-    slim = keep.select(F.col(key).alias("id"), F.col(text).alias("body")).where("id IS NOT NULL AND body IS NOT NULL")
-    in_docs = slim.mapInArrow(seeds, f"id {kind}, seed long").distinct()
-    in_items = items.select(F.col("item").alias("id"), F.col("item_text").alias("body")).mapInArrow(seeds, "id long, seed long").distinct().withColumnRenamed("id", "item")
-    pairs = in_docs.join(in_items, "seed").select("id", "item").distinct()
-    judged = pairs.join(slim.dropDuplicates(["id", "body"]), "id").join(items, "item").select("id", "body", "item", "item_text").mapInArrow(judge, f"id {kind}, item_id long, n_words long, n_matched long, n_tiles long, coverage double")
-    lists = judged.distinct().groupBy("id").agg(F.sort_array(F.collect_list(F.struct("item_id", "n_words", "n_matched", "n_tiles", "coverage"))).alias("matches"))
-    return keep.join(lists.withColumnRenamed("id", "__id"), F.col(key) == F.col("__id"), "left").drop("__id").withColumn("matches", F.coalesce("matches", F.array().cast(MATCH)))
+    home, number = textops.shared_dir(spark), F.monotonically_increasing_id()
+    keep = textops.stored(keep.withColumn("__row", number), f"{home}/docs")
+    items = textops.stored(items.withColumn("number", number), f"{home}/items")
+    slim = keep.select(F.col("__row").alias("id"), F.col(text).alias("body")).where("body IS NOT NULL")
+    in_docs = slim.mapInArrow(seeds, "id long, seed long").distinct()
+    in_items = items.select(F.col("number").alias("id"), F.col("item_text").alias("body")).mapInArrow(seeds, "id long, seed long").distinct().withColumnRenamed("id", "number")
+    pairs = in_docs.join(in_items, "seed").select("id", "number").distinct()
+    judged = pairs.join(slim, "id").join(items, "number").select("id", "body", "item", "item_text").mapInArrow(judge, "id long, item_id long, n_words long, n_matched long, n_tiles long, coverage double")
+    lists = judged.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("item_id", "n_words", "n_matched", "n_tiles", "coverage"))).alias("matches"))
+    return keep.join(lists.withColumnRenamed("id", "__row"), "__row", "left").drop("__row").withColumn("matches", F.coalesce("matches", F.array().cast(MATCH)))

@@ -103,6 +103,19 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.tile(odd, items).count() == len(ODD) and decontaminate.tile(none, items).count() == 0
 
 
+def test_decontamination_by_characters_and_rows(spark):
+    item = " ".join(f"b{i}" for i in range(30))
+    marked = "\u201c" + "\u00a0".join(f"b{i}" for i in range(10)) + "\u201d\u2014" + "\uff0c".join(f"b{i}" for i in range(10, 20)) + "\u2013" + "\u2026".join(f"b{i}" for i in range(20, 30))
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(40))
+    hindi = "\u0939\u093f\u0928\u094d\u0926\u0940"
+    docs = spark.createDataFrame([(1, marked), (2, "\u524d\u6587" + han[:20] + "\u3002" + han[20:] + "\u540e"), (None, item), (5, item), (5, "other text"), (5, None), (6, " ".join([hindi] * 3))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (7, item), (8, han), (9, hindi + " " + hindi)], "item_id long, text string")
+    twice = [(7, 30, 30), (7, 30, 30)]
+    for most in (10**6, 0):
+        got = sorted((str(r.doc_id), r.text or "", [(m.item_id, m.n_words, m.n_matched) for m in r.matches]) for r in decontaminate.tile(docs, items, most_bytes=most).collect())
+        assert [(i, m) for i, _, m in got] == [("1", twice), ("2", [(8, 40, 40)]), ("5", []), ("5", twice), ("5", []), ("6", []), ("None", twice)]
+
+
 def test_tiles_never_overlap():
     rng = np.random.RandomState(2)
     a, b = rng.randint(1, 6, 200).astype(np.uint64), rng.randint(1, 6, 60).astype(np.uint64)
