@@ -13,6 +13,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 SLICE_BYTES = 6_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -41,6 +42,20 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have in any case: the given one, with as many underscores before it as it takes."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_fields(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of df and further fields."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the texts of one slice have about limit bytes; a single longer text stays whole."""
     for batch in batches:

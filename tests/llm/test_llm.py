@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -116,14 +117,52 @@ def test_decontamination_by_characters_and_rows(spark):
         assert [(i, m) for i, _, m in got] == [("1", twice), ("2", [(8, 40, 40)]), ("5", []), ("5", twice), ("5", []), ("6", []), ("None", twice)]
 
 
-def test_tiles_never_overlap():
-    rng = np.random.RandomState(2)
-    a, b = rng.randint(1, 6, 200).astype(np.uint64), rng.randint(1, 6, 60).astype(np.uint64)
-    tiles = decontaminate.greedy_tiles(a, b, 3)
-    assert tiles and all((a[x : x + n] == b[y : y + n]).all() for x, y, n in tiles)
-    for side in (0, 1):
-        used = [p for t in tiles for p in range(t[side], t[side] + t[2])]
-        assert len(used) == len(set(used))
+def _naive_tiles(text, item, least):
+    used_text, used_item, tiles = set(), set(), []
+    while True:
+        best = (0, 0, least - 1)
+        for a in range(len(text)):
+            for b in range(len(item)):
+                n = 0
+                while a + n < len(text) and b + n < len(item) and text[a + n] == item[b + n] and a + n not in used_text and b + n not in used_item:
+                    n += 1
+                if n > best[2]:
+                    best = (a, b, n)
+        a, b, n = best
+        if n < least:
+            return tiles
+        used_text |= set(range(a, a + n))
+        used_item |= set(range(b, b + n))
+        tiles.append(best)
+
+
+def test_tiles_are_those_of_plain_tiling():
+    rng = random.Random(2)
+    hashed = lambda x: decontaminate.textops.mix(np.array(x, np.uint64))
+    for _ in range(150):
+        words, least = rng.choice([1, 2, 3, 5]), rng.choice([2, 3, 5])
+        a, b = ([rng.randrange(words) for _ in range(rng.randrange(n))] for n in (60, 30))
+        assert decontaminate.greedy_tiles(hashed(a), hashed(b), least) == _naive_tiles(a, b, least)
+
+
+def test_tiles_of_repeated_words_take_no_time():
+    began = time.time()
+    for item, text in (("same " * 1000, "same " * 20000), ("buy now " * 500, "buy now " * 10000)):
+        known = decontaminate.Benchmark([1], [item], 5)
+        words = decontaminate._words(pa.array([text]))
+        grams = decontaminate.textops.chained(words.hash, 5)
+        at = known.hits(grams)
+        assert [m["n_matched"] for m in known.matches(words.hash, at, grams[at], 0.6)] == [1000]
+    assert time.time() - began < 10
+
+
+def test_decontamination_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "b1 b2 b3 b4 b5 b6", 7, "r", "mine"), (2, "", 8, None, None)], "doc_id long, text string, __row int, id string, Matches string")
+    items = spark.createDataFrame([(7, "b1 b2 b3 b4 b5 b6")], "item_id long, text string")
+    for most in (10**6, 0):
+        got = decontaminate.tile(docs, items, most_bytes=most, into="found").orderBy("doc_id").collect()
+        assert [tuple(r)[:5] for r in got] == [(1, "b1 b2 b3 b4 b5 b6", 7, "r", "mine"), (2, "", 8, None, None)]
+        assert [len(r.found) for r in got] == [1, 0]
 
 
 def test_pitman_yor(spark, odd, none):
