@@ -3,26 +3,25 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops
 
-#: Ends every window and both dictionaries: what follows a match costs the same under either.
+#: Ends every window and both dictionaries, so that a window always has a match and is never stored as it is.
 FRAME = b" ~0123456789ABCDEF~QWERTYUIOP~"
-LEVELS = (2, 3, 4, 5, 6)
-_STRIP = ".,;:!?\"'()[]|"
+LEVELS = (2, 3, 4, 5, 6, 8)
+LONGEST = 24
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Two raw-content dictionaries, and the weights of the calibrated features (none: a constant score)."""
+    """The two dictionaries and the weights of the calibrated features (none: the constant score `prior`)."""
 
     ordinary: bytes
     toxic: bytes
@@ -30,96 +29,101 @@ class ToxicityModel:
     prior: float
 
 
-def _words(text: str) -> list[str]:
-    return text.lower().split()
+def pieces(text: str) -> list[str]:
+    """Words by white space, lower-cased; those of over LONGEST characters in parts of that many."""
+    out = []
+    for w in text.lower().split():
+        out += [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
+    return out
 
 
-def _spread(texts: list[str]) -> Counter:
-    """For each word the texts that have it or the distinct words before it, whichever are fewer.
+def windows(text: str) -> list[str]:
+    """Every two pieces in a row, so that each is met with both of its neighbours; one alone is a window."""
+    p = pieces(text)
+    return [f"{a} {b}" for a, b in zip(p, p[1:], strict=False)] if len(p) > 1 else p
 
-    Neither copies of a text nor repeats within one add to it.
-    """
-    seen: dict[str, set[str]] = {}
-    within: Counter = Counter()
-    for t in texts:
-        before, own = "", set()
-        for w in _words(t):
-            w = w.strip(_STRIP)
-            if len(w) <= 32:
-                seen.setdefault(w, set()).add(before)
-                own.add(w)
-            before = w
-        within.update(own)
-    return Counter({w: min(len(s), within[w]) for w, s in seen.items()})
-
-
-def _dictionaries(toxic: list[str], ordinary: list[str], most: int) -> tuple[bytes, bytes]:
-    """Frequent ordinary words make the ordinary dictionary; the toxic one adds words that stand out in toxic texts."""
-    a, b = _spread(toxic), _spread(ordinary)
-    ratio = max(1, sum(a.values())) / max(1, sum(b.values()))
-    least = max(3, 0.01 * len(toxic))
-    marked = [(n, w) for w, n in a.items() if n >= least and n - 2 * math.sqrt(n) > 3 * ((m := b[w] * ratio) + 2 * math.sqrt(m))]
-    common = [(n, w) for w, n in b.items() if w and len(w) <= 20 and not a[w] > 3 * n * ratio]
-
-    def content(pairs: list[tuple[int, str]]) -> bytes:
-        out, size = [], 0
-        for _, w in sorted(pairs, key=lambda x: (-x[0], x[1])):
-            size += len(w.encode()) + 1
-            if size > most:
-                break
-            out.append(w.encode())
-        return b" " + b" ".join(out[::-1]) + b" "
-
-    base = content(common)
-    return base + FRAME, base + content(marked) + FRAME
 
+def _data(window: str) -> bytes:
+    return b" " + window.encode("utf-8", "replace") + b" "
 
-class _Scorer:
-    def __init__(self, model: ToxicityModel, keep: int = 300_000):
+
+class Compressor:
+    """Lengths of windows under one dictionary."""
+
+    def __init__(self, dictionary: bytes):
         import zstandard
 
-        kind = zstandard.DICT_TYPE_RAWCONTENT
-        make = lambda d: zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.plain, self.toxic, self.keep = make(model.ordinary), make(model.toxic), keep
-        self.known = textops.cached(("toxicity", model.ordinary, model.toxic), dict)
+        content = zstandard.ZstdCompressionDict(dictionary + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        params = zstandard.ZstdCompressionParameters.from_level(6, dict_size=len(dictionary) + len(FRAME), min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+        self.compress = zstandard.ZstdCompressor(dict_data=content, compression_params=params).compress
+
+    def length(self, window: str) -> int:
+        return len(self.compress(_data(window) + FRAME))
+
+
+def train(some: list[str], size: int) -> bytes:
+    """A zstandard dictionary of windows; where there is too little text to train one, the text itself."""
+    import zstandard
+
+    data = [_data(w) for w in some]
+    try:
+        return zstandard.train_dictionary(size, data, k=16, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(data)[-size:]
+
+
+def savings(ordinary: Compressor, toxic: Compressor, some: list[str]) -> np.ndarray:
+    """Bytes by which the toxic dictionary makes each window shorter than the ordinary one does; equal windows are done once."""
+    known = dict.fromkeys(some)
+    for w in known:
+        known[w] = ordinary.length(w) - toxic.length(w)
+    return np.fromiter(map(known.__getitem__, some), np.int64, len(some))
+
+
+def features(saved: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For texts of n windows each: the two largest savings, and for each level how many windows save so much, and their share."""
+    out = np.zeros((len(n), 2 + 2 * len(LEVELS)))
+    full = np.flatnonzero(n)
+    if not len(full):
+        return out
+    at, stop = (np.cumsum(n) - n)[full], np.cumsum(n)[full]
+    saved = np.clip(saved, -40, 40)
+    out[full, 0] = np.maximum.reduceat(saved, at) / 8
+    for row, a, b in zip(full.tolist(), at.tolist(), stop.tolist(), strict=True):
+        part = saved[a:b]
+        out[row, 1] = (np.partition(part, -3)[-3] if len(part) > 2 else part.min()) / 8  # a marked word lies in two windows
+    for k, level in enumerate(LEVELS):
+        hits = np.add.reduceat((saved >= level).astype(np.int64), at)
+        out[full, 2 + 2 * k] = np.log1p(hits)
+        out[full, 3 + 2 * k] = np.minimum(1, 20 * hits / n[full])
+    return out
 
-    def saved(self, word: str) -> int:
-        """Bytes that the toxic dictionary saves over the ordinary one; words of over 64 bytes are cut into windows."""
-        data = word.strip(_STRIP).encode("utf-8", "replace")
-        best = 0
-        for i in range(0, max(1, len(data)), 64):
-            window = b" " + data[i : i + 64] + FRAME
-            best = max(best, len(self.plain.compress(window)) - len(self.toxic.compress(window)))
-        return min(best, 100)
+
+class _Scorer:
+    """Features of texts; a window is compressed once in a slice, and short ones are kept for later slices."""
+
+    def __init__(self, model: ToxicityModel, keep: int = 800_000):
+        self.plain, self.toxic, self.keep = Compressor(model.ordinary), Compressor(model.toxic), keep
+        self.known = textops.cached(("toxicity", model.ordinary, model.toxic), dict)
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """For each text: the largest saving, and for each level log(1 + windows that save so much) and their share."""
-        flat, ends = [], []
+        flat: list[str] = []
+        ends = [0]
         for t in texts:
-            flat += _words(t)
+            flat += windows(t)
             ends.append(len(flat))
         got = list(map(self.known.get, flat))
         holes = [i for i, v in enumerate(got) if v is None]
-        fresh = {w: self.saved(w) for w in set(map(flat.__getitem__, holes))}
+        new = list(dict.fromkeys(map(flat.__getitem__, holes)))
+        fresh = dict(zip(new, savings(self.plain, self.toxic, new).tolist(), strict=True))
         for i in holes:
             got[i] = fresh[flat[i]]
-        if len(self.known) + len(fresh) <= self.keep:
+        if len(self.known) < self.keep:
             self.known.update(fresh)
-        saved, ends = np.array(got, dtype=np.int64), np.array(ends, dtype=np.int64)
-        n = np.diff(ends, prepend=0)
-        out = np.zeros((len(texts), 1 + 2 * len(LEVELS)))
-        full = np.flatnonzero(n)
-        if len(full):
-            at = (ends - n)[full]
-            out[full, 0] = np.maximum.reduceat(saved, at) / 8
-            for k, level in enumerate(LEVELS):
-                hits = np.add.reduceat((saved >= level).astype(np.int64), at)
-                out[full, 1 + 2 * k] = np.log1p(hits)
-                out[full, 2 + 2 * k] = np.minimum(1, 20 * hits / n[full])
-        return out
+        return features(np.array(got, dtype=np.int64), np.diff(np.array(ends, dtype=np.int64)))
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, ...]:
+def _calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Logistic regression with a small ridge, by Newton's steps."""
     z = np.hstack([np.ones((len(x), 1)), x])
     w, ridge = np.zeros(z.shape[1]), np.diag([1e-6] + [0.02] * x.shape[1])
@@ -129,45 +133,90 @@ def _calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, .
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-7:
             break
-    return tuple(map(float, w))
+    return w
+
+
+def _losses(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
+    return float(-np.mean(np.where(y == 1, np.log(p), np.log(1 - p))))
+
+
+def _marked(pool: list[str], plain: list[str], ordinary: Compressor, toxic: Compressor, lift: float) -> list[str]:
+    """The windows of toxic texts at the least saving that is `lift` times as frequent there as in ordinary texts."""
+    a, b = savings(ordinary, toxic, pool), savings(ordinary, toxic, plain)
+    for level in range(1, 41):
+        if (a >= level).mean() >= lift * max((b >= level).mean(), 1 / len(b)):
+            return [w for w, s in zip(pool, a.tolist(), strict=True) if s >= level]
+    return []
+
+
+def dictionaries(toxic: list[list[str]], ordinary: list[list[str]], sizes: tuple[int, int], lift: float, rounds: int) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs (ordinary, toxic) of dictionaries, each round's.
+
+    The toxic texts come in two halves. A dictionary trained on one half marks windows of the other that it
+    shortens and that ordinary texts seldom have; the next is trained on these. What a text says by chance is
+    not in the other half, so the windows that stay hold what toxic texts have in common. ordinary: windows
+    that train its dictionary, and others that only tell how often ordinary text saves as much.
+    """
+    base = train(ordinary[0], sizes[0])
+    plain, now = Compressor(base), toxic
+    yield base, train([w for half in now for w in half], sizes[1])
+    for _ in range(rounds):
+        made = [Compressor(train(half, sizes[1])) for half in now]
+        found = [_marked(toxic[1 - k], ordinary[1], plain, made[k], lift) for k in (1, 0)]
+        now = [f if len(f) >= 20 else old for f, old in zip(found, now, strict=True)]
+        yield base, train([w for half in now for w in half], sizes[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 2000, dictionary: int = 16_000) -> ToxicityModel:
-    """Trains on at most `sample` labelled documents of either class, those with the smallest hash of their key.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 2000, sample_bytes: int = 5_000_000, sizes: tuple[int, int] = (16_384, 4_096), lift: float = 12.0, rounds: int = 3) -> ToxicityModel:
+    """Trains on at most `sample` labelled documents and sample_bytes of text of either class, by the hash of their keys.
 
-    Three quarters of them (by a second hash) make the dictionaries and the rest calibrates the thresholds; with
-    fewer than 600 toxic ones, all do both. Labels that are null or other than 0 and 1 are left out. Without
-    documents of both classes the model's score is the share of toxic ones (0 without any).
+    Three quarters of them (by another hash) train the dictionaries, of sizes[0] bytes for ordinary and
+    sizes[1] for toxic text; the rest calibrates, and tells which round's pair of dictionaries to keep, at any
+    size of the input. Of texts that are equal one is taken. Labels that are null or other than 0 and 1 are
+    left out. Without documents of both classes in both parts the score is the share of toxic ones (0
+    without any).
     """
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)").groupBy("key").agg(F.max("label").alias("label"))
     picked = [known.where(F.col("label") == k).orderBy(F.xxhash64("key"), "key").limit(sample) for k in (0, 1)]
     chosen = picked[0].unionByName(picked[1])  # 2 * sample rows at most, small enough to broadcast
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "key").dropDuplicates(["key"]).orderBy("key").collect()
-    part = {k: [r for r in rows if r["label"] == k] for k in (0, 1)}
-    prior = len(part[1]) / max(1, len(rows))
-    if not part[0] or not part[1]:
-        return ToxicityModel(FRAME, FRAME, (), prior)
-    odd = lambda r: len(part[1]) >= 600 and bool(textops.crc_of_id([f"part {r['key']}"])[0] % 4 == 0)
-    learn = {k: [r["text"] for r in part[k] if not odd(r)] for k in (0, 1)}
-    ordinary, toxic = _dictionaries(learn[1], learn[0], dictionary)
-    model = ToxicityModel(ordinary, toxic, (), prior)
-    rest = [r for k in (0, 1) for r in part[k] if odd(r)] or rows
-    share = {k: known_share for k, known_share in known.groupBy("label").count().collect()}
-    x, y = _Scorer(model).features([r["text"] for r in rest]), np.array([r["label"] for r in rest], dtype=float)
-    weights = list(_calibrate(x, y))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("key"), body.alias("text"), F.octet_length(body).alias("bytes")).join(F.broadcast(chosen), "key").dropDuplicates(["text"])
+    so_far = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("sum", F.sum("bytes").over(so_far)).where(F.col("sum") <= sample_bytes).orderBy("key").select("key", "text", "label").collect()
+    share = dict(known.groupBy("label").count().collect())
+    prior = share.get(1, 0) / max(1, sum(share.values())) if rows else 0.0
+    part: dict[tuple[int, int], list[str]] = {(k, p): [] for k in (0, 1) for p in range(8)}
+    for r in rows:
+        part[r["label"], int(textops.crc_of_id([f"part {r['key']}"])[0] % 8)].append(r["text"])
+    taken = lambda k, some: [t for p in some for t in part[k, p]]
+    once: dict[str, str] = {}
+    flat = lambda texts: [once.setdefault(w, w) for t in texts for w in windows(t)]
+    rest = [(t, k) for k in (0, 1) for t in taken(k, (6, 7))]
+    toxic, ordinary = [flat(taken(1, (0, 1, 2))), flat(taken(1, (3, 4, 5)))], [flat(taken(0, (0, 1, 2, 3))), flat(taken(0, (4, 5)))]
+    if not all(toxic) or not all(ordinary) or len({k for _, k in rest}) < 2:
+        return ToxicityModel(b"", b"", (), prior)
+    y, n, some = np.array([k for _, k in rest], dtype=float), np.array([len(windows(t)) for t, _ in rest]), flat(t for t, _ in rest)
+    best: tuple[float, ToxicityModel] | None = None
     odds = lambda a, b: math.log(max(a, 0.5) / max(b, 0.5))
-    weights[0] += odds(share.get(1, 0), share.get(0, 0)) - odds(y.sum(), len(y) - y.sum())  # the sample's classes are of other sizes than the table's
-    return ToxicityModel(ordinary, toxic, tuple(weights), prior)
+    for plain, marked in dictionaries(toxic, ordinary, sizes, lift, rounds):
+        z = features(savings(Compressor(plain), Compressor(marked), some), n)
+        w = _calibrate(z, y)
+        loss = _losses(z, y, w)
+        if best is None or loss < best[0]:
+            w[0] += odds(share.get(1, 0), share.get(0, 0)) - odds(y.sum(), len(y) - y.sum())  # the sample's classes are of other sizes than the table's
+            best = (loss, ToxicityModel(plain, marked, tuple(map(float, w)), prior))
+    return best[1]
 
 
-def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scores every whole text: all columns of docs, and score (0 to 1) and predicted (1 from 0.5 on).
+def score(docs: DataFrame, model: ToxicityModel, text: str = "text", into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Scores every whole text: all columns of docs, and those named in `into`: the score (0 to 1) and 1 from 0.5 on, else 0.
 
-    Windows are the words of the text, lower-cased. A null or empty text has no windows and gets the score
+    Windows are every two words in a row, lower-cased. A null or empty text has no windows and gets the score
     of no saving. Repeated rows and null keys come back as they are; an empty table gives none. Columns
-    named score or predicted are replaced.
+    that have the names in `into` are replaced; all others stay.
     """
-    keep = docs.drop("score", "predicted")
+    keep = docs.drop(*into)
     at = keep.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +225,6 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
         for part in textops.slices(batches, text):
             texts = [t or "" for t in part.column(at).to_pylist()]
             p = 1 / (1 + np.exp(-np.clip(w[0] + scorer.features(texts) @ w[1:], -30, 30))) if len(w) else np.full(len(texts), model.prior)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*part.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*part.schema.names, *into])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields)
-    return keep.mapInArrow(run, f"{fields}, score double, predicted int")
+    return keep.mapInArrow(run, textops.with_fields(keep, f"`{into[0]}` double, `{into[1]}` int"))

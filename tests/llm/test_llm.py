@@ -233,23 +233,66 @@ def test_closest_fill_is_best():
         assert all(got[n] <= counts[n] for n in got) and sum(n * c for n, c in got.items()) == first + max(s for s in sums if first + s <= room)
 
 
-def test_toxicity(spark, none):
+def _toxic_table(spark, n=900, extra=()):
     rng = random.Random(1)
     docs, labels = [], []
-    for i in range(400):
-        words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.randrange(50)}" for _ in range(40)]
-        bad = i % 5 == 0
+    for i in range(n):
+        words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}{rng.choice(['', 'n', 'd', 'ing', 'er'])}" for _ in range(60)]
+        bad = i % 4 == 0
         if bad:
-            words[rng.randrange(40)] = words[rng.randrange(40)] = rng.choice(["horrid", "wretch"])
+            for k in rng.sample(range(60), 4):
+                words[k] = rng.choice(["horrid", "wretch"])
         docs.append((i, " ".join(words)))
         labels.append((i, int(bad)))
-    docs = spark.createDataFrame([*docs, (None, None), (999, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([*labels, (5000, None), (None, 1)], "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels)
-    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
-    assert sum(got[i].predicted == (i % 5 == 0) for i in range(400)) >= 396
-    assert got[999].score == got[None].score < 0.5
+    docs = spark.createDataFrame([*docs, *extra], "doc_id long, text string")
+    return docs, spark.createDataFrame([*labels, (5000, None), (None, 1), (0, 1)], "doc_id long, toxic int")
+
+
+def test_toxicity(spark, none):
+    docs, labels = _toxic_table(spark, extra=[(None, None), (999, ""), (0, "a repeated key"), (1000, "long " * 20000)])
+    model = toxicity.fit(docs.where("coalesce(doc_id, 0) < 700"), labels)
+    got = {}
+    for r in toxicity.score(docs, model).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    held = range(700, 900)
+    right = [got[i][0].predicted == (i % 4 == 0) for i in held]
+    assert sum(right) >= 190 and len(got[0]) == 2 and got[999][0].score == got[None][0].score < 0.5
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for rows in got.values() for r in rows)
     assert toxicity.score(none, model).count() == 0 and toxicity.fit(none, labels).weights == ()
+    few = toxicity.fit(docs.where("doc_id < 3"), labels)  # no part for calibration has both classes
+    assert few.weights == () and toxicity.score(docs.where("doc_id = 5"), few).first().score == few.prior
+
+
+def test_toxicity_keeps_clashing_columns(spark):
+    docs, labels = _toxic_table(spark, 60)
+    odd = docs.selectExpr("*", "'mine' AS Score", "7 AS predicted", "'x' AS label", "1 AS key")
+    got = toxicity.score(odd, toxicity.fit(odd, labels), into=("s", "p"))
+    assert got.columns == [*odd.columns, "s", "p"] and {tuple(r) for r in got.select("Score", "predicted", "label", "key").collect()} == {("mine", 7, "x", 1)}
+
+
+def test_window_savings_are_those_of_plain_compression():
+    import zstandard
+
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(["red", "green", "blue", "Sky", "x" * 60, "\u4e00" * 30]) for _ in range(n))
+    a, b = toxicity.train([text(3) for _ in range(400)], 600), toxicity.train(["tiny"], 600)
+    assert b == b" tiny "
+    texts = ["", "one", text(50), text(7)]
+    model = toxicity.ToxicityModel(a, b, (), 0)
+    for t in texts:
+        w = toxicity.windows(t)
+        joined = "".join(toxicity.pieces(t))
+        assert joined == t.lower().replace(" ", "") and all(len(p) <= toxicity.LONGEST for p in toxicity.pieces(t))
+        plain = []
+        for x in w:
+            size = []
+            for d in (a, b):
+                kind = zstandard.ZstdCompressionDict(d + toxicity.FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                params = zstandard.ZstdCompressionParameters.from_level(6, dict_size=len(d) + len(toxicity.FRAME), min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+                size.append(len(zstandard.ZstdCompressor(dict_data=kind, compression_params=params).compress(b" " + x.encode() + b" " + toxicity.FRAME)))
+            plain.append(size[0] - size[1])
+        want = toxicity.features(np.array(plain, np.int64), np.array([len(w)]))
+        assert (toxicity._Scorer(model, keep=3).features([t]) == want).all()
 
 
 def test_nearest_neighbours(spark):
