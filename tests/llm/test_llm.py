@@ -167,7 +167,8 @@ def test_decontamination_keeps_clashing_columns(spark):
 
 def test_pitman_yor(spark, odd, none):
     texts = [(i, " ".join(["red", "green", "blue", "sky"][(i + k) % 4] for k in range(20))) for i in range(200)]
-    rows = pitman_yor.score(spark.createDataFrame(texts, "doc_id long, text string"), group_bytes=2000).collect()
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = pitman_yor.score(table, slice_bytes=2000, bucket_bytes=3000).collect()
     train = [w for i, t in texts if zlib.crc32(str(i).encode()) % 10 for w in [*t.split(), None]]
     n, v = len(train), len(set(train))
     by = {w: train.count(w) for w in set(train)}
@@ -175,17 +176,99 @@ def test_pitman_yor(spark, odd, none):
         words = [*dict(texts)[r.doc_id].split(), None]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (21, 21, n)
         assert r.base_score == pytest.approx(sum(math.log10((by[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words))
-        assert r.score > r.base_score  # each word follows one other
+        assert r.score > r.base_score / 2  # each word follows one other
+    one = {r.doc_id: r.score for r in pitman_yor.score(table).collect()}
+    assert sum(abs(r.score - one[r.doc_id]) for r in rows) < 0.02 * -sum(one.values())
     got = pitman_yor.score(odd).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) for r in got) and pitman_yor.score(none).count() == 0
+    assert all(r.held_out for r in got if r.doc_id is None)
+    assert {r.train_tokens for r in pitman_yor.score(odd.where("doc_id is null")).collect()} == {0}
+
+
+def _seated(texts, sweeps, keep, seed=1):
+    """A plain sampler that holds every table: the averaged probability of each (previous word, word)."""
+    rng, (above, below), d = random.Random(seed), pitman_yor.STRENGTH, pitman_yor.DISCOUNT
+    pairs = [p for t in texts for w in [[None, *t.split(), None]] for p in zip(w, w[1:], strict=False)]
+    words = sorted({w for _, w in pairs}, key=str)
+    child, root = {}, {}
+    sizes = lambda r, w: r.setdefault(w, [])
+    total = lambda r: (sum(map(sum, r.values())), sum(map(len, r.values())))
+
+    def p_root(w):
+        c, t = total(root)
+        return (sum(sizes(root, w)) - d * len(sizes(root, w)) + (above + d * t) / (len(words) + 1)) / (above + c)
+
+    def p_child(u, w):
+        r = child.setdefault(u, {})
+        c, t = total(r)
+        return (sum(sizes(r, w)) - d * len(sizes(r, w)) + (below + d * t) * p_root(w)) / (below + c)
+
+    def seat(r, w, fresh):
+        weights = [n - d for n in sizes(r, w)] + [fresh]
+        k = rng.choices(range(len(weights)), weights)[0]
+        r[w] += [0] if k == len(r[w]) else []
+        r[w][k] += 1
+        return r[w][k] == 1
+
+    def leave(r, w):
+        k = rng.choices(range(len(r[w])), r[w])[0]
+        r[w][k] -= 1
+        if not r[w][k]:
+            del r[w][k]
+            return True
+        return False
+
+    def add(u, w):
+        r = child.setdefault(u, {})
+        if seat(r, w, (below + d * total(r)[1]) * p_root(w)):
+            seat(root, w, (above + d * total(root)[1]) / (len(words) + 1))
+
+    for u, w in pairs:
+        sizes(child.setdefault(u, {}), w), sizes(root, w)
+        add(u, w)
+    out = {}
+    for k in range(sweeps):
+        for u, w in pairs:
+            if leave(child[u], w):
+                leave(root, w)
+            add(u, w)
+        if k >= sweeps - keep:
+            for p in set(pairs):
+                out[p] = out.get(p, 0) + p_child(*p) / keep
+    return out
+
+
+def test_pitman_yor_is_the_plain_sampler(spark):
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice(["a", "a b", "c", "a b", "d e"]) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    rows = {r.doc_id: r for r in pitman_yor.score(spark.createDataFrame(texts, "doc_id long, text string"), sweeps=8, keep=6).collect()}
+    p = _seated([t for i, t in texts if not rows[i].held_out], 150, 120)
+    wanted = {i: sum(math.log10(p[pair]) for w in [[None, *t.split(), None]] for pair in zip(w, w[1:], strict=False)) for i, t in texts if not rows[i].held_out}
+    assert all(rows[i].score == pytest.approx(s, rel=0.05) for i, s in wanted.items())
+    assert sum(rows[i].score for i in wanted) == pytest.approx(sum(wanted.values()), rel=0.01)
 
 
 def test_probabilities_add_up_to_one():
-    keys = np.sort((np.arange(1, 8, dtype=np.uint64) << np.uint64(40)) | np.uint64(1600))
-    counts = np.array([9, 1, 4, 0, 2, 70, 1])
-    got = pitman_yor.sample_bucket(keys, counts, 1.0, 3, 2, 1) | {"c2": counts}
-    p = pitman_yor.probabilities(got, np.full(7, 1600), [got["totals_0"], got["totals_1"]], 6)
-    assert p.sum() == pytest.approx(1)
+    rng = np.random.RandomState(3)
+    c, known = rng.randint(0, 30, 50), 50
+    t = np.minimum(c, rng.randint(1, 9, 50))
+    above = pitman_yor.parent(c, t, c.sum(), t.sum(), known)
+    unknown = pitman_yor.parent(np.zeros(1), np.zeros(1), c.sum(), t.sum(), known)
+    assert above.sum() + unknown[0] == pytest.approx(1)
+    both = np.append(above, unknown)
+    held = rng.randint(0, 5, 51)
+    assert pitman_yor.child(held, np.minimum(held, 1), held.sum(), (held > 0).sum(), both).sum() == pytest.approx(1)
+
+
+def test_moves_keep_the_share_of_tables():
+    """Of three customers of one dish, where a new table is as likely as by the weights below, by counting seatings."""
+    rng, n, fresh = np.random.default_rng(5), 40000, 0.7
+    t = pitman_yor.move(np.ones(n, np.int64), np.full(n, 3), np.full(n, fresh), rng, 1)
+    for _ in range(60):
+        t = pitman_yor.move(t, np.full(n, 3), np.full(n, fresh), rng, 2)
+    d = pitman_yor.DISCOUNT
+    ways = np.array([(1 - d) * (2 - d), 3 * (1 - d) * fresh, fresh * fresh])  # seatings at one, two and three tables
+    assert np.abs(np.bincount(t, minlength=4)[1:] / n - ways / ways.sum()).max() < 0.01
 
 
 def test_chat_round_trip(spark):
