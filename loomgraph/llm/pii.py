@@ -64,13 +64,13 @@ def _kind_spans(text: Column, kind: str) -> Column:
     return F.when(hint, F.aggregate(pairs, begin, step, lambda a: a["spans"])).otherwise(F.array().cast(SPAN))
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `pii`: spans (kind, start, end, value) of the base kinds in order of KINDS, then start; none for a null text."""
+def base_spans(text: str = "text") -> Column:
+    """Spans (kind, start, end, value) of the base kinds in order of KINDS, then start; none for a null text."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn("pii", F.concat(*[_kind_spans(body, k) for k in KINDS]))
+    return F.concat(*[_kind_spans(body, k) for k in KINDS])
 
 
-def _rest(text: str) -> Column:
+def _rest(text: str, spans: str = "pii") -> Column:
     """The text with its base spans blanked, so that every other character keeps its place."""
     body = F.coalesce(F.col(text), F.lit(""))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -80,8 +80,8 @@ def _rest(text: str) -> Column:
         fresh = F.array(F.substr(body, a["at"] + 1, start - a["at"]), F.repeat(F.lit(" "), s["end"] - start))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], fresh).alias("out"))
 
-    done = F.aggregate(F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), begin, step)
-    return F.when(F.size("pii") > 0, F.concat(F.array_join(done["out"], ""), F.substr(body, done["at"] + 1, F.length(body)))).otherwise(body)
+    done = F.aggregate(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), begin, step)
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(done["out"], ""), F.substr(body, done["at"] + 1, F.length(body)))).otherwise(body)
 
 
 def _terms(rest: Column) -> Column:
@@ -137,22 +137,23 @@ def disclosing_terms(rows: DataFrame, home: str, threshold: float = 0.8, support
     return contexts.where(F.col("contexts") >= support).select("entity", "term")
 
 
-def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, support: int = 4) -> DataFrame:
-    """Adds to docs `pii` (base spans) and `terms` (spans of kind term, by start) of every row; all columns stay.
+def detect(docs: DataFrame, text: str = "text", threshold: float = 0.8, support: int = 4, into: tuple[str, str] = ("pii", "terms")) -> DataFrame:
+    """Adds to docs, in the columns named by `into`, the base spans and the term spans (by start) of every row.
 
     Terms are looked for in whole texts, outside base spans, and every occurrence of a disclosing term is
     marked in every row, with or without the entity. Null and empty texts have no spans. Rows are told
     apart by a number of their own, so null and repeated keys are treated as others. An empty table gives
-    none. Columns named pii or terms are replaced.
+    none. Columns that have the names in `into` are replaced; all others stay.
     """
     home = textops.shared_dir(docs.sparkSession)
-    found = textops.stored(find(docs.drop("pii", "terms"), text).withColumn("__row", F.monotonically_increasing_id()), f"{home}/found")
-    rows = found.select(F.col("__row").alias("row"), _rest(text).alias("rest"), F.xxhash64(text).alias("hash"), "pii")
+    row, told_here, body = textops.unused(docs, "row"), textops.unused(docs, "told"), F.col(text)
+    found = textops.stored(docs.drop(*into).withColumn(into[0], base_spans(text)).withColumn(row, F.monotonically_increasing_id()), f"{home}/found")
+    rows = found.select(F.col(row).alias("row"), F.coalesce(body, F.lit("")).alias("body"), F.xxhash64(body).alias("hash"), F.col(into[0]).alias("pii")).withColumn("rest", _rest("body")).drop("body")
     told = textops.stored(disclosing_terms(rows, home, threshold, support), f"{home}/told")
-    held = rows.select("row", F.explode(_terms(F.col("rest"))).alias("term")).join(told.select("term"), "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("__told"))
-    held = textops.stored(held.withColumnRenamed("row", "__row"), f"{home}/held")
-    terms = F.when(F.col("__told").isNotNull(), _spots(_rest(text), F.col("__told"))).otherwise(F.array().cast(SPAN))
-    return found.join(held, "__row", "left").withColumn("terms", terms).drop("__row", "__told")
+    held = rows.select("row", F.explode(_terms(F.col("rest"))).alias("term")).join(told.select("term"), "term", "left_semi").groupBy(F.col("row").alias(row)).agg(F.collect_set("term").alias(told_here))
+    held = textops.stored(held, f"{home}/held")
+    terms = F.when(F.col(told_here).isNotNull(), _spots(_rest(text, into[0]), F.col(told_here))).otherwise(F.array().cast(SPAN))
+    return found.join(held, row, "left").withColumn(into[1], terms).drop(row, told_here)
 
 
 def digest(spans: Column) -> Column:
@@ -160,9 +161,9 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def sanitise(detected: DataFrame, text: str = "text") -> DataFrame:
-    """Rewrites texts: base spans become [KIND], disclosing terms [TERM]; overlapping spans are one. Drops pii and terms."""
-    spans = F.array_sort(F.transform(F.concat("pii", "terms"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind"))))
+def sanitise(detected: DataFrame, text: str = "text", columns: tuple[str, str] = ("pii", "terms")) -> DataFrame:
+    """Rewrites texts: base spans become [KIND], disclosing terms [TERM]; overlapping spans are one. Drops the two columns of spans."""
+    spans = F.array_sort(F.transform(F.concat(*columns), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     body = F.col(text)
 
@@ -172,4 +173,4 @@ def sanitise(detected: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(a["at"], end).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], fresh)).otherwise(a["out"]).alias("out"))
 
     done = F.aggregate(spans, begin, step)
-    return detected.withColumn(text, F.when(F.size(spans) > 0, F.concat(F.array_join(done["out"], ""), F.substr(body, done["at"] + 1, F.length(body)))).otherwise(body)).drop("pii", "terms")
+    return detected.withColumn(text, F.when(F.size(spans) > 0, F.concat(F.array_join(done["out"], ""), F.substr(body, done["at"] + 1, F.length(body)))).otherwise(body)).drop(*columns)
