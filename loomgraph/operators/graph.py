@@ -20,11 +20,11 @@ def adjacency(edges: DataFrame, find_edge: bool = False) -> DataFrame:
     return kept.select(F.when(hold, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(hold, F.col("src")).otherwise(F.col("dst")).alias("dst"), "type")
 
 
-def eligible(edges: DataFrame, nodes: DataFrame, calls: list[str] = (), classes: list[str] = ()) -> DataFrame:
-    """Edges that a traversal may take, with whether both ends are library methods (api_call)."""
+def eligible(edges: DataFrame, nodes: DataFrame, calls: list[str] = (), classes: list[str] = (), find_edge: bool = False) -> DataFrame:
+    """Edges that a traversal may take, with whether each end is an own method and whether both are library methods (api_call)."""
     ends = nodes.select(F.col("node_id").alias("dst"), F.col("is_self").alias("dst_self"), is_noise(F.col("name"), calls, classes).alias("noise"))
     starts = nodes.select(F.col("node_id").alias("src"), F.col("is_self").alias("src_self"))
-    return adjacency(edges).join(ends, "dst").where("NOT noise").join(starts, "src").select("src", "dst", "type", ((F.col("type") == CALL) & ~F.col("dst_self") & ~F.col("src_self")).alias("api_call"), "dst_self")
+    return adjacency(edges, find_edge).join(ends, "dst").where("NOT noise").join(starts, "src").select("src", "dst", "type", ((F.col("type") == CALL) & ~F.col("dst_self") & ~F.col("src_self")).alias("api_call"), "src_self", "dst_self")
 
 
 def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 40) -> DataFrame:
@@ -52,34 +52,53 @@ def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 40) -> DataFrame:
     return led.unionByName(led.join(ends, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"))).distinct()
 
 
-def reach(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, hop: int = 0) -> DataFrame:
-    """(seed, node) under the hop rule: from a library method at most `hop` further library calls; -1 has no limit."""
-    ok = stored(eligible(edges, nodes))
-    if hop < 0:
-        return closure(ok, seeds)
-    seen = stored(closure(ok.where("NOT api_call"), seeds))
-    api = nodes.where("NOT is_self AND NOT is_widget").select(F.col("node_id").alias("node"))
-    front = seen.join(api, "node", "left_semi")
-    for _ in range(hop):
-        fresh = front.join(ok.where("api_call"), F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti")
-        front = stored(fresh)
-        seen = seen.unionByName(front)
-    return seen
+def _by_depth(ok: DataFrame, hop: int) -> DataFrame:
+    """The edges among pairs of a node and its depth, as node * (hop + 2) + depth + 1.
+
+    Own methods have the depth -1, whatever led to them; a library method that an own one calls has 0, one that
+    a library method calls has one more than that.
+    """
+    wide = hop + 2
+    depths = F.when(F.col("src_self"), F.array(F.lit(-1))).when(F.col("api_call"), F.sequence(F.lit(0), F.lit(hop - 1))).otherwise(F.sequence(F.lit(0), F.lit(hop)))
+    deep = ok.withColumn("d", F.explode(depths))
+    to = F.when(F.col("dst_self"), F.lit(0)).when(F.col("api_call"), F.col("d") + 2).otherwise(F.lit(1))
+    return deep.select((F.col("src") * wide + F.col("d") + 1).alias("src"), (F.col("dst") * wide + to).alias("dst"))
+
+
+def _visits(ok: DataFrame, nodes: DataFrame, seeds: DataFrame, hop: int) -> DataFrame:
+    """(seed, node, depth): all that a seed reaches, with the least depth it has there; without a limit the depth is null."""
+    none = F.lit(None).cast("bigint").alias("depth")
+    if hop < 1:
+        return closure(ok if hop < 0 else ok.where("NOT api_call"), seeds).select("seed", "node", none)
+    wide = hop + 2
+    start = seeds.distinct().join(nodes.select(F.col("node_id").alias("seed"), "is_self"), "seed").select((F.col("seed") * wide + F.when(F.col("is_self"), 0).otherwise(1)).alias("seed"))
+    pairs = closure(_by_depth(ok, hop), start)
+    at = lambda c: F.expr(f"{c} div {wide}")
+    return pairs.groupBy(at("seed").alias("seed"), at("node").alias("node")).agg((F.min(F.col("node") % wide) - 1).alias("depth"))
+
+
+def reach(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, hop: int = 0, calls: list[str] = (), classes: list[str] = (), find_edge: bool = False) -> DataFrame:
+    """(seed, node) under the hop rule: from an own method's library call at most `hop` library calls on; -1 has no limit.
+
+    A library method that calls an own one leads back to it, and its calls count anew. Of several ways to a
+    node the shortest counts.
+    """
+    return _visits(stored(eligible(edges, nodes, calls, classes, find_edge)), nodes, seeds, hop).select("seed", "node")
 
 
-def handler_edges(edges: DataFrame, nodes: DataFrame, hop: int = 0) -> DataFrame:
-    """(uid, eid, src, dst, type) of every handler graph of more than one edge."""
+def handler_edges(edges: DataFrame, nodes: DataFrame, hop: int = 0, calls: list[str] = (), classes: list[str] = (), find_edge: bool = False) -> DataFrame:
+    """(uid, eid, src, dst, type) of every handler graph of more than one edge; methods with a listed word are not entered."""
     events = edges.where(F.col("type") == EVENT).select(F.col("src").alias("uid"), F.col("dst").alias("eid")).distinct()
-    ok = eligible(edges, nodes)
-    if hop == 0:
-        ok = ok.where("NOT api_call")
-    visited = stored(reach(edges, nodes, events.select(F.col("eid").alias("seed")), hop))
-    out = visited.join(ok, F.col("node") == F.col("src")).select("seed", "src", "dst", "type")
+    ok = stored(eligible(edges, nodes, calls, classes, find_edge))
+    visited = stored(_visits(ok, nodes, events.select(F.col("eid").alias("seed")), hop))
+    taken = visited.join(ok, F.col("node") == F.col("src"))
+    if hop >= 0:
+        taken = taken.where(~F.col("api_call") | (F.col("depth") < hop))
+    out = taken.select("seed", "src", "dst", "type")
     widgets = nodes.where("is_widget").select(F.col("node_id").alias("src"))
     into = edges.where(F.col("type").isin(USE, EVENT)).join(widgets, "src", "left_semi")
     users = visited.join(into, F.col("node") == F.col("dst")).select("seed", "src", "dst", "type")
-    body = out.unionByName(users)
-    full = events.join(body, F.col("eid") == F.col("seed")).select("uid", "eid", "src", "dst", "type")
+    full = events.join(out.unionByName(users), F.col("eid") == F.col("seed")).select("uid", "eid", "src", "dst", "type")
     own = events.select("uid", "eid", F.col("uid").alias("src"), F.col("eid").alias("dst"), F.lit(EVENT).alias("type"))
     every = stored(full.unionByName(own).distinct())
     big = every.groupBy("uid", "eid").count().where("count > 1").select("uid", "eid")

@@ -11,7 +11,7 @@ from ..functions import names
 from ..operators import evaluate, graph, link, statements
 from ..sources import readers
 from ..streaming import increment
-from .fixture import SQL, edges, nodes, sql, table
+from .fixture import SQL, edges, hop1_sql, nodes, sql, table
 from .scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,12 +114,17 @@ def reach_hop0(s, d):
     return graph.reach(e, nodes(s, d), e.where("type = 4").select(F.col("dst").alias("seed")), 0)
 
 
-@query(sql("SELECT seed, node FROM reach1"))
+@query(hop1_sql("SELECT DISTINCT seed, node FROM deep"))
 def reach_hop1(s, d):
-    e = stored(edges(s, d))
+    e = stored(edges(s, d, callbacks=True))
     return graph.reach(e, nodes(s, d), e.where("type = 4").select(F.col("dst").alias("seed")), 1)
 
 
+@query(hop1_sql("SELECT uid, eid, src, dst, type FROM every1 WHERE (uid,eid) IN (SELECT (uid,eid) FROM every1 GROUP BY uid,eid HAVING count(*)>1)"))
+def uhg_edges_hop1(s, d):
+    return graph.handler_edges(stored(edges(s, d, callbacks=True)), stored(nodes(s, d)), 1)
+
+
 @query(sql(", lib AS (SELECT p_partkey*3+2 AS seed, p_partkey*3+2 AS node FROM part UNION SELECT r.seed, e.dst FROM lib r JOIN ok e ON e.src=r.node AND e.api_call) SELECT seed, node FROM lib"))
 def reach_unbounded(s, d):
     """Hop -1 among library methods, from each of them."""
@@ -323,15 +328,8 @@ def layout_stats(s, d):
     return tree.groupBy("page_id").agg(F.count("*").alias("n_elements"), F.max("depth").alias("deepest"), F.countDistinct("tag").alias("n_tags"))
 
 
-@query("WITH RECURSIVE p AS (SELECT o_orderkey AS class, o_orderkey//3 AS parent FROM orders WHERE o_orderkey<2000 AND o_orderkey>0), a AS (SELECT class, parent AS ancestor FROM p UNION SELECT a.class, p.parent FROM a JOIN p ON p.class=a.ancestor) SELECT class, ancestor FROM a")
-def superclass_closure(s, d):
-    parents = table(s, d, "orders").where("o_orderkey < 2000 AND o_orderkey > 0").select(F.col("o_orderkey").alias("class"), F.floor(F.col("o_orderkey") / 3).cast("bigint").alias("parent"))
-    return statements.superclasses(parents)
-
-
 @query("WITH RECURSIVE p AS (SELECT o_orderkey AS class, o_orderkey//3 AS parent FROM orders WHERE o_orderkey>0), a AS (SELECT class, parent AS ancestor FROM p UNION SELECT a.class, p.parent FROM a JOIN p ON p.class=a.ancestor) SELECT class, ancestor FROM a")
-def superclass_closure_whole(s, d):
-    """The closure over all orders; superclass_closure and its SQL hold only keys below 2,000."""
+def superclass_closure(s, d):
     parents = table(s, d, "orders").where("o_orderkey > 0").select(F.col("o_orderkey").alias("class"), F.floor(F.col("o_orderkey") / 3).cast("bigint").alias("parent"))
     return statements.superclasses(parents)
 

@@ -22,8 +22,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.unionByName(m).unionByName(a)
 
 
-def edges(spark: SparkSession, sf_dir: str, ring: bool = True) -> DataFrame:
-    """EVENT, USE and HOLD edges, and calls: own methods of a customer in order (closed to a ring), to parts, between parts."""
+def edges(spark: SparkSession, sf_dir: str, ring: bool = True, callbacks: bool = False) -> DataFrame:
+    """EVENT, USE and HOLD edges, and calls: own methods of a customer in order (closed to a ring), to parts, between parts.
+
+    With callbacks one part in 200 calls an own method.
+    """
     c, o, p, l = (table(spark, sf_dir, t) for t in ("customer", "orders", "part", "lineitem"))
     kind = lambda d, k: d.select("src", "dst", F.lit(k).alias("type"))
     touch = lambda pr, k: kind(o.where(F.col("o_orderpriority") == pr).select((F.col("o_custkey") * 3).alias("src"), (F.col("o_orderkey") * 3 + 1).alias("dst")), k)
@@ -37,7 +40,8 @@ def edges(spark: SparkSession, sf_dir: str, ring: bool = True) -> DataFrame:
     inner = kind(p.join(F.broadcast(n)).select((F.col("p_partkey") * 3 + 2).alias("src"), (((F.col("p_partkey") * 7 + 1) % F.col("n")) * 3 + 2).alias("dst")).where("src <> dst"), CALL)
     hold = kind(c.select((F.lit(-10) - F.col("c_nationkey")).cast("bigint").alias("src"), (F.col("c_custkey") * 3).alias("dst")), HOLD)
     out = touch("1-URGENT", EVENT).unionByName(touch("2-HIGH", USE))
-    for d in (calls, uses, inner, hold):
+    back = kind(p.where("p_partkey % 200 = 7").select((F.col("p_partkey") * 3 + 2).alias("src"), (F.col("p_partkey") * 15 + 4).alias("dst")), CALL)
+    for d in (calls, uses, inner, hold, *([back] if callbacks else [])):
         out = out.unionByName(d)
     return out
 
@@ -58,7 +62,6 @@ edges AS (
 ok AS (SELECT src, dst, type, (src%3=2 AND dst%3=2) AS api_call FROM edges WHERE type IN (0,3,4) AND dst%3 IN (1,2)),
 events_ AS (SELECT DISTINCT src AS uid, dst AS eid FROM edges WHERE type=4),
 reach0 AS (SELECT DISTINCT eid AS seed, eid AS node FROM events_ UNION SELECT r.seed, e.dst FROM reach0 r JOIN ok e ON e.src=r.node AND NOT e.api_call),
-reach1 AS (SELECT seed, node FROM reach0 UNION SELECT r.seed, e.dst FROM reach0 r JOIN ok e ON e.src=r.node AND e.api_call),
 every_ AS (
   SELECT DISTINCT * FROM (SELECT v.uid, v.eid, b.src, b.dst, b.type FROM events_ v JOIN (
       SELECT r.seed, e.src, e.dst, e.type FROM reach0 r JOIN ok e ON e.src=r.node AND NOT e.api_call
@@ -67,5 +70,19 @@ every_ AS (
 graph AS (SELECT * FROM every_ WHERE (uid,eid) IN (SELECT (uid,eid) FROM every_ GROUP BY uid,eid HAVING count(*)>1))"""
 
 
+#: What handlers reach at hop 1, with the depth of library methods, on the graph with callbacks; of use behind SQL.
+HOP1 = """deep AS (SELECT DISTINCT eid AS seed, eid AS node, -1 AS d FROM events_
+  UNION SELECT r.seed, e.dst, CASE WHEN e.dst%3=1 THEN -1 WHEN e.api_call THEN r.d+1 ELSE 0 END FROM deep r JOIN ok e ON e.src=r.node AND (NOT e.api_call OR r.d<1)),
+every1 AS (SELECT DISTINCT v.uid, v.eid, b.src, b.dst, b.type FROM events_ v JOIN (
+    SELECT r.seed, e.src, e.dst, e.type FROM deep r JOIN ok e ON e.src=r.node AND (NOT e.api_call OR r.d<1)
+    UNION SELECT r.seed, e.src, e.dst, e.type FROM deep r JOIN edges e ON e.dst=r.node AND e.type IN (3,4) AND e.src%3=0 AND e.src>=0) b ON b.seed=v.eid
+  UNION SELECT uid, eid, uid, eid, 4 FROM events_)"""
+
+
 def sql(body: str) -> str:
     return f"WITH RECURSIVE {SQL} {body}"
+
+
+def hop1_sql(body: str) -> str:
+    hold = "  UNION ALL SELECT (-10-c_nationkey)"
+    return f"WITH RECURSIVE {SQL.replace(hold, '  UNION ALL SELECT p_partkey*3+2, p_partkey*15+4, 0 FROM part WHERE p_partkey%200=7' + chr(10) + hold)}, {HOP1} {body}"

@@ -10,7 +10,7 @@ from loomgraph.operators import evaluate, graph, link, statements
 from loomgraph.sources import readers
 from loomgraph.streaming import increment
 
-IDS = {"w": 0, "w2": 1, "c": 2, "m1": 3, "m2": 4, "m3": 5, "m4": 6, "a1": 7, "a2": 8}
+IDS = {"w": 0, "w2": 1, "c": 2, "m1": 3, "m2": 4, "m3": 5, "m4": 6, "a1": 7, "a2": 8, "a3": 9}
 
 
 def _tables(spark, text):
@@ -37,6 +37,11 @@ def _set(text):
         ("w m1 4,m1 a1 0,a1 a2 0", "w m1 4,m1 a1 0", 0),
         ("w m1 4,m1 a1 0,a1 a2 0", "w m1 4,m1 a1 0,a1 a2 0", -1),
         ("w m1 4,m1 a1 0,a1 m3 0", "w m1 4,m1 a1 0,a1 m3 0", 0),
+        ("w m1 4,m1 a1 0,a1 a2 0,a2 a3 0", "w m1 4,m1 a1 0,a1 a2 0", 1),
+        ("w m1 4,m1 a1 0,a1 a2 0,a2 a3 0", "w m1 4,m1 a1 0,a1 a2 0,a2 a3 0", 2),
+        ("w m1 4,m1 a1 0,a1 a2 0,a2 m3 0,m3 m4 0", "w m1 4,m1 a1 0,a1 a2 0,a2 m3 0,m3 m4 0", 1),
+        ("w m1 4,m1 a1 0,a1 a2 0,a2 m3 0,m3 a3 0,a3 a1 0", "w m1 4,m1 a1 0,a1 a2 0,a2 m3 0,m3 a3 0,a3 a1 0", 1),
+        ("w m1 4,m1 a1 0,m1 a2 0,a1 a2 0,a2 a3 0", "w m1 4,m1 a1 0,m1 a2 0,a1 a2 0,a2 a3 0", 1),
         ("w m1 4,m1 m2 0,w2 m2 3", "w m1 4,m1 m2 0,w2 m2 3", 0),
         ("c w 2,w m1 4,m1 m2 0", "w m1 4,m1 m2 0", 0),
     ],
@@ -45,6 +50,12 @@ def test_handler_graph(spark, given, wanted, hop):
     assert _edges(graph.handler_edges(*_tables(spark, given), hop).where("uid = 0")) == _set(wanted)
 
 
+def test_mundane_words_and_find_edges(spark):
+    tables = _tables(spark, "w m1 4,m1 m2 0,m2 a1 0,m1 m3 0,m1 m4 1")
+    assert _edges(graph.handler_edges(*tables, calls=["m2"]).where("uid = 0")) == _set("w m1 4,m1 m3 0")
+    assert _edges(graph.handler_edges(*tables, find_edge=True).where("uid = 0")) == _set("w m1 4,m1 m2 0,m2 a1 0,m1 m3 0,m1 m4 1")
+
+
 def test_single_edge_is_no_graph(spark):
     assert graph.handler_edges(*_tables(spark, "w m1 4")).count() == 0
 

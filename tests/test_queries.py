@@ -36,7 +36,7 @@ def test_superclasses_of_all_orders(spark):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{sf}/orders.parquet'")
-    name = "superclass_closure_whole"
+    name = "superclass_closure"
     got = {tuple(r) for r in catalogue.queries()[name](spark, sf).select("class", "ancestor").collect()}
     assert got == set(con.execute(catalogue.oracle_sql()[name]).fetchall())
     assert {c for c, _ in got} == {k for (k,) in con.execute("SELECT o_orderkey FROM orders WHERE o_orderkey > 0").fetchall()}
