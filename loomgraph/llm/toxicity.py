@@ -27,6 +27,7 @@ class ToxicityModel:
     toxic: bytes
     weights: tuple[float, ...]
     prior: float
+    width: int = 1
 
 
 def pieces(text: str) -> list[str]:
@@ -37,10 +38,10 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-def windows(text: str) -> list[str]:
-    """Every two pieces in a row, so that each is met with both of its neighbours; one alone is a window."""
+def windows(text: str, width: int) -> list[str]:
+    """Every `width` pieces in a row, each window one piece on from the last; fewer are one window."""
     p = pieces(text)
-    return [f"{a} {b}" for a, b in zip(p, p[1:], strict=False)] if len(p) > 1 else p
+    return p if width == 1 or len(p) < 2 else [" ".join(p[i : i + width]) for i in range(max(1, len(p) - width + 1))]
 
 
 def _data(window: str) -> bytes:
@@ -81,7 +82,7 @@ def savings(ordinary: Compressor, toxic: Compressor, some: list[str]) -> np.ndar
 
 
 def features(saved: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For texts of n windows each: the two largest savings, and for each level how many windows save so much, and their share."""
+    """For texts of n windows each: the largest and third largest saving, and for each level how many windows save so much, and their share."""
     out = np.zeros((len(n), 2 + 2 * len(LEVELS)))
     full = np.flatnonzero(n)
     if not len(full):
@@ -91,7 +92,7 @@ def features(saved: np.ndarray, n: np.ndarray) -> np.ndarray:
     out[full, 0] = np.maximum.reduceat(saved, at) / 8
     for row, a, b in zip(full.tolist(), at.tolist(), stop.tolist(), strict=True):
         part = saved[a:b]
-        out[row, 1] = (np.partition(part, -3)[-3] if len(part) > 2 else part.min()) / 8  # a marked word lies in two windows
+        out[row, 1] = (np.partition(part, -3)[-3] if len(part) > 2 else part.min()) / 8
     for k, level in enumerate(LEVELS):
         hits = np.add.reduceat((saved >= level).astype(np.int64), at)
         out[full, 2 + 2 * k] = np.log1p(hits)
@@ -104,13 +105,13 @@ class _Scorer:
 
     def __init__(self, model: ToxicityModel, keep: int = 800_000):
         self.plain, self.toxic, self.keep = Compressor(model.ordinary), Compressor(model.toxic), keep
-        self.known = textops.cached(("toxicity", model.ordinary, model.toxic), dict)
+        self.width, self.known = model.width, textops.cached(("toxicity", model.ordinary, model.toxic), dict)
 
     def features(self, texts: list[str]) -> np.ndarray:
         flat: list[str] = []
         ends = [0]
         for t in texts:
-            flat += windows(t)
+            flat += windows(t, self.width)
             ends.append(len(flat))
         got = list(map(self.known.get, flat))
         holes = [i for i, v in enumerate(got) if v is None]
@@ -168,11 +169,12 @@ def dictionaries(toxic: list[list[str]], ordinary: list[list[str]], sizes: tuple
         yield base, train([w for half in now for w in half], sizes[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 2000, sample_bytes: int = 5_000_000, sizes: tuple[int, int] = (16_384, 4_096), lift: float = 12.0, rounds: int = 3) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 2000, sample_bytes: int = 5_000_000, sizes: tuple[int, int] = (32_768, 8_192), lift: float = 12.0, rounds: int = 3, width: int = 1) -> ToxicityModel:
     """Trains on at most `sample` labelled documents and sample_bytes of text of either class, by the hash of their keys.
 
     Three quarters of them (by another hash) train the dictionaries, of sizes[0] bytes for ordinary and
-    sizes[1] for toxic text; the rest calibrates, and tells which round's pair of dictionaries to keep, at any
+    sizes[1] for toxic text, on windows of two words that overlap; the rest calibrates the savings of windows
+    of `width` words, which texts are scored by, and tells which round's pair of dictionaries to keep, at any
     size of the input. Of texts that are equal one is taken. Labels that are null or other than 0 and 1 are
     left out. Without documents of both classes in both parts the score is the share of toxic ones (0
     without any).
@@ -191,12 +193,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         part[r["label"], int(textops.crc_of_id([f"part {r['key']}"])[0] % 8)].append(r["text"])
     taken = lambda k, some: [t for p in some for t in part[k, p]]
     once: dict[str, str] = {}
-    flat = lambda texts: [once.setdefault(w, w) for t in texts for w in windows(t)]
+    flat = lambda texts, wide=2: [once.setdefault(w, w) for t in texts for w in windows(t, wide)]
     rest = [(t, k) for k in (0, 1) for t in taken(k, (6, 7))]
     toxic, ordinary = [flat(taken(1, (0, 1, 2))), flat(taken(1, (3, 4, 5)))], [flat(taken(0, (0, 1, 2, 3))), flat(taken(0, (4, 5)))]
     if not all(toxic) or not all(ordinary) or len({k for _, k in rest}) < 2:
         return ToxicityModel(b"", b"", (), prior)
-    y, n, some = np.array([k for _, k in rest], dtype=float), np.array([len(windows(t)) for t, _ in rest]), flat(t for t, _ in rest)
+    y, n, some = np.array([k for _, k in rest], dtype=float), np.array([len(windows(t, width)) for t, _ in rest]), flat([t for t, _ in rest], width)
     best: tuple[float, ToxicityModel] | None = None
     odds = lambda a, b: math.log(max(a, 0.5) / max(b, 0.5))
     for plain, marked in dictionaries(toxic, ordinary, sizes, lift, rounds):
@@ -205,14 +207,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         loss = _losses(z, y, w)
         if best is None or loss < best[0]:
             w[0] += odds(share.get(1, 0), share.get(0, 0)) - odds(y.sum(), len(y) - y.sum())  # the sample's classes are of other sizes than the table's
-            best = (loss, ToxicityModel(plain, marked, tuple(map(float, w)), prior))
+            best = (loss, ToxicityModel(plain, marked, tuple(map(float, w)), prior, width))
     return best[1]
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Scores every whole text: all columns of docs, and those named in `into`: the score (0 to 1) and 1 from 0.5 on, else 0.
 
-    Windows are every two words in a row, lower-cased. A null or empty text has no windows and gets the score
+    Windows are every model.width words in a row, lower-cased. A null or empty text has no windows and gets the score
     of no saving. Repeated rows and null keys come back as they are; an empty table gives none. Columns
     that have the names in `into` are replaced; all others stay.
     """

@@ -361,9 +361,9 @@ def test_window_savings_are_those_of_plain_compression():
     a, b = toxicity.train([text(3) for _ in range(400)], 600), toxicity.train(["tiny"], 600)
     assert b == b" tiny "
     texts = ["", "one", text(50), text(7)]
-    model = toxicity.ToxicityModel(a, b, (), 0)
-    for t in texts:
-        w = toxicity.windows(t)
+    for t, width in ((t, k) for t in texts for k in (1, 2, 3)):
+        model = toxicity.ToxicityModel(a, b, (), 0, width)
+        w = toxicity.windows(t, width)
         joined = "".join(toxicity.pieces(t))
         assert joined == t.lower().replace(" ", "") and all(len(p) <= toxicity.LONGEST for p in toxicity.pieces(t))
         plain = []
@@ -438,6 +438,56 @@ def test_disclosing_terms_count_copies_alike(spark):
     assert not any(v & {"report", "grumpkin", "wumpus"} for v in got.values())  # fewer than four contexts
 
 
+def _plain_spans(text):
+    """The base spans by the contract's own patterns, with Python's regular expressions."""
+    luhn = lambda d: sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d)),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    }
+    return [(k, m.start(), m.end()) for k, (pattern, valid) in kinds.items() for m in re.finditer(pattern, text) if valid(m[0])]
+
+
+def test_base_spans_are_those_of_plain_patterns(spark):
+    rng = random.Random(9)
+    parts = ["a@b.co", "x.y+z@q-r.s.t", "@", ".", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+44 20 7946 0958", "+1 (017) 555-7713", " ", "é", "word", "12", "-", "%", "\U0001f600", "+", "(", "\n"]
+    texts = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))) for i in range(1500)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.pii] for r in pii.detect(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: _plain_spans(t) for i, t in texts}
+
+
+def test_disclosing_terms_are_those_of_plain_counts(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    rare, texts = [word() + "rare" for _ in range(8)], []
+    for i in range(300):
+        who = rng.randrange(5)
+        about = rng.random() < 0.5
+        words = [word() for _ in range(30)] + [rare[who]] * (about and rng.random() < 0.8) + [rare[5 + who % 3]] * (rng.random() < 0.3)
+        rng.shuffle(words)
+        texts.append((i, " ".join(words) + (f" by p{who}@corp.com" if about else "")))
+    got = {(r.doc_id, s.value) for r in pii.detect(spark.createDataFrame(texts, "doc_id long, text string")).collect() for s in r.terms}
+    sets = [set(re.findall(r"[a-z]{4,}", re.sub(r"p\d@corp.com", "", t))) for _, t in texts]
+    people = [re.findall(r"p\d@corp.com", t) for _, t in texts]
+    told = set()
+    for who in {p for ps in people for p in ps}:
+        with_it = [s for s, ps in zip(sets, people, strict=True) if who in ps]
+        for t in set().union(*with_it):
+            both, n_t, n_e, n = sum(t in s for s in with_it), sum(t in s for s in sets), len(with_it), len(texts)
+            if both >= 4 and math.log2(both * n / (n_t * n_e)) / math.log2(n / n_e) >= 0.8:
+                told.add(t)
+    assert told and got == {(i, t) for (i, _), s in zip(texts, sets, strict=True) for t in s & told}
+
+
+def test_personal_data_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.co", 3, "mine", "too", "r")], "doc_id long, text string, pii int, Terms string, __row string, row string")
+    got = pii.detect(docs, into=("p", "t"))
+    assert got.columns == [*docs.columns, "p", "t"]
+    assert [tuple(r) for r in pii.sanitise(got, columns=("p", "t")).collect()] == [(1, "mail [EMAIL]", 3, "mine", "too", "r")]
+
+
 def test_wavelet_matrix():
     rng = np.random.RandomState(6)
     ids = rng.randint(0, 300, 3000).astype("<u4")
