@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 from loomgraph.llm import decontaminate, ngram_join, packing, pii, textops, toxicity
 
 
+def _names(docs: DataFrame) -> list[str]:
+    """The columns of docs, quoted: a name may hold a dot."""
+    return [f"`{c}`" for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a model of all labelled ones does not call toxic; null and empty texts are judged as empty."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    score, predicted = textops.unused(docs, "score"), textops.unused(docs, "predicted")
+    return toxicity.score(docs, model, into=(score, predicted)).where(F.col(predicted) == 0).drop(score, predicted)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +33,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     groups = ngram_join.join(docs, width=5, percent=80)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(_names(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is covered by tiles to 0.6 or more."""
-    return decontaminate.tile(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("matches") == 0).select(docs.columns)
+    matches = textops.unused(docs, "matches")
+    return decontaminate.tile(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into=matches).where(F.size(matches) == 0).drop(matches)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and disclosing terms replaced by their kinds, and n_chars anew."""
-    return pii.sanitise(pii.detect(docs)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    spans = textops.unused(docs, "pii"), textops.unused(docs, "terms")
+    return pii.sanitise(pii.detect(docs, into=spans), columns=spans).withColumn("n_chars", F.length("text").cast("long")).select(_names(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
