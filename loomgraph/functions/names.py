@@ -70,3 +70,91 @@ def is_noise(name: Column, calls: list[str] = (), classes: list[str] = ()) -> Co
     for w in classes:
         out = out | F.contains(cls, F.lit(w))
     return out
+
+
+def java_hash(text: Column) -> Column:
+    """The 32-bit string hash of Java: 31 times the hash so far plus the character, with the sign folded in."""
+    units = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
+    h = F.aggregate(units, F.lit(0).cast("bigint"), lambda a, c: F.pmod(a * 31 + c, F.lit(1 << 32)))
+    return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h).cast("int")
+
+
+def tpl_package(descriptor: Column) -> Column:
+    """Lcom/x/y to com.x.y."""
+    return F.translate(F.substr(descriptor, F.lit(2)), "/", ".")
+
+
+def to_hex_upper(decimal: Column) -> Column:
+    return F.hex(decimal.cast("bigint"))
+
+
+def layout_base(file: Column) -> Column:
+    return F.substring_index(file, ".xml", 1)
+
+
+def signature_in(text: Column) -> Column:
+    """The method signature in a statement: from the first < to the next >, both kept; null without one."""
+    return F.nullif(F.regexp_extract(text, "<[^>]*>", 0), F.lit(""))
+
+
+def unescaped(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">"))
+
+
+def method_suffix(name: Column) -> Column:
+    """From the first colon on; null without one."""
+    at = F.locate(":", name)
+    return F.when(at > 0, F.substr(name, at))
+
+
+def sample_parts(name: Column) -> Column:
+    """TIME-SHA-INDEX as a struct (time, app, index)."""
+    p = F.split(name, "-")
+    return F.struct(F.get(p, F.lit(0)).alias("time"), F.get(p, F.lit(1)).alias("app"), F.get(p, F.lit(2)).cast("int").alias("index"))
+
+
+def flow_step(statement: Column) -> Column:
+    """A data-flow statement as `<signature>==first argument`."""
+    return F.concat(signature_in(statement), F.lit("=="), F.regexp_extract(statement, r">\(([^,)]*)", 1))
+
+
+def escaped(text: Column) -> Column:
+    """Quotes and line breaks as entities, as in written markup."""
+    for raw, code in (("&", "&amp;"), ('"', "&quot;"), ("\n", "&#10;")):  # fixed values: entities
+        text = F.replace(text, F.lit(raw), F.lit(code))
+    return text
+
+
+def printable(text: Column) -> Column:
+    """Control characters and the replacement character become spaces."""
+    return F.regexp_replace(text, r"[\x00-\x1f\x7f\x{fffd}]", " ")
+
+
+def is_container(tag: Column) -> Column:
+    return F.lower(tag).rlike("(layout|container)$")
+
+
+def setter_attribute(name: Column) -> Column:
+    """setText to text."""
+    return F.lower(F.substr(name, F.lit(4)))
+
+
+def base_name(path: Column) -> Column:
+    """The file's name without folder and last extension."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
+
+
+#: Class prefixes that are not an app's own, for events and for texts in code.
+NOT_APP_EVENTS = ("androidx.", "android.support.", "com.google.")
+NOT_APP_TEXTS = ("java.", "javax.", "android.", "androidx.")
+
+
+def is_app_class(cls: Column, skipped: tuple[str, ...] = NOT_APP_EVENTS) -> Column:
+    out = F.lit(True)
+    for p in skipped:
+        out = out & ~F.startswith(cls, F.lit(p))
+    return out
+
+
+def first_tokens(name: Column, n: int = 5) -> Column:
+    return F.array_join(F.slice(F.split(name, " "), 1, n), " ")

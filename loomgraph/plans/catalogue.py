@@ -387,6 +387,9 @@ def incremental_skip(s, d):
     return increment.not_done(table(s, d, "orders"), log, "o_custkey").select("o_orderkey")
 
 
+from . import apps  # noqa: E402, F401  registers its queries
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
