@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import components, textops
 
 SKETCH, BLOCK = 1 << 20, 1 << 14
-MEMBERS = 512
+MEMBERS, HOT, PAIRED = 512, 10_000, 512
 
 
 def doc_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -50,32 +50,60 @@ def prefix_size(n: int | np.ndarray, percent: int) -> int | np.ndarray:
 
 
 class Trie:
-    """Ordered sets as a path-compressed prefix tree: in lexicographic order, each with the depth it shares with the one before."""
+    """Ordered sets as a path-compressed prefix tree.
+
+    Sets lie in lexicographic order; a node is a range of them that agree up to its depth, with the sizes of the
+    smallest and the largest set below it.
+    """
 
     def __init__(self, ids: list[int], sets: list[np.ndarray]):
         order = sorted(range(len(ids)), key=lambda k: sets[k].astype(">u8").tobytes())
-        self.ids, self.sets, self.shared = [ids[k] for k in order], [sets[k] for k in order], []
-        for k, s in enumerate(self.sets):
-            before = self.sets[k - 1] if k else s[:0]
-            n = min(len(s), len(before))
-            differ = np.flatnonzero(s[:n] != before[:n])
-            self.shared.append(int(differ[0]) if len(differ) else n)
+        self.ids, self.sets = [ids[k] for k in order], [sets[k] for k in order]
+        shared = [0] * len(order)  # how far each set agrees with the one before
+        for k in range(1, len(order)):
+            a, b = self.sets[k - 1], self.sets[k]
+            n = min(len(a), len(b))
+            differ = np.flatnonzero(a[:n] != b[:n])
+            shared[k] = int(differ[0]) if len(differ) else n
+        self.nodes: list[tuple] = []  # first set, depths it spans, least and most tokens, where the sets that end here stop, children
+        self.roots: list[int] = []
+        todo = [(0, len(order), 0, self.roots)] if order else []
+        while todo:
+            low, high, depth, children = todo.pop()
+            cuts = [low, *(k for k in range(low + 1, high) if shared[k] <= depth), high]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                to = min(shared[i + 1 : j], default=len(self.sets[i]))
+                sizes = [len(s) for s in self.sets[i:j]]
+                stop = i + next((k for k, n in enumerate(sizes) if n > to), j - i)
+                children.append(len(self.nodes))
+                self.nodes.append((i, depth, to, min(sizes), max(sizes), stop, below := []))
+                if stop < j:
+                    todo.append((stop, j, to, below))
 
     def links(self, probe: np.ndarray, percent: int) -> Iterator[int]:
-        """Ids of the sets whose overlap with the probe is percent of the union or more."""
-        held = np.zeros(1, np.int64)  # overlap of the current path at each depth
-        for k, s in enumerate(self.sets):
-            depth = min(self.shared[k], len(held) - 1)
-            need = -(-percent * (len(s) + len(probe)) // (100 + percent))
-            held = held[: depth + 1]
-            left = len(probe) - (int(np.searchsorted(probe, s[depth - 1], "right")) if depth else 0)
-            if held[depth] + min(len(s) - depth, left) < need:
+        """Ids of the sets whose overlap with the probe is percent of the union or more.
+
+        A node's tokens are looked up once for all sets below it; it is left with all of them as soon as the
+        tokens that remain, of the probe or of the largest set, can't make up what the smallest set needs.
+        """
+        need = lambda n: -(-percent * (n + len(probe)) // (100 + percent))
+        self.visited = 0
+        todo = [(k, 0, 0) for k in self.roots]  # node, overlap so far, tokens of the probe that are passed
+        while todo:
+            k, held, passed = todo.pop()
+            first, depth, to, least, most, stop, children = self.nodes[k]
+            if held + min(most - depth, len(probe) - passed) < need(least):
                 continue
-            rest = s[depth:]
-            at = np.minimum(np.searchsorted(probe, rest), max(len(probe) - 1, 0))
-            held = np.concatenate([held, held[-1] + np.cumsum(probe[at] == rest)]) if len(rest) else held
-            if held[-1] >= need:
-                yield self.ids[k]
+            self.visited += 1
+            tokens = self.sets[first][depth:to]
+            if len(tokens):
+                at = np.searchsorted(probe, tokens)
+                inside = at < len(probe)
+                held += int((probe[at[inside]] == tokens[inside]).sum())
+                passed = int(np.searchsorted(probe, tokens[-1], "right"))
+            if held >= need(to):
+                yield from self.ids[first:stop]
+            todo += [(c, held, passed) for c in children]
 
 
 def _sketch_and_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -122,6 +150,18 @@ def _compatible(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _of_tokens(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """rows with the columns of stats (token, size, ...) for those tokens that stats has; size counts a token's rows.
+
+    A token that holds more than a HOT-th of all rows, of which there are HOT at most, goes to every task instead
+    of drawing its rows into one.
+    """
+    bound = rows.count() / HOT
+    hot = stats.where(F.col("size") > bound)
+    cold = rows.join(F.broadcast(hot.select("token")), "token", "left_anti").join(stats.where(F.col("size") <= bound), "token")
+    return rows.join(F.broadcast(hot), "token").unionByName(cold)
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, codes, width: int, percent: int) -> DataFrame:
     """The (a, b) of pairs whose whole sets link. Each probe a meets its partners in blocks of about MEMBERS sets."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("m"))
@@ -192,35 +232,38 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
     heads = slim.where("id IS NOT NULL").mapInArrow(prefixes, "id long, n long, tokens array<long>")
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    posts = heads.join(reps, "id", "left_semi").select("id", "n", F.get("tokens", F.lit(0)).alias("last"), F.explode("tokens").alias("token"))
-    group = Window.partitionBy("token")
-    shared = textops.stored(posts.withColumn("size", F.count("*").over(group)).where("size > 1").drop("size"), f"{home}/shared")
+    posts = textops.stored(heads.join(reps, "id", "left_semi").select("id", "n", F.get("tokens", F.lit(0)).alias("last"), F.explode("tokens").alias("token")), f"{home}/posts")
+    met_by = textops.stored(posts.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), f"{home}/met_by")
+    shared = textops.stored(_of_tokens(posts, met_by).drop("size"), f"{home}/shared")
     # An n-gram of x's prefix that no other prefix has is not in any y whose prefix reaches as far or farther, so
     # the overlap with y is at most n - own, own being the number of these.
     alone = shared.groupBy("id", "n").agg(F.count("*").alias("k")).select("id", (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - F.col("k")).alias("own"))
     shared = textops.stored(shared.join(alone, "id"), f"{home}/owned")
     # The text with the fewest n-grams of its own is likely the one that the others were made from.
-    centre = shared.withColumn("first", F.min(F.struct("own", "id", "n")).over(group))
+    firsts = textops.stored(shared.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("own", "id", "n")).alias("first")), f"{home}/firsts")
+    centre = _of_tokens(shared, firsts)
 
     proposals = centre.where((F.col("first.id") != F.col("id")) & _compatible(F.col("n"), F.col("first.n"), percent)).groupBy("id", F.col("first.id").alias("a")).agg(F.count("*").alias("c"))
     best = proposals.groupBy("id").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", F.col("id").alias("b"))
     near = textops.stored(_verify(textops.stored(best, f"{home}/pairs1"), slim, codes, width, percent), f"{home}/links1")
     comps = components.components(near, f"{home}/cc1")
 
-    placed = shared.select("token", "id", "n", "last", "own").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.withColumn("low", F.min("component").over(group)).withColumn("high", F.max("component").over(group)).where("low < high").drop("low", "high")
+    placed = textops.stored(shared.select("token", "id", "n", "last", "own").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id")), f"{home}/placed")
+    apart = placed.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token", "size")
+    mixed = _of_tokens(placed, textops.stored(apart, f"{home}/apart"))
     # Pairs must share `least` tokens of their prefixes; the rarest shared one then has as many behind it in both.
     own = Window.partitionBy("id")
     mixed = mixed.withColumn("rank", F.row_number().over(own.orderBy(F.desc("token")))).withColumn("k", F.count("*").over(own))
-    mixed = textops.stored(mixed.select("token", "id", "n", "last", "component", (F.col("n") - F.col("own")).alias("most"), "rank", "k"), f"{home}/mixed")
-    side = lambda x: mixed.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "last", "component", "most", "rank", "k")])
+    mixed = textops.stored(mixed.select("token", "id", "n", "last", "component", (F.col("n") - F.col("own")).alias("most"), "rank", "k", F.ceil(F.col("size") / PAIRED).cast("int").alias("parts")), f"{home}/mixed")
+    # One side of a token's pairs is dealt to parts of about PAIRED rows, the other goes to each of them.
+    side = lambda x: mixed.select("token", F.pmod(F.hash("id"), F.col("parts")).alias("part") if x == "x" else F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "last", "component", "most", "rank", "k")])
     need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent))
     rest = lambda x: F.floor((F.col(f"n_{x}") * percent + 99) / 100) - 1  # noqa: E731  what lies behind the prefix
     least = F.greatest(need - F.greatest(rest("x"), rest("y")), F.lit(1))
     early = lambda x: F.col(f"rank_{x}") <= F.col(f"k_{x}") - least + 1
     met = (
         side("x")
-        .join(side("y"), "token")
+        .join(side("y"), ["token", "part"])
         .where((F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y")) & _compatible(F.col("n_x"), F.col("n_y"), percent))
         .where((F.when(F.col("last_x") >= F.col("last_y"), F.col("most_x")).otherwise(F.col("most_y")) >= need) & early("x") & early("y"))
         .select("id_x", "id_y", least.alias("least"))

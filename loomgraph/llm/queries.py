@@ -34,7 +34,7 @@ def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.lit("<|im_end|><|im_start|>assistant ok")
+    said = F.lit(_SAID)
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     back = chat.read_chats(chat.format_chats(turns))
@@ -83,5 +83,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_decontamination, op4_pitman_yor, op5_chat_formatting, op6_packing, op7_toxicity, op8_nearest, op9_pii, op10_wavelet_ids)}
 
 
+_SAID = "<|im_end|><|im_start|>assistant ok"
+
+_CHAT_SQL = rf"""WITH t AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1,0,'user','{_SAID}'),(-1,1,'assistant','{_SAID}')) v(conv_id, turn, role, text)),
+e AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before, lead(role) OVER w AS after, length(replace(replace(text,'\','\s'),'<|','<\|')) AS body, length(replace(replace(replace(role,'\','\s'),'<|','<\|'),chr(10),'\n')) AS name FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns, sha256(string_agg(role||chr(10)||text||chr(10),'' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role='assistant'),0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text,'' ORDER BY i) FILTER (WHERE role='assistant'),'')) AS loss_sha256,
+  sum(body + CASE WHEN before IS DISTINCT FROM role THEN 13 + name ELSE 11 END + CASE WHEN after IS DISTINCT FROM role THEN 11 ELSE 0 END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+_JOIN_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[\x20\x09-\x0D]+'), lambda x: x<>'') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws)>=4 THEN list_transform(range(1,len(ws)-2), lambda i: array_to_string(ws[i:i+3],' ')) WHEN len(ws)>0 THEN [array_to_string(ws,' ')] ELSE [] END) AS gram FROM w),
+n AS (SELECT w.doc_id, count(gram) AS n FROM w LEFT JOIN g USING (doc_id) GROUP BY ALL),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram=b.gram AND a.doc_id<b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM met JOIN n x ON x.doc_id=a JOIN n y ON y.doc_id=b WHERE 100*c >= 85*(x.n+y.n-c)),
+both_ AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, b AS other FROM both_ UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ e ON e.a=r.other)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce((SELECT min(other) FROM reach r WHERE r.doc_id=n.doc_id), n.doc_id)) AS component_id FROM n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express: whole results of op1 and op5. The others have brute-force tests."""
+    return {"op1_ngram_join": _JOIN_SQL, "op5_chat_formatting": _CHAT_SQL}

@@ -72,10 +72,36 @@ def test_ngram_join_of_odd_rows(odd, none):
 
 def test_trie_walk():
     rng = np.random.RandomState(1)
-    sets = [np.unique(rng.randint(0, 40, rng.randint(1, 30))).astype(np.uint64) for _ in range(80)]
-    probe = sets[0]
-    want = {k for k, s in enumerate(sets) if 100 * len(np.intersect1d(s, probe)) >= 50 * len(np.union1d(s, probe))}
-    assert set(ngram_join.Trie(list(range(80)), sets).links(probe, 50)) == want
+    for most, percent in ((40, 50), (12, 80), (200, 85)):
+        base = [np.unique(rng.randint(0, most, rng.randint(0, 30))).astype(np.uint64) for _ in range(60)]
+        sets = base + [np.setdiff1d(base[rng.randint(60)], rng.randint(0, most, 2).astype(np.uint64)) for _ in range(60)] + base[:5]
+        trie = ngram_join.Trie(list(range(len(sets))), sets)
+        for probe in [*sets[:30], np.zeros(0, np.uint64)]:
+            want = [k for k, s in enumerate(sets) if 100 * len(np.intersect1d(s, probe)) >= percent * len(np.union1d(s, probe))]
+            assert sorted(trie.links(probe, percent)) == want
+
+
+def test_trie_leaves_subtrees():
+    sets = [np.array([1, 2, *range(10 + 3 * k, 28 + 3 * k)], np.uint64) for k in range(50)]
+    trie = ngram_join.Trie(list(range(50)), sets)
+    assert list(trie.links(np.arange(500, 520, dtype=np.uint64), 85)) == [] and trie.visited <= 1
+    assert list(trie.links(sets[7], 85)) == [7] and trie.visited < 52
+
+
+def test_queries_are_their_sql(spark):
+    import duckdb
+
+    from loomgraph.llm import queries
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, text in queries.oracle_sql().items():
+        got = queries.queries()[name](spark, sf)
+        q = con.execute(text)
+        names = [c[0] for c in q.description]
+        assert sorted(got.columns) == sorted(names)
+        assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(q.fetchall())
 
 
 def test_components(spark, tmp_path):
