@@ -114,8 +114,9 @@ def sample_parts(name: Column) -> Column:
 
 
 def flow_step(statement: Column) -> Column:
-    """A data-flow statement as `<signature>==first argument`."""
-    return F.concat(signature_in(statement), F.lit("=="), F.regexp_extract(statement, r">\(([^,)]*)", 1))
+    """A data-flow statement as `<signature>==arguments`, or its signature alone without any."""
+    sig, args = (F.regexp_extract(statement, r"(<.*>)\((.*).$", k) for k in (1, 2))
+    return F.when(args == "", sig).otherwise(F.concat(sig, F.lit("=="), args))
 
 
 def escaped(text: Column) -> Column:

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import names
-from loomgraph.operators import evaluate, graph, link, statements
-from loomgraph.sources import readers
+from loomgraph.operators import access, evaluate, graph, link, statements
+from loomgraph.sources import readers, writers
 from loomgraph.streaming import increment
 
 IDS = {"w": 0, "w2": 1, "c": 2, "m1": 3, "m2": 4, "m3": 5, "m4": 6, "a1": 7, "a2": 8, "a3": 9}
@@ -222,3 +222,90 @@ def test_word2vec_mean(spark):
     assert all(len(r.vec) == 64 and any(r.vec) for r in got.values())
     for k in range(64):
         assert 3 * got[4].vec[k] == pytest.approx(got[1].vec[k] + got[2].vec[k] + got[3].vec[k], abs=1e-6)
+
+
+def _write(folder, name, text):
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_text(text)
+
+
+def test_more_readers(spark, tmp_path):
+    a, b = tmp_path / "A", tmp_path / "B"
+    _write(a, "add_info.json", json.dumps({"switchEdges": {"5$7": [{"_1": "<x>", "_2": "<y>"}, {"_1": "<z>", "_2": "<y>"}]}}))
+    assert [tuple(r) for r in readers.pair_map(spark, f"{tmp_path}/*/add_info.json", "switchEdges").orderBy("ord").collect()] == [("A", "5$7", 0, "<x>", "<y>"), ("A", "5$7", 1, "<z>", "<y>")]
+    _write(a, "arsc_string.json", json.dumps([{"resourceID": 3, "resourceName": "n", "value": "v"}]))
+    assert [tuple(r) for r in readers.strings(spark, f"{tmp_path}/*/arsc_string.json").collect()] == [("A", 3, "n", "v")]
+    _write(a, "tpl.json", json.dumps([{"Package": "Lcom/x/y"}, {"Package": "Lcom/x/y"}]))
+    _write(b, "tpl.json", "{}")
+    assert [tuple(r) for r in readers.libraries(spark, f"{tmp_path}/*/tpl.json").collect()] == [("A", "com.x.y")]
+    _write(a, "uhg.json", json.dumps([{"time": 0.5}, {"uid": 1, "eid": 2, "size": {"node": 2, "edge": 1}, "edges": ["1 2 4"], "cuid": []}]))
+    (g,) = readers.handler_graphs(spark, f"{tmp_path}/*/uhg.json").collect()
+    assert (g.app_id, g.uid, g.eid, tuple(g.size), g.edges, g.cuid) == ("A", 1, 2, (2, 1), ["1 2 4"], [])
+    _write(a, "manifest.xml", '<manifest><uses-sdk targetSdkVersion="28" minSdkVersion="19"/></manifest>')
+    _write(a, "code.log", "x API ver: 26 (a)\ny API ver: 27 (b)\n")
+    logs, manifests = readers.logged_levels(spark, f"{tmp_path}/*/code.log"), readers.manifests(spark, f"{tmp_path}/*/manifest.xml")
+    assert [tuple(r) for r in manifests.collect()] == [("A", "28", "19")]
+    apps = spark.createDataFrame([("A",), ("B",)], "app_id string")
+    assert dict(map(tuple, readers.api_levels(apps, logs, manifests).collect())) == {"A": "27", "B": "14"}
+    assert dict(map(tuple, readers.api_levels(apps, logs.where("false"), manifests).collect())) == {"A": "28", "B": "14"}
+    flow = '<R><Results><Result><Sink Statement="invoke &lt;a: void s(int)&gt;(x)"/><Sources><Source Statement="r = invoke &lt;b: int t()&gt;()"><TaintPath><PathElement Statement="invoke &lt;c: V findViewById(int)&gt;(255)"/><PathElement Statement="x = y"/><PathElement Statement="invoke &lt;d: void u()&gt;(q)"/></TaintPath></Source></Sources></Result></Results></R>'
+    _write(a, "data_flow.xml", flow)
+    flows = readers.data_flows(spark, f"{tmp_path}/*/data_flow.xml")
+    assert [tuple(r) for r in flows.collect()] == [("A", "<a: void s(int)>==x", "<b: int t()>", ["<c: V findViewById(int)>==255", "<d: void u()>==q"])]
+    assert [tuple(r) for r in readers.widget_flows(flows).collect()] == [("A", "FF", ["<d: void u()>==q"])]
+    for n in "cab":
+        _write(tmp_path / "apks", f"{n}.apk", "x")
+    assert [r.app_id for r in readers.apps(spark, f"{tmp_path}/apks", 1, 3).collect()] == ["b", "c"]
+    _write(tmp_path / "big", "event.xml", "x" * 100)
+    assert [tuple(r) for r in readers.too_large(spark, f"{tmp_path}/big/event.xml", 50).collect()] == [("big", "events", "too large", "100")]
+
+
+def test_writers_read_back(spark, tmp_path):
+    raw = spark.createDataFrame([("A", "<x.C: void m()>", 9, 0, 0, 0, None, None, None, "-"), ("A", "w", -4, 0, 0, 1, "C", "l.xml", "5", None), ("A", "<y.D: void n()>", 30, 1, 0, 0, None, None, None, "y.D")], "app_id string, name string, hash int, java int, android int, ui int, class string, xml string, uid string, package string")
+    nodes = writers.indexed(raw)
+    writers.write_nodes(nodes, f"{tmp_path}/nodes")
+    got = spark.read.csv(f"{tmp_path}/nodes", header=True).orderBy("_c0").collect()
+    assert [(r._c0, r.Name, r.Class, r.UId) for r in got] == [("0", "w", "C", "5"), ("1", "<x.C: void m()>", "-1", "-1"), ("2", "<y.D: void n()>", "-1", "-1")]
+    hashed = spark.createDataFrame([("A", 9, 30, 0), ("A", -4, 9, 4), ("A", 9, 77, 0)], "app_id string, src int, dst int, type int")
+    edges = writers.indexed_edges(hashed, nodes)
+    writers.write_edges(edges, f"{tmp_path}/edges")
+    assert [(r.From, r.To, r.Type) for r in spark.read.csv(f"{tmp_path}/edges", header=True).orderBy("_c0").collect()] == [("0", "1", "4"), ("1", "2", "0")]
+    packed = access.packed(edges.selectExpr("app_id", "0L AS uid", "1L AS eid", "CAST(src AS LONG) AS src", "CAST(dst AS LONG) AS dst", "type"), "app_id")
+    writers.write_handler_graphs(packed, f"{tmp_path}/uhg")
+    (g,) = json.loads(spark.read.text(f"{tmp_path}/uhg").first().value)
+    assert g == {"uid": 0, "eid": 1, "size": {"node": 3, "edge": 2}, "edges": ["0 1 4", "1 2 0"]}
+    events = spark.createDataFrame([("A", "l", "5", "onClick"), ("A", "l", "5", "onTouch"), ("A", "l", "6", "onClick")], "app_id string, xml string, uid string, handler string")
+    writers.write_events(events, f"{tmp_path}/events")
+    back = readers.events(spark, f"{tmp_path}/events")
+    assert sorted((r.xml, r.uid, r.handler) for r in back.collect()) == [("l", "5", "onClick"), ("l", "5", "onTouch"), ("l", "6", "onClick")]
+    links = spark.createDataFrame([("A", "useEdges", "5", "<m>")], "app_id string, field string, key string, value string")
+    pairs = spark.createDataFrame([("A", "switchEdges", "5$7", 0, "<x>", "<y>")], "app_id string, field string, key string, ord int, caller string, callee string")
+    writers.write_additional(links, pairs, f"{tmp_path}/info")
+    info = f"{tmp_path}/info/app_id=A"
+    assert [(r.key, r.value) for r in readers.json_map(spark, info, "useEdges").collect()] == [("5", "<m>")]
+    assert [(r.key, r.caller, r.callee) for r in readers.pair_map(spark, info, "switchEdges").collect()] == [("5$7", "<x>", "<y>")]
+    views = spark.createDataFrame([("A", "l", "v1", "n", "a\tb", None, "s", None)], "app_id string, xml string, view_id string, name string, text string, hint string, src string, background string")
+    writers.write_contexts(views, f"{tmp_path}/context")
+    assert [(r.xml, r.view_id, r.name, r.text, r.hint, r.src) for r in readers.ui_context(spark, f"{tmp_path}/context/app_id=A").collect()] == [("l", "v1", "n", "a b", None, "s")]
+    texts = spark.createDataFrame([("A", "l", 5, "C", "m", "text", "hello")], "app_id string, xml string, id int, class string, method string, type string, value string")
+    writers.write_code_texts(texts, f"{tmp_path}/texts")
+    assert json.loads(spark.read.text(f"{tmp_path}/texts").first().value) == {"l": ["5 C m text hello"]}
+    writers.write_flows(spark.createDataFrame([("A", "s", "t", ["p"])], "app_id string, sink string, source string, path array<string>"), f"{tmp_path}/flows")
+    assert json.loads(spark.read.text(f"{tmp_path}/flows").first().value) == [{"sink": "s", "source": "t", "path": ["p"]}]
+    for _ in range(2):
+        writers.log_run(spark.createDataFrame([("A", "merge", "ok", 3)], "app_id string, stage string, status string, detail int"), f"{tmp_path}/log")
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 2
+
+
+def test_529_components(spark):
+    g, n = _tables(spark, "w m1 4,m1 m2 0,m2 a1 0")
+    ops = spark.createDataFrame([(IDS["m1"], [3, 3]), (IDS["m2"], [3, 263]), (IDS["a1"], [0])], "node_id long, ops array<int>")
+    (row,) = evaluate.uhg_vectors(graph.handler_edges(g, n), ops, ["uid", "eid"]).collect()
+    assert len(row.vec) == 529 and row.vec[1 + 3] == pytest.approx(2 / 3) and row.vec[1 + 263] == row.vec[1] == pytest.approx(1 / 3)
+    assert row.vec[265 + 3] == pytest.approx((2 / 9) ** 0.5) and row.vec[0] == pytest.approx(0.5) and sum(x > 0 for x in row.vec) == 7
+
+
+def test_comparison_of_encodings(spark):
+    rows = [("a", 0, 0), ("a", 1, 1), ("b", 0, 1), ("b", 1, 1)]
+    got = {r.encoding: (r.precision, r.recall) for r in evaluate.compare(spark.createDataFrame(rows, "encoding string, truth int, predicted int"), "encoding", "truth", "predicted").collect()}
+    assert got == {"a": (1, 1), "b": (0.25, 0.5)}
