@@ -30,25 +30,25 @@ def eligible(edges: DataFrame, nodes: DataFrame, calls: list[str] = (), classes:
 def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 40) -> DataFrame:
     """(seed, node): all that each seed reaches, itself included.
 
-    Pairs among nodes that lead on are squared until they settle, so the number of rounds is the logarithm
-    of the longest path; nodes without out-edges are added once at the end.
+    Only what seeds reach is kept. A round adds what lies as many steps on as the jumps at hand take, then doubles
+    the jumps: after k rounds all nodes within 2**k - 1 steps are known, and a round without a new one is the last.
+    Nodes without out-edges are added once at the end.
     """
-    step = edges.select("src", "dst").distinct()
-    inner = step.join(step.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-    pairs = stored(inner)
-    size = pairs.count()
+    step = stored(edges.select("src", "dst").distinct())
+    jumps = inner = stored(step.join(step.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    led = stored(seeds.select(F.col("seed"), F.col("seed").alias("node")).distinct())
+    size = led.count()
     for _ in range(rounds):
-        more = pairs.join(pairs.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
-        pairs = stored(pairs.unionByName(more).distinct())
-        now = pairs.count()
+        further = led.join(jumps, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"))
+        led = stored(led.unionByName(further).distinct())
+        now = led.count()
         if now == size:
             break
         size = now
+        jumps = stored(jumps.join(jumps.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst")).distinct())
     else:
         raise RuntimeError("closure did not settle")
-    start = seeds.select(F.col("seed"), F.col("seed").alias("node")).distinct()
-    led = start.unionByName(start.select("seed").join(pairs, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("node"))).distinct()
-    ends = step.join(inner.select("src", "dst"), ["src", "dst"], "left_anti")
+    ends = step.join(inner, ["src", "dst"], "left_anti")
     return led.unionByName(led.join(ends, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"))).distinct()
 
 
