@@ -558,6 +558,34 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in now.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    labels, items = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    passage = items.where("text IS NOT NULL").first().text
+    texts = [(1, "one two three four five six seven eight"), (2, None), (3, ""), (4, "one two three four five six seven eight"), (5, "mail a@b.co now"), (6, f"before {passage} after"), (7, "same key"), (7, "same key"), (None, "nobody's own words here"), (8, "long " * 5000)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, pii int, terms string, Score string, predicted int, matches string, __row string, component_id long"
+    rows = [(i, t, "en", "s", len(t or ""), 7, "mine", "own", 3, "m", "r", 9) for i, t in texts]
+    docs = spark.createDataFrame(rows, kind)
+    extras = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    left = {"toxicity": 10, "ngram_join": 9, "decontamination": 9, "pii": 10}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns
+        out = got.collect()
+        assert len(out) == left[name] and {tuple(r[c] for c in extras) for r in out} == {("en", "s", 7, "mine", "own", 3, "m", "r", 9)}
+        assert sum(r.doc_id is None for r in out) == 1 and sum(r.doc_id == 7 for r in out) == 2
+        if name == "ngram_join":
+            assert {r.doc_id for r in out} == {1, 2, 3, 5, 6, 7, 8, None}
+        if name == "decontamination":
+            assert 6 not in {r.doc_id for r in out}
+        if name == "pii":
+            assert [r.text for r in out if r.doc_id == 5] == ["mail [EMAIL] now"] and [r.n_chars for r in out if r.doc_id == 5] == [16]
+        assert stage(spark, docs.where("false"), sf).collect() == []
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert packed.select("doc_id").distinct().count() == 9 and corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), sf).count() == 0
+    assert labels.count() > 0
+
+
 def test_encoder_is_the_library():
     from tokenizers import Tokenizer
 
