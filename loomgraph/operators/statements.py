@@ -113,3 +113,63 @@ def widget_behind(stmts: DataFrame, scope: list[str], fields: DataFrame) -> Data
     sets = assigns.where("rhs_kind <> 'field' OR field_id IS NOT NULL").select(*scope, "pos", "lhs", want.alias("want"), value.alias("value"), find.alias("site"))
     uses = stmts.where("lhs IS NULL").select(*scope, "pos", F.lit(None).cast("string").alias("lhs"), F.col("receiver").alias("want"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("site"))
     return follow_back(sets.unionByName(uses), scope)
+
+
+def content_views(stmts: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, layout): the layout number that the first setContentView of a class sets."""
+    arg = F.get("args", F.lit(0))
+    sets = stmts.where((F.col("callee") == "setContentView") & arg.rlike("^[0-9]+$"))
+    return sets.groupBy(*scope).agg(F.min_by(arg.cast("bigint"), "pos").alias("layout"))
+
+
+def widget_layouts(widgets: DataFrame, inflated: DataFrame, contents: DataFrame, scope: list[str]) -> DataFrame:
+    """Adds `layout` to widgets (scope, pos): that which their receiver was inflated from (scope, pos, layout), else their class's."""
+    own = inflated.groupBy(*scope, "pos").agg(F.min("layout").alias("own"))
+    both = widgets.join(own, [*scope, "pos"], "left").join(contents.withColumnRenamed("layout", "of_class"), scope, "left")
+    return both.select(*widgets.columns, F.coalesce("own", "of_class").alias("layout"))
+
+
+def switch_edges(stmts: DataFrame, scope: list[str], caller: str, condition: str, cases: DataFrame) -> DataFrame:
+    """(key, caller, callee): the calls in the block of each wanted case.
+
+    stmts: scope, pos, kind (case, invoke or other), the named columns caller and condition (of a case, what its test
+    compares with), callee; cases: condition and key. A block ends at the next case of its scope.
+    """
+    blocks = case_blocks(stmts, scope, "pos", "kind = 'case'")
+    tested = stmts.where("kind = 'case'").select(*scope, F.col("pos").alias("block"), F.col(condition).alias("condition"))
+    return blocks.where("kind = 'invoke'").join(tested, [*scope, "block"]).join(cases, "condition").select("key", F.col(caller).alias("caller"), "callee").distinct()
+
+
+def field_uses(stmts: DataFrame, fields: DataFrame) -> DataFrame:
+    """(id, method): the methods whose statements name a widget's field of their class.
+
+    stmts: class, method, text; fields: class, field, id.
+    """
+    return stmts.join(fields, "class").where(F.contains("text", F.concat(F.lit(" "), "field", F.lit(">")))).select("id", "method").distinct()
+
+
+def thread_starts(stmts: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, pos, method): the run method behind every start call, by the class that its receiver was made of.
+
+    stmts: scope, pos, lhs, rhs, rhs_kind (new with the class as rhs, local, invoke or other), callee, receiver, args. A
+    thread made with a first argument runs what that variable was made of.
+    """
+    runs = F.get("args", F.lit(0))
+    made = (F.col("rhs_kind") == "new") & runs.isNull()
+    sets = stmts.where("lhs IS NOT NULL AND rhs_kind IN ('new', 'local')").select(*scope, "pos", "lhs", F.when(F.col("rhs_kind") == "local", F.col("rhs")).when(~made, runs).alias("want"), F.when(made, F.col("rhs")).alias("value"))
+    uses = stmts.where("callee = 'start' AND lhs IS NULL").select(*scope, "pos", F.lit(None).cast("string").alias("lhs"), F.col("receiver").alias("want"), F.lit(None).cast("string").alias("value"))
+    found = follow_back(sets.unionByName(uses).withColumn("site", F.lit(False)), scope).join(uses.select(*scope, "pos"), [*scope, "pos"], "left_semi")
+    return found.where("value IS NOT NULL").select(*scope, "pos", F.concat(F.lit("<"), "value", F.lit(": void run()>")).alias("method"))
+
+
+def code_texts(texts: DataFrame, widgets: DataFrame, setters: DataFrame, strings: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, pos, id, type, value): what code shows on widgets.
+
+    texts and widgets: what string_behind and widget_behind give; setters: scope, pos, callee (setText, setHint or
+    setTitle); strings: id and value, for a text that is a resource's number.
+    """
+    wanted = setters.where(F.col("callee").isin("setText", "setHint", "setTitle"))
+    both = wanted.join(texts.select(*scope, "pos", F.col("value").alias("said")), [*scope, "pos"]).join(widgets.select(*scope, "pos", F.col("value").alias("id")), [*scope, "pos"], "left")
+    named = strings.groupBy(F.col("id").cast("string").alias("said")).agg(F.min("value").alias("resource"))
+    kind = F.lower(F.substr("callee", F.lit(4))).alias("type")
+    return both.join(named, "said", "left").select(*scope, "pos", "id", kind, F.coalesce("resource", "said").alias("value")).where("value IS NOT NULL")

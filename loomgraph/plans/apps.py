@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import access, evaluate, graph, link, reduce, resources
+from ..operators import access, evaluate, graph, link, reduce, resources, statements
 from .catalogue import query
 from .fixture import edges, nodes, sql, table
 from .scratch import stored
@@ -225,3 +225,48 @@ def uhg_opcode_stats(s, d):
     vectors = uhg_encode(s, d).select("uid", "eid", F.posexplode("vec").alias("i", "x"))
     mean = vectors.where("i BETWEEN 1 AND 264 AND x > 0").select("uid", "eid", (F.col("i") - 1).alias("flag"), F.round("x", 6).alias("mean"))
     return mean.join(vectors.where("i > 264").select("uid", "eid", (F.col("i") - 265).alias("flag"), F.round("x", 6).alias("std")), ["uid", "eid", "flag"])
+
+
+@query("SELECT o_custkey AS class, arg_min(o_totalprice::BIGINT, o_orderkey) AS layout FROM (SELECT o_custkey, o_orderkey, floor(o_totalprice) AS o_totalprice FROM orders WHERE o_orderkey%3=0) GROUP BY ALL")
+def content_views(s, d):
+    k = F.col("o_orderkey")
+    stmts = table(s, d, "orders").select(F.col("o_custkey").alias("class"), k.alias("pos"), F.when(k % 3 == 0, "setContentView").otherwise("inflate").alias("callee"), F.array(F.floor("o_totalprice").cast("string")).alias("args"))
+    return statements.content_views(stmts, ["class"])
+
+
+@query("SELECT DISTINCT (c.o_orderkey//5%4)||'$k' AS key, '<o.M: void h'||s.o_custkey||'()>' AS caller, '<o.C: void c'||(s.o_orderkey%9)||'()>' AS callee FROM orders s JOIN orders c ON c.o_custkey=s.o_custkey AND c.o_orderkey = (SELECT max(t.o_orderkey) FROM orders t WHERE t.o_custkey=s.o_custkey AND t.o_orderkey%5=0 AND t.o_orderkey<=s.o_orderkey) WHERE s.o_orderkey%5 IN (1,2) AND c.o_orderkey//5%4<3")
+def switch_edges(s, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    kind = F.when(k % 5 == 0, "case").when(k % 5 < 3, "invoke").otherwise("other")
+    stmts = table(s, d, "orders").select("o_custkey", k.alias("pos"), kind.alias("kind"), F.concat(F.lit("<o.M: void h"), c, F.lit("()>")).alias("caller"), (F.floor(k / 5) % 4).cast("int").alias("test"), F.concat(F.lit("<o.C: void c"), k % 9, F.lit("()>")).alias("callee"))
+    cases = s.range(3).select(F.col("id").cast("int").alias("condition"), F.concat("id", F.lit("$k")).alias("key"))
+    return statements.switch_edges(stmts, ["o_custkey"], "caller", "test", cases)
+
+
+@query("SELECT DISTINCT o_custkey AS id, 'm'||o_orderkey AS method FROM orders WHERE o_orderkey%11=o_custkey%11")
+def field_uses(s, d):
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    stmts = table(s, d, "orders").select(c.alias("class"), F.concat(F.lit("m"), k).alias("method"), F.concat(F.lit("x = r0.<C: View f"), k % 11, F.lit(">")).alias("text"))
+    fields = table(s, d, "customer").select(F.col("c_custkey").alias("class"), F.concat(F.lit("f"), F.col("c_custkey") % 11).alias("field"), F.col("c_custkey").alias("id"))
+    return statements.field_uses(stmts, fields)
+
+
+@query("""WITH RECURSIVE s AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderkey%4 AS kind, 'v'||(o_orderkey%3) AS lhs, CASE o_orderkey%4 WHEN 1 THEN 'v'||(o_orderkey//4%3) WHEN 2 THEN 'v'||(o_orderkey//4%3) WHEN 3 THEN 'v'||(o_orderkey//5%3) END AS want FROM orders),
+p AS (SELECT s.*, (SELECT max(d.k) FROM s d WHERE d.c=s.c AND d.kind<3 AND d.lhs=s.want AND d.k<s.k) AS up FROM s),
+walk AS (SELECT c, k, up, k AS at_ FROM p WHERE kind=3 UNION ALL SELECT w.c, w.k, p.up, p.k FROM walk w JOIN p ON p.c=w.c AND p.k=w.up)
+SELECT w.c AS o_custkey, w.k AS pos, '<o.T'||(w.at_%13)||': void run()>' AS method FROM walk w JOIN p ON p.c=w.c AND p.k=w.at_ WHERE p.kind=0""")
+def thread_starts(s, d):
+    k = F.col("o_orderkey")
+    kind, var = k % 4, lambda n: F.concat(F.lit("v"), (F.floor(k / n) % 3).cast("string"))
+    none = F.lit(None).cast("string")
+    stmts = table(s, d, "orders").select(
+        "o_custkey",
+        k.alias("pos"),
+        F.when(kind < 3, var(1)).alias("lhs"),
+        F.when(kind == 0, F.concat(F.lit("o.T"), k % 13)).when(kind == 1, var(4)).when(kind == 2, "java.lang.Thread").alias("rhs"),
+        F.when(kind == 1, "local").when(kind < 3, "new").alias("rhs_kind"),
+        F.when(kind == 3, "start").otherwise(none).alias("callee"),
+        F.when(kind == 3, var(5)).alias("receiver"),
+        F.when(kind == 2, F.array(var(4))).otherwise(F.array().cast("array<string>")).alias("args"),
+    )
+    return statements.thread_starts(stmts, ["o_custkey"])

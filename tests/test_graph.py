@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,26 @@ def test_laplacian_of_known_graphs(spark):
     assert got[1] == pytest.approx(0.75) and got[2] == pytest.approx(1.0)
 
 
+def test_laplacian_of_large_graphs(spark):
+    rng = np.random.RandomState(3)
+    rows = [(g, int(a), int(b)) for g in range(3) for a, b in rng.randint(0, 120, (400 - 90 * g, 2))] + [(3, a, a + 1) for a in range(60)] + [(4, 1, 2), (4, 3, 4)]
+    edges = spark.createDataFrame(rows, "g int, src long, dst long")
+    dense, sparse = (dict(map(tuple, evaluate.laplacian(edges, ["g"], n).collect())) for n in (2000, 1))
+    assert {g: round(x, 7) for g, x in dense.items()} == pytest.approx({g: round(x, 7) for g, x in sparse.items()}, abs=1e-6)
+
+
+def test_layouts_and_texts_of_widgets(spark):
+    widgets = spark.createDataFrame([("A", 1), ("A", 2), ("B", 3)], "class string, pos int")
+    inflated = spark.createDataFrame([("A", 2, 70)], "class string, pos int, layout long")
+    contents = spark.createDataFrame([("A", 60)], "class string, layout long")
+    assert sorted(map(tuple, statements.widget_layouts(widgets, inflated, contents, ["class"]).collect())) == [("A", 1, 60), ("A", 2, 70), ("B", 3, None)]
+    texts = spark.createDataFrame([("A", 1, "hi"), ("A", 2, "99"), ("A", 3, None)], "class string, pos int, value string")
+    ids = spark.createDataFrame([("A", 1, "5"), ("A", 2, "6"), ("A", 3, "6")], "class string, pos int, value string")
+    setters = spark.createDataFrame([("A", 1, "setText"), ("A", 2, "setHint"), ("A", 3, "setText"), ("A", 4, "run")], "class string, pos int, callee string")
+    strings = spark.createDataFrame([(99, "named")], "id long, value string")
+    assert sorted(map(tuple, statements.code_texts(texts, ids, setters, strings, ["class"]).collect())) == [("A", 1, "5", "text", "hi"), ("A", 2, "6", "hint", "named")]
+
+
 def test_ward_splits_clear_groups(spark):
     v = spark.createDataFrame([(i, [float(10 * (i % 3)), i / 100]) for i in range(30)], "id long, v array<double>")
     got = {r.id: r.cluster for r in evaluate.ward(v, "id", "v", 3).collect()}
