@@ -183,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     picked = [known.where(F.col("label") == k).orderBy(F.xxhash64("key"), "key").limit(sample) for k in (0, 1)]
     chosen = picked[0].unionByName(picked[1])  # 2 * sample rows at most, small enough to broadcast
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), body.alias("text"), F.octet_length(body).alias("bytes")).join(F.broadcast(chosen), "key").dropDuplicates(["text"])
+    rows = docs.select(F.col(key).alias("key"), body.alias("text"), F.octet_length(body).alias("bytes")).join(F.broadcast(chosen), "key")
+    rows = rows.groupBy("text").agg(F.min(F.struct("key", "label", "bytes")).alias("r")).select("text", "r.*")
     so_far = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("sum", F.sum("bytes").over(so_far)).where(F.col("sum") <= sample_bytes).orderBy("key").select("key", "text", "label").collect()
     share = dict(known.groupBy("label").count().collect())
