@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, ngram_join, packing, pii, pitman_yor, textops, token_counts, toxicity, vamana, wavelet
+from . import chat, decontaminate, ngram_join, packing, pii, pitman_yor, prefix_trie, repair, reputation, textops, token_counts, toxicity, vamana, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,8 +79,27 @@ def op10_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_ids(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+#: The rules of op11 (host, path, verdict).
+_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op11_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page takes the label of its id; one of low quality or toxic is bad."""
+    outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.greatest(1 - F.col("quality"), "toxic").alias("bad"))
+    return reputation.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, _RULES).select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad", F.round("bad_rate", 6).alias("bad_rate"), F.round("low", 6).alias("low"))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(_table(spark, sf_dir, "conversations")), present="present")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = prefix_trie.rebuilt(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.nodes(*paths)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_decontamination, op4_pitman_yor, op5_chat_formatting, op6_packing, op7_toxicity, op8_nearest, op9_pii, op10_wavelet_ids)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_decontamination, op4_pitman_yor, op5_chat_formatting, op6_packing, op7_toxicity, op8_nearest, op9_pii, op10_wavelet_ids, op11_url_reputation, op12_structure_repair, op13_prefix_trie)}
 
 
 _SAID = "<|im_end|><|im_start|>assistant ok"
@@ -103,6 +122,70 @@ reach AS (SELECT a AS doc_id, b AS other FROM both_ UNION SELECT r.doc_id, e.b F
 SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce((SELECT min(other) FROM reach r WHERE r.doc_id=n.doc_id), n.doc_id)) AS component_id FROM n"""
 
 
+_TWO = ",".join(f"'{s}'" for s in reputation.TWO_LABELS)
+
+
+def _level_sql(level: str, source: str) -> str:
+    """One level of op11: source has n, bad and mu; adds the posterior mean and the strength."""
+    rho = "(sum((bad-n*mu)**2)-sum(n*mu*(1-mu)))/nullif(sum(n*(n-1)*mu*(1-mu)),0)"
+    return f"{level}_m AS (SELECT CASE WHEN {rho} > 0 THEN least(1000.0,greatest(1.0,1/({rho})-1)) ELSE 1000.0 END AS m FROM {source}), {level} AS (SELECT s.*, m, (bad+m*mu)/(n+m) AS mean FROM {source} s, {level}_m)"
+
+
+_URL_SQL = rf"""WITH u AS (SELECT page_id, CASE WHEN strpos(url,'://')>0 THEN substr(url, strpos(url,'://')+3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest,'^[^/?#]*'),'{reputation.UPPER}','{reputation.LOWER}') AS host, regexp_extract(rest,'^[^/?#]*([^?#]*)',1) AS path FROM u),
+o AS (SELECT doc_id, max(greatest(1-quality, toxic)) AS bad FROM labels WHERE doc_id IS NOT NULL AND greatest(1-quality, toxic) IS NOT NULL GROUP BY doc_id),
+c AS (SELECT host, count(bad) AS n, coalesce(sum(bad),0) AS bad, string_split(regexp_replace(regexp_replace(host,'^.*@',''),':[0-9]*$|\.+$',''),'.') AS w FROM p LEFT JOIN o ON doc_id=page_id GROUP BY host),
+d AS (SELECT host, n, bad, CASE WHEN array_to_string(w,'.') SIMILAR TO '[0-9.]*|\[.*' THEN 9 WHEN array_to_string(w[-2:],'.') IN ({_TWO}) THEN 3 ELSE 2 END AS k, w FROM c),
+h AS (SELECT host, n, bad, array_to_string(w[-k:],'.') AS domain, array_to_string(w[-(CASE WHEN k=9 THEN 9 ELSE k-1 END):],'.') AS suffix FROM d),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT coalesce(sum(bad)/nullif(sum(n),0),0.5) FROM h) AS mu FROM h GROUP BY suffix), {_level_sql("s1", "s0")},
+d0 AS (SELECT g.*, s1.mean AS mu FROM (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL) g JOIN s1 USING (suffix)), {_level_sql("d1", "d0")},
+h0 AS (SELECT h.*, d1.mean AS mu FROM h JOIN d1 USING (domain)), {_level_sql("h1", "h0")},
+j AS (SELECT *, CASE WHEN path LIKE '/es/%' AND (host='example.org' OR host LIKE '%.example.org') THEN 'example.org/es/' WHEN path LIKE '/en/1%' AND (host='example.org' OR host LIKE '%.example.org') THEN 'example.org/en/1'
+  WHEN path LIKE '/fr/%' AND (host='com' OR host LIKE '%.com') THEN 'com/fr/' WHEN path LIKE '/de/%' AND (host='com' OR host LIKE '%.com') THEN 'com/de/' WHEN path LIKE '/%' AND (host='org' OR host LIKE '%.org') THEN 'org/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/es/','example.org/en/1','com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict, n AS n_labelled, bad::BIGINT AS n_bad, round(mean,6) AS bad_rate, round(low,6) AS low
+FROM j JOIN (SELECT *, greatest(0,mean-1.645*sqrt(mean*(1-mean)/(n+m+1))) AS low FROM h1) USING (host)"""
+
+
+_REPAIR_SQL = r"""WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role,' ') AS role, coalesce(text,' ') AS text, coalesce(conv_id::VARCHAR,' ')||':'||coalesce(turn::VARCHAR,' ') AS key FROM conversations),
+b AS (SELECT c.conv_id, c.turn, c.role, c.text, k.k FROM d c JOIN (SELECT key, list_reduce(list_prepend(4294967295::UBIGINT, [ord(x)::UBIGINT FOR x IN string_split(key,'')]), lambda a, y: list_reduce(list_prepend(xor(a,y), [0::UBIGINT,0,0,0,0,0,0,0]), lambda v, z: CASE WHEN v%2=1 THEN xor(v//2, 3988292384::UBIGINT) ELSE v//2 END)) AS k FROM (SELECT DISTINCT key FROM d)) k USING (key)),
+g AS (SELECT conv_id, turn, CASE WHEN k=4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text,'[.!?]','','g') ELSE text END AS text, unnest(range(CASE WHEN k=3 THEN 2 ELSE 1 END)) AS copy FROM (SELECT * REPLACE (xor(k,4294967295::UBIGINT)%20 AS k) FROM b) WHERE k<>0),
+o AS (SELECT conv_id, turn, role, text, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, left(role,1) AS ini, lag(left(role,1)) OVER w AS prev, right(rtrim(text,chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),1) AS last FROM g WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+r AS (SELECT *, CASE WHEN last='' THEN 'blank' WHEN nth>1 THEN 'duplicate' WHEN last NOT IN ('.','!','?') THEN 'truncated' ELSE '' END AS flaw FROM o),
+n AS (SELECT conv_id, max(i) AS n FROM r GROUP BY conv_id),
+move AS (SELECT * FROM (VALUES (0,'s','s',1),(0,'u','u',2),(1,'u','u',2),(2,'a','a',3),(3,'u','u',2)) t(st, ini, role, nxt)),
+fit AS (SELECT * FROM (VALUES (0,'user',2),(1,'user',2),(2,'assistant',3),(3,'user',2)) t(st, role, nxt)),
+ins AS (SELECT st, st AS nxt, '' AS letters, '' AS added, 0 AS c FROM fit UNION ALL SELECT st, nxt, 'I', role||':', 5 FROM fit UNION ALL SELECT a.st, b.nxt, 'II', a.role||':'||chr(10)||b.role||':', 10 FROM fit a JOIN fit b ON b.st=a.nxt),
+walk AS (SELECT conv_id, 0 AS i, nxt AS st, c AS cost, letters AS audit, CASE WHEN added='' THEN [] ELSE [added] END AS said FROM n JOIN ins ON ins.st=0
+  UNION ALL SELECT conv_id, i, st, best.cost, best.audit, best.said FROM (
+    SELECT w.conv_id, w.i+1 AS i, x.nxt AS st, min({'cost': w.cost+e.c+x.c, 'audit': w.audit||e.letter||x.letters, 'said': w.said||CASE WHEN e.line='' THEN [] ELSE [e.line] END||CASE WHEN x.added='' THEN [] ELSE [x.added] END}) AS best
+    FROM walk w JOIN r ON r.conv_id=w.conv_id AND r.i=w.i+1 JOIN LATERAL (
+      SELECT w.st AS nxt, 'D' AS letter, 2 AS c, '' AS line
+      UNION ALL SELECT m.nxt, 'K', CASE WHEN r.flaw='truncated' THEN 5 ELSE 0 END, r.role||':'||r.text FROM move m WHERE m.st=w.st AND m.ini=r.ini AND r.flaw IN ('','truncated')
+      UNION ALL SELECT f.nxt, 'R', CASE WHEN r.flaw='truncated' THEN 6 ELSE 1 END, f.role||':'||r.text FROM fit f WHERE f.st=w.st AND r.flaw IN ('','truncated')) e ON true
+    JOIN ins x ON x.st=e.nxt GROUP BY ALL)),
+best AS (SELECT w.conv_id, min({'cost': cost, 'audit': audit, 'said': said}) AS b FROM walk w JOIN n ON n.conv_id=w.conv_id AND n.n=w.i WHERE st IN (0,3) GROUP BY ALL)
+SELECT c.conv_id, coalesce(s.gaps,0)::BIGINT AS gaps, coalesce(s.blank,0) AS blank, coalesce(s.duplicate,0) AS duplicate, coalesce(s.truncated,0) AS truncated, coalesce(s.illegal,0) AS illegal, coalesce(b.cost,0)::BIGINT AS cost, coalesce(b.audit,'') AS audit, sha256(coalesce(array_to_string(b.said,chr(10)),'')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, max(turn)-min(turn)+1-count(DISTINCT turn) AS gaps, count(*) FILTER (flaw='blank') AS blank, count(*) FILTER (flaw='duplicate') AS duplicate, count(*) FILTER (flaw='truncated') AS truncated, count(*) FILTER (prev||ini NOT IN ('su','ua','au')) AS illegal FROM r GROUP BY conv_id) s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN (SELECT conv_id, unnest(b) FROM best) b ON b.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+_CRC_SQL = "xor(list_reduce(list_prepend(4294967295::UBIGINT, [ord(x)::UBIGINT FOR x IN string_split({0},'')]), lambda a, y: list_reduce(list_prepend(xor(a,y), [0::UBIGINT,0,0,0,0,0,0,0]), lambda v, z: CASE WHEN v%2=1 THEN xor(v//2, 3988292384::UBIGINT) ELSE v//2 END)), 4294967295::UBIGINT)"
+
+_TRIE_SQL = rf"""WITH t AS (SELECT conv_id, coalesce(role,'') AS role, coalesce(text,'') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id-conv_id%100 AS base, {_CRC_SQL.format("conv_id::VARCHAR")}%6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+m AS (SELECT c.conv_id, 0 AS part, t.i, t.role, t.text FROM c JOIN t ON t.conv_id=c.base AND t.i<=c.h UNION ALL SELECT c.conv_id, 1, t.i, t.role, t.text FROM c JOIN t ON t.conv_id=c.conv_id AND t.i>c.h),
+s AS (SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars, string_agg(sha256(length(role)||':'||role||text),'') OVER (PARTITION BY conv_id ORDER BY part, i ROWS UNBOUNDED PRECEDING) AS path FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)),
+p AS (SELECT conv_id, depth, chars, path FROM s UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+e AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+n AS (SELECT path, depth, chars, left(path, greatest(64*(depth-1),0)::INT) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs FROM p GROUP BY path, depth, chars),
+k AS (SELECT parent, count(*) AS n_children FROM n WHERE depth>0 GROUP BY parent),
+u AS (SELECT n.path, n.chars*(n.n_convs-1) AS saved, k.parent IS NULL AS leaf, unnest(range(n.depth+1)) AS up FROM n LEFT JOIN k ON k.parent=n.path),
+a AS (SELECT left(path, (64*up)::INT) AS path, sum(saved) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves FROM u GROUP BY 1),
+z AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends FROM p JOIN e USING (conv_id, depth) GROUP BY path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, CASE WHEN n.depth>0 THEN o.conv_id END AS parent_conv_id, n.n_convs, coalesce(n_children,0) AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ends,'')) AS ends_sha256
+FROM n JOIN n o ON o.path=n.parent LEFT JOIN k ON k.parent=n.path JOIN a ON a.path=n.path LEFT JOIN z ON z.path=n.path"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL of the queries that it can express: whole results of op1 and op5. The others have brute-force tests."""
-    return {"op1_ngram_join": _JOIN_SQL, "op5_chat_formatting": _CHAT_SQL}
+    """SQL of the queries that it can express. The others have brute-force tests."""
+    return {"op1_ngram_join": _JOIN_SQL, "op5_chat_formatting": _CHAT_SQL, "op11_url_reputation": _URL_SQL, "op12_structure_repair": _REPAIR_SQL, "op13_prefix_trie": _TRIE_SQL}
