@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 CALL, FIND, HOLD, USE, EVENT = range(5)
 
+#: What a node and an edge belong to, and what a handler graph is known by.
+APP, KEYS = "app_id", ["app_id", "uid", "eid"]
+
 
 def node_kind(name: Column) -> Column:
     """ANDROID, JAVA or METHOD by the first token of the class name."""
@@ -93,8 +96,12 @@ def layout_base(file: Column) -> Column:
 
 
 def signature_in(text: Column) -> Column:
-    """The method signature in a statement: from the first < to the next >, both kept; null without one."""
-    return F.nullif(F.regexp_extract(text, "<[^>]*>", 0), F.lit(""))
+    """The method signature in a statement: from the first < to the last > before a parenthesis, else to the last >; null without one.
+
+    So a constructor's <init> stays whole.
+    """
+    called = F.regexp_extract(text, r"<.*>(?=\()", 0)
+    return F.nullif(F.when(called != "", called).otherwise(F.regexp_extract(text, "<.*>", 0)), F.lit(""))
 
 
 def unescaped(text: Column) -> Column:

@@ -1,122 +1,92 @@
 """Handler graphs: bounded reachability from event handlers, induced edges, and pruning.
 
-Edges are (src, dst, type); nodes are (node_id, name, is_self, is_widget). All handler graphs are built at
-once: reach depends only on the handler, so widgets are joined to it afterwards.
+Edges are (app_id, src, dst, type); nodes are (app_id, node_id, name, is_self, is_widget). Ids and names are an app's own.
+All handler graphs of all apps are built at once: reach depends only on the handler, so widgets are joined to it afterwards.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import CALL, EVENT, FIND, HOLD, USE, is_noise
-from ..plans.scratch import stored
+from ..functions.names import APP, CALL, EVENT, FIND, HOLD, KEYS, USE, is_noise
+from .closure import closure, components, reached
+from .scratch import stored
 
 
 def adjacency(edges: DataFrame, find_edge: bool = False) -> DataFrame:
     """HOLD edges turn round, FIND edges go unless wanted."""
     kept = edges if find_edge else edges.where(F.col("type") != FIND)
     hold = F.col("type") == HOLD
-    return kept.select(F.when(hold, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(hold, F.col("src")).otherwise(F.col("dst")).alias("dst"), "type")
+    return kept.select(APP, F.when(hold, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(hold, F.col("src")).otherwise(F.col("dst")).alias("dst"), "type")
 
 
 def eligible(edges: DataFrame, nodes: DataFrame, calls: list[str] = (), classes: list[str] = (), find_edge: bool = False) -> DataFrame:
     """Edges that a traversal may take, with whether each end is an own method and whether both are library methods (api_call)."""
-    ends = nodes.select(F.col("node_id").alias("dst"), F.col("is_self").alias("dst_self"), is_noise(F.col("name"), calls, classes).alias("noise"))
-    starts = nodes.select(F.col("node_id").alias("src"), F.col("is_self").alias("src_self"))
-    return adjacency(edges, find_edge).join(ends, "dst").where("NOT noise").join(starts, "src").select("src", "dst", "type", ((F.col("type") == CALL) & ~F.col("dst_self") & ~F.col("src_self")).alias("api_call"), "src_self", "dst_self")
+    ends = nodes.select(APP, F.col("node_id").alias("dst"), F.col("is_self").alias("dst_self"), is_noise(F.col("name"), calls, classes).alias("noise"))
+    starts = nodes.select(APP, F.col("node_id").alias("src"), F.col("is_self").alias("src_self"))
+    return adjacency(edges, find_edge).join(ends, [APP, "dst"]).where("NOT noise").join(starts, [APP, "src"]).select(APP, "src", "dst", "type", ((F.col("type") == CALL) & ~F.col("dst_self") & ~F.col("src_self")).alias("api_call"), "src_self", "dst_self")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 40) -> DataFrame:
-    """(seed, node): all that each seed reaches, itself included.
+def _visits(ok: DataFrame, nodes: DataFrame, seeds: DataFrame, hop: int) -> DataFrame:
+    """(app_id, seed, node, depth): all that a seed reaches, with the least depth it has there; without a limit it is null.
 
-    Only what seeds reach is kept. A round adds what lies as many steps on as the jumps at hand take, then doubles
-    the jumps: after k rounds all nodes within 2**k - 1 steps are known, and a round without a new one is the last.
-    Nodes without out-edges are added once at the end.
-    """
-    step = stored(edges.select("src", "dst").distinct())
-    jumps = inner = stored(step.join(step.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-    led = stored(seeds.select(F.col("seed"), F.col("seed").alias("node")).distinct())
-    size = led.count()
-    for _ in range(rounds):
-        further = led.join(jumps, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"))
-        led = stored(led.unionByName(further).distinct())
-        now = led.count()
-        if now == size:
-            break
-        size = now
-        jumps = stored(jumps.join(jumps.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst")).distinct())
-    else:
-        raise RuntimeError("closure did not settle")
-    ends = step.join(inner, ["src", "dst"], "left_anti")
-    return led.unionByName(led.join(ends, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"))).distinct()
-
-
-def _by_depth(ok: DataFrame, hop: int) -> DataFrame:
-    """The edges among pairs of a node and its depth, as node * (hop + 2) + depth + 1.
-
-    Own methods have the depth -1, whatever led to them; a library method that an own one calls has 0, one that
-    a library method calls has one more than that.
+    With a limit the paths go among pairs of a node and its depth. Own methods have the depth -1, whatever led to them; a
+    library method that an own one calls has 0, one that a library method calls has one more than that.
     """
-    wide = hop + 2
+    at = lambda c, d: F.struct(APP, F.col(c).alias("id"), d.cast("int").alias("depth"))
+    if hop < 1:
+        none = F.lit(0)
+        pairs = closure((ok if hop < 0 else ok.where("NOT api_call")).select(at("src", none).alias("src"), at("dst", none).alias("dst")), seeds.select(at("seed", none).alias("seed")))
+        return pairs.select(F.col(f"seed.{APP}"), F.col("seed.id").alias("seed"), F.col("node.id").alias("node"), F.lit(None).cast("int").alias("depth"))
     depths = F.when(F.col("src_self"), F.array(F.lit(-1))).when(F.col("api_call"), F.sequence(F.lit(0), F.lit(hop - 1))).otherwise(F.sequence(F.lit(0), F.lit(hop)))
     deep = ok.withColumn("d", F.explode(depths))
-    to = F.when(F.col("dst_self"), F.lit(0)).when(F.col("api_call"), F.col("d") + 2).otherwise(F.lit(1))
-    return deep.select((F.col("src") * wide + F.col("d") + 1).alias("src"), (F.col("dst") * wide + to).alias("dst"))
-
-
-def _visits(ok: DataFrame, nodes: DataFrame, seeds: DataFrame, hop: int) -> DataFrame:
-    """(seed, node, depth): all that a seed reaches, with the least depth it has there; without a limit the depth is null."""
-    none = F.lit(None).cast("bigint").alias("depth")
-    if hop < 1:
-        return closure(ok if hop < 0 else ok.where("NOT api_call"), seeds).select("seed", "node", none)
-    wide = hop + 2
-    start = seeds.distinct().join(nodes.select(F.col("node_id").alias("seed"), "is_self"), "seed").select((F.col("seed") * wide + F.when(F.col("is_self"), 0).otherwise(1)).alias("seed"))
-    pairs = closure(_by_depth(ok, hop), start)
-    at = lambda c: F.expr(f"{c} div {wide}")
-    return pairs.groupBy(at("seed").alias("seed"), at("node").alias("node")).agg((F.min(F.col("node") % wide) - 1).alias("depth"))
+    to = F.when(F.col("dst_self"), F.lit(-1)).when(F.col("api_call"), F.col("d") + 1).otherwise(F.lit(0))
+    start = seeds.distinct().join(nodes.select(APP, F.col("node_id").alias("seed"), "is_self"), [APP, "seed"]).select(at("seed", F.when(F.col("is_self"), -1).otherwise(0)).alias("seed"))
+    pairs = closure(deep.select(at("src", F.col("d")).alias("src"), at("dst", to).alias("dst")), start)
+    return pairs.groupBy(F.col(f"seed.{APP}").alias(APP), F.col("seed.id").alias("seed"), F.col("node.id").alias("node")).agg(F.min("node.depth").alias("depth"))
 
 
 def reach(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, hop: int = 0, calls: list[str] = (), classes: list[str] = (), find_edge: bool = False) -> DataFrame:
-    """(seed, node) under the hop rule: from an own method's library call at most `hop` library calls on; -1 has no limit.
+    """(app_id, seed, node) under the hop rule: from an own method's library call at most `hop` library calls on; -1 has no limit.
 
-    A library method that calls an own one leads back to it, and its calls count anew. Of several ways to a
-    node the shortest counts.
+    seeds: app_id and seed. A library method that calls an own one leads back to it, and its calls count anew. Of several
+    ways to a node the shortest counts.
     """
-    return _visits(stored(eligible(edges, nodes, calls, classes, find_edge)), nodes, seeds, hop).select("seed", "node")
+    return _visits(stored(eligible(edges, nodes, calls, classes, find_edge)), nodes, seeds, hop).select(APP, "seed", "node")
 
 
 def handler_edges(edges: DataFrame, nodes: DataFrame, hop: int = 0, calls: list[str] = (), classes: list[str] = (), find_edge: bool = False) -> DataFrame:
-    """(uid, eid, src, dst, type) of every handler graph of more than one edge; methods with a listed word are not entered."""
-    events = edges.where(F.col("type") == EVENT).select(F.col("src").alias("uid"), F.col("dst").alias("eid")).distinct()
+    """(app_id, uid, eid, src, dst, type) of every handler graph of more than one edge; methods with a listed word are not entered."""
+    events = edges.where(F.col("type") == EVENT).select(APP, F.col("src").alias("uid"), F.col("dst").alias("eid")).distinct()
     ok = stored(eligible(edges, nodes, calls, classes, find_edge))
-    visited = stored(_visits(ok, nodes, events.select(F.col("eid").alias("seed")), hop))
-    taken = visited.join(ok, F.col("node") == F.col("src"))
+    visited = stored(_visits(ok, nodes, events.select(APP, F.col("eid").alias("seed")), hop))
+    taken = visited.join(ok.withColumnRenamed("src", "node"), [APP, "node"])
     if hop >= 0:
         taken = taken.where(~F.col("api_call") | (F.col("depth") < hop))
-    out = taken.select("seed", "src", "dst", "type")
-    widgets = nodes.where("is_widget").select(F.col("node_id").alias("src"))
-    into = edges.where(F.col("type").isin(USE, EVENT)).join(widgets, "src", "left_semi")
-    users = visited.join(into, F.col("node") == F.col("dst")).select("seed", "src", "dst", "type")
-    full = events.join(out.unionByName(users), F.col("eid") == F.col("seed")).select("uid", "eid", "src", "dst", "type")
-    own = events.select("uid", "eid", F.col("uid").alias("src"), F.col("eid").alias("dst"), F.lit(EVENT).alias("type"))
+    out = taken.select(APP, "seed", F.col("node").alias("src"), "dst", "type")
+    widgets = nodes.where("is_widget").select(APP, F.col("node_id").alias("src"))
+    into = edges.where(F.col("type").isin(USE, EVENT)).join(widgets, [APP, "src"], "left_semi")
+    users = visited.join(into.withColumnRenamed("dst", "node"), [APP, "node"]).select(APP, "seed", "src", F.col("node").alias("dst"), "type")
+    full = events.join(out.unionByName(users).withColumnRenamed("seed", "eid"), [APP, "eid"]).select(*KEYS, "src", "dst", "type")
+    own = events.select(*KEYS, F.col("uid").alias("src"), F.col("eid").alias("dst"), F.lit(EVENT).alias("type"))
     every = stored(full.unionByName(own).distinct())
-    big = every.groupBy("uid", "eid").count().where("count > 1").select("uid", "eid")
-    return every.join(big, ["uid", "eid"], "left_semi")
+    big = every.groupBy(*KEYS).count().where("count > 1").select(*KEYS)
+    return every.join(big, KEYS, "left_semi")
 
 
 def sizes(graph: DataFrame) -> DataFrame:
     """Distinct nodes and edges of each handler graph."""
-    ends = graph.select("uid", "eid", F.explode(F.array("src", "dst")).alias("node")).distinct().groupBy("uid", "eid").agg(F.count("*").alias("n_nodes"))
-    return ends.join(graph.groupBy("uid", "eid").agg(F.count("*").alias("n_edges")), ["uid", "eid"])
+    ends = graph.select(*KEYS, F.explode(F.array("src", "dst")).alias("node")).distinct().groupBy(*KEYS).agg(F.count("*").alias("n_nodes"))
+    return ends.join(graph.groupBy(*KEYS).agg(F.count("*").alias("n_edges")), KEYS)
 
 
 def child_widgets(graph: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Other widgets all of whose event and use edges lie in the handler graph."""
-    widgets = nodes.where("is_widget").select(F.col("node_id").alias("src"))
-    total = edges.where(F.col("type").isin(USE, EVENT)).join(widgets, "src", "left_semi").groupBy("src").agg(F.count("*").alias("total"))
-    held = graph.join(widgets, "src", "left_semi").where(F.col("type").isin(USE, EVENT)).groupBy("uid", "eid", "src").agg(F.count("*").alias("held"))
-    return held.join(total, "src").where("held = total AND src <> uid").select("uid", "eid", F.col("src").alias("child"))
+    """(app_id, uid, eid, child): other widgets all of whose event and use edges lie in the handler graph."""
+    widgets = nodes.where("is_widget").select(APP, F.col("node_id").alias("src"))
+    total = edges.where(F.col("type").isin(USE, EVENT)).distinct().join(widgets, [APP, "src"], "left_semi").groupBy(APP, "src").agg(F.count("*").alias("total"))
+    held = graph.join(widgets, [APP, "src"], "left_semi").where(F.col("type").isin(USE, EVENT)).groupBy(*KEYS, "src").agg(F.count("*").alias("held"))
+    return held.join(total, [APP, "src"]).where("held = total AND src <> uid").select(*KEYS, F.col("src").alias("child"))
 
 
 def prune_events(graph: DataFrame) -> DataFrame:
@@ -124,52 +94,71 @@ def prune_events(graph: DataFrame) -> DataFrame:
     return graph.where((F.col("type") != EVENT) | (F.col("src") == F.col("uid")))
 
 
-def prune_cases(graph: DataFrame, cases: DataFrame, rounds: int = 200) -> DataFrame:
-    """Removes what the callers of case pairs (uid, eid, src, dst) call beside them, and what only that leads to.
+def _at(c: str) -> Column:
+    """A node of one handler graph."""
+    return F.struct(*KEYS, F.col(c).alias("id"))
 
-    Removal spreads over all edges from the targets and does not expand callees of case pairs; edges that a
-    kept branch shares go as well.
+
+def prune_cases(graph: DataFrame, cases: DataFrame) -> DataFrame:
+    """Removes what the callers of case pairs (app_id, uid, eid, src, dst) call beside them, and what that leads to.
+
+    A pair counts whether or not its call is in the graph. Removal spreads over all edges from the targets and does not
+    expand callees of case pairs; edges that a kept branch shares go as well.
     """
-    keys = ["uid", "eid"]
     base = prune_events(graph)
-    known = cases.join(graph.where(F.col("type") == CALL).select(*keys, "src", "dst"), [*keys, "src", "dst"], "left_semi")
-    seeds = base.where(F.col("type") != EVENT).join(known.select(*keys, "src").distinct(), [*keys, "src"], "left_semi").join(known.select(*keys, "src", "dst", F.lit(CALL).alias("type")), [*keys, "src", "dst", "type"], "left_anti")
-    kept = known.select(*keys, F.col("dst").alias("node")).distinct()
-    gone = stored(seeds.select(*keys, F.col("dst").alias("node")).distinct().join(kept, [*keys, "node"], "left_anti"))
-    front = gone
-    for _ in range(rounds):
-        out = front.join(graph.select(*keys, F.col("src").alias("node"), F.col("dst").alias("to")), [*keys, "node"]).select(*keys, F.col("to").alias("node")).distinct()
-        front = stored(out.join(kept, [*keys, "node"], "left_anti").join(gone, [*keys, "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        gone = stored(gone.unionByName(front))
-    else:
-        raise RuntimeError("removal did not settle")
-    left = base.join(gone.withColumnRenamed("node", "src"), [*keys, "src"], "left_anti")
-    return left.join(seeds.select(*keys, "src", "dst", "type"), [*keys, "src", "dst", "type"], "left_anti")
-
-
-def prune_leaves(graph: DataFrame, nodes: DataFrame, rounds: int = 200) -> DataFrame:
-    """Removes calls between own methods whose callee has no out-edges, again and again until none is left."""
-    keys = ["uid", "eid"]
-    own = nodes.where("is_self").select("node_id")
-    now = stored(graph)
-    for _ in range(rounds):
-        inner = now.where(F.col("type") == CALL).join(own.withColumnRenamed("node_id", "src"), "src", "left_semi").join(own.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
-        leaves = stored(inner.join(now.select(*keys, F.col("src").alias("dst")).distinct(), [*keys, "dst"], "left_anti").select(*keys, "src", "dst", "type"))
-        if leaves.isEmpty():
-            return now
-        now = stored(now.join(leaves, [*keys, "src", "dst", "type"], "left_anti"))
-    raise RuntimeError("leaf removal did not settle")
+    pairs = cases.select(*KEYS, "src", "dst").distinct()
+    kept_call = pairs.withColumn("type", F.lit(CALL))
+    seeds = stored(base.where(F.col("type") != EVENT).join(pairs.select(*KEYS, "src").distinct(), [*KEYS, "src"], "left_semi").join(kept_call, [*KEYS, "src", "dst", "type"], "left_anti"))
+    kept = pairs.select(*KEYS, F.col("dst").alias("src")).distinct()
+    some = graph.join(seeds.select(*KEYS).distinct(), KEYS, "left_semi").join(kept, [*KEYS, "src"], "left_anti")
+    starts = seeds.select(*KEYS, F.col("dst").alias("src")).distinct().join(kept, [*KEYS, "src"], "left_anti")
+    gone = stored(reached(stored(some.select(_at("src").alias("src"), _at("dst").alias("dst")).distinct()), stored(starts.select(_at("src").alias("node")))))
+    gone = gone.select(*[F.col(f"node.{k}") for k in KEYS], F.col("node.id").alias("src")).join(kept, [*KEYS, "src"], "left_anti")
+    left = base.join(gone, [*KEYS, "src"], "left_anti")
+    return left.join(seeds.select(*KEYS, "src", "dst", "type"), [*KEYS, "src", "dst", "type"], "left_anti")
+
+
+def prune_leaves(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Removes calls between own methods whose callee has no out-edges, again and again until none is left.
+
+    What stays are the callees from which such calls lead to a method on a cycle of them or with another out-edge.
+    """
+    own = nodes.where("is_self").select(APP, "node_id")
+    flagged = graph.join(own.select(APP, F.col("node_id").alias("src"), F.lit(True).alias("a")), [APP, "src"], "left").join(own.select(APP, F.col("node_id").alias("dst"), F.lit(True).alias("b")), [APP, "dst"], "left")
+    flagged = stored(flagged.select(*KEYS, "src", "dst", "type", ((F.col("type") == CALL) & F.coalesce("a", F.lit(False)) & F.coalesce("b", F.lit(False))).alias("inner")))
+    calls = stored(flagged.where("inner").select(_at("src").alias("src"), _at("dst").alias("dst")).distinct())
+    ends = flagged.where("NOT inner OR src = dst").select(_at("src").alias("node")).distinct()
+    anchors = stored(ends.unionByName(components(calls).select("node")).distinct())
+    alive = reached(calls.select(F.col("dst").alias("src"), F.col("src").alias("dst")), anchors)
+    alive = alive.select(*[F.col(f"node.{k}") for k in KEYS], F.col("node.id").alias("dst"))
+    return flagged.where("NOT inner").unionByName(flagged.where("inner").join(alive, [*KEYS, "dst"], "left_semi").select(flagged.columns)).drop("inner")
 
 
 def next_edge_type(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each own method that is called: -1 without out-edges, 0 if it only calls own methods, else 1."""
-    self_ = nodes.select(F.col("node_id").alias("dst"), "is_self")
-    callee = graph.where(F.col("type") == CALL).select("uid", "eid", F.col("dst").alias("node")).distinct().join(nodes.where("is_self").select(F.col("node_id").alias("node")), "node", "left_semi")
-    out = graph.join(self_, "dst").groupBy("uid", "eid", F.col("src").alias("node")).agg(F.bool_and("is_self").alias("inner"))
-    return callee.join(out, ["uid", "eid", "node"], "left").select("uid", "eid", "node", F.when(F.col("inner").isNull(), -1).when(F.col("inner"), 0).otherwise(1).alias("next_type"))
+    self_ = nodes.select(APP, F.col("node_id").alias("dst"), "is_self")
+    callee = graph.where(F.col("type") == CALL).select(*KEYS, F.col("dst").alias("node")).distinct().join(nodes.where("is_self").select(APP, F.col("node_id").alias("node")), [APP, "node"], "left_semi")
+    out = graph.join(self_, [APP, "dst"]).groupBy(*KEYS, F.col("src").alias("node")).agg(F.bool_and("is_self").alias("inner"))
+    return callee.join(out, [*KEYS, "node"], "left").select(*KEYS, "node", F.when(F.col("inner").isNull(), -1).when(F.col("inner"), 0).otherwise(1).alias("next_type"))
 
 
 def linked_to_ui(edges: DataFrame) -> DataFrame:
-    return edges.groupBy(F.col("dst").alias("node")).agg((F.sum("type") > 0).alias("linked"))
+    return edges.groupBy(APP, F.col("dst").alias("node")).agg((F.sum("type") > 0).alias("linked"))
+
+
+def reached_by_app(edges: DataFrame, nodes: DataFrame, calls: list[str] = (), classes: list[str] = (), find_edge: bool = False) -> DataFrame:
+    """(app_id, node): what the handlers of each app lead to without a limit of hops, in space that grows with the edges only."""
+    at = lambda c: F.struct(APP, F.col(c).alias("id"))
+    ok = stored(eligible(edges, nodes, calls, classes, find_edge).select(at("src").alias("src"), at("dst").alias("dst")).distinct())
+    starts = edges.where(F.col("type") == EVENT).select(at("dst").alias("node")).distinct()
+    return reached(ok, starts).select(f"node.{APP}", F.col("node.id").alias("node"))
+
+
+def circles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(app_id, node, least, n): own methods that call each other in a circle, with the circle's least method and its size."""
+    at = lambda c: F.struct(APP, F.col(c).alias("id"))
+    own = nodes.where("is_self").select(APP, "node_id")
+    calls = edges.where(F.col("type") == CALL).join(own.withColumnRenamed("node_id", "src"), [APP, "src"], "left_semi").join(own.withColumnRenamed("node_id", "dst"), [APP, "dst"], "left_semi")
+    parts = stored(components(stored(calls.select(at("src").alias("src"), at("dst").alias("dst")).distinct())))
+    all_ = parts.groupBy("component").agg(F.min("node.id").alias("least"), F.count("*").alias("n"))
+    return parts.join(all_, "component").select(f"node.{APP}", F.col("node.id").alias("node"), "least", "n")

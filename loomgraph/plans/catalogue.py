@@ -11,8 +11,8 @@ from ..functions import names
 from ..operators import evaluate, graph, link, statements
 from ..sources import readers
 from ..streaming import increment
-from .fixture import SQL, edges, hop1_sql, nodes, sql, table
-from .scratch import stored
+from .fixture import SQL, edges, hop1_sql, nodes, own, sql, table
+from ..operators.scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -33,19 +33,19 @@ def _graph(s: SparkSession, d: str, **kw) -> DataFrame:
     return graph.handler_edges(stored(edges(s, d, **kw)), stored(nodes(s, d)))
 
 
-@query(sql("SELECT node_id, name, is_self, is_widget, uid, xml, package FROM nodes"))
+@query(sql("SELECT app_id, node_id, name, is_self, is_widget, uid, xml, package FROM nodes"))
 def node_table(s, d):
     return nodes(s, d)
 
 
-@query(sql("SELECT src, dst, type FROM edges"))
+@query(sql("SELECT app_id, src, dst, type FROM edges"))
 def edge_table(s, d):
     return edges(s, d)
 
 
-@query(sql("SELECT type, count(*) AS n FROM edges GROUP BY type"))
+@query(sql("SELECT app_id, type, count(*) AS n FROM edges GROUP BY app_id, type"))
 def edge_type_counts(s, d):
-    return edges(s, d).groupBy("type").agg(F.count("*").alias("n"))
+    return edges(s, d).groupBy("app_id", "type").agg(F.count("*").alias("n"))
 
 
 @query("""WITH c AS (SELECT 'android.support.v4.media.X'||(c_custkey%7) AS cls, c_custkey FROM customer UNION ALL SELECT 'com.android.internal.t'||(c_custkey%5), c_custkey FROM customer UNION ALL SELECT 'java.util.L'||c_custkey, c_custkey FROM customer)
@@ -56,10 +56,10 @@ def package_native(s, d):
     return c.select(F.explode(forms).alias("cls"), "c_custkey").withColumn("package", names.native_package(F.col("cls")))
 
 
-@query(sql("SELECT n.node_id, n.name, coalesce((SELECT min_by(prefix, ord) FROM (VALUES ('Brand1',0),('Brand2',1),('Brand23',2),('o.',3)) t(prefix,ord) WHERE starts_with(substr(n.name,2), prefix)),'-') AS package FROM nodes n WHERE NOT is_widget"))
+@query(sql("SELECT n.app_id, n.node_id, n.name, coalesce((SELECT min_by(prefix, ord) FROM (VALUES ('Brand1',0),('Brand2',1),('Brand23',2),('o.',3)) t(prefix,ord) WHERE starts_with(substr(n.name,2), prefix)),'-') AS package FROM nodes n WHERE NOT is_widget"))
 def package_prefix(s, d):
     prefixes = s.createDataFrame([("Brand1", 0), ("Brand2", 1), ("Brand23", 2), ("o.", 3)], "prefix string, ord int")
-    return link.package_of(nodes(s, d).where("NOT is_widget").select("node_id", "name"), prefixes).select("node_id", "name", "package")
+    return link.package_of(nodes(s, d).where("NOT is_widget").select("app_id", "node_id", "name"), prefixes).select("app_id", "node_id", "name", "package")
 
 
 @query("SELECT o_orderkey, lower(to_hex(o_orderkey)) AS hex, o_orderkey AS back FROM orders")
@@ -74,76 +74,92 @@ def composite_key(s, d):
     return k.withColumn("uid", F.substring_index("key", "$", 1)).withColumn("xml", F.substring_index("key", "$", -1))
 
 
-@query("SELECT * FROM (VALUES ('void onClick(android.view.View,int)','onClick(Landroid/view/View;I)V'),('int[][] f()','f()[[I'),('java.lang.String g(long,byte[])','g(J[B)Ljava/lang/String;')) t(java, smali)")
-def smali_signature(s, d):
-    rows = s.createDataFrame([("void onClick(android.view.View,int)",), ("int[][] f()",), ("java.lang.String g(long,byte[])",)], "java string")
-    return rows.withColumn("smali", names.smali_method(F.col("java")))
+_TYPES = ["void", "boolean", "byte", "short", "char", "int", "long", "float", "double", "java.lang.String", "a.B<c.D>", "int[][]", "a.b.C[]"]
+_CODES = ["V", "Z", "B", "S", "C", "I", "J", "F", "D", "Ljava/lang/String;", "La/B;", "[[I", "[La/b/C;"]
+_list_of = lambda words: "[" + ",".join(f"'{w}'" for w in words) + "]"
 
 
-_KINDS = "VALUES ('<androidx.a.B: void c()>'),('<javax.a.B: void c()>'),('<com.x.B: void c()>'),('<com.android.B: void c()>'),('<android.B: int d()>')"
+@query(f"SELECT DISTINCT a||' m'||p_size||'('||CASE WHEN p_size%4=0 THEN '' ELSE b||CASE WHEN p_size%4=2 THEN ','||a ELSE '' END END||')' AS java, 'm'||p_size||'('||CASE WHEN p_size%4=0 THEN '' ELSE y||CASE WHEN p_size%4=2 THEN x ELSE '' END END||')'||x AS smali FROM (SELECT p_size, {_list_of(_TYPES)}[p_partkey%13+1] AS a, {_list_of(_TYPES)}[p_size%13+1] AS b, {_list_of(_CODES)}[p_partkey%13+1] AS x, {_list_of(_CODES)}[p_size%13+1] AS y FROM part)")
+def smali_signature(s, d):
+    """Signatures that parts stand for: the type by the key, the first argument by the size, in four shapes."""
+    p, types = table(s, d, "part"), F.array(*map(F.lit, _TYPES))
+    a, b, shape = F.get(types, F.col("p_partkey") % 13), F.get(types, F.col("p_size") % 13), F.col("p_size") % 4
+    args = F.when(shape == 0, "").when(shape == 2, F.concat(b, F.lit(","), a)).otherwise(b)
+    return p.select(F.concat(a, F.lit(" m"), "p_size", F.lit("("), args, F.lit(")")).alias("java")).distinct().withColumn("smali", names.smali_method(F.col("java")))
 
 
-@query(f"SELECT name, CASE WHEN regexp_matches(name,'^<(android|androidx|com\\.android)\\.') THEN 'ANDROID' WHEN regexp_matches(name,'^<(java|javax|com\\.sun)\\.') THEN 'JAVA' ELSE 'METHOD' END AS kind, split_part(substr(name,2),':',1) AS cls FROM ({_KINDS}) t(name)")
+@query(sql("SELECT app_id, node_id, CASE WHEN regexp_matches(name,'^<(android|androidx|com\\.android)\\.') THEN 'ANDROID' WHEN regexp_matches(name,'^<(java|javax|com\\.sun)\\.') THEN 'JAVA' ELSE 'METHOD' END AS kind, split_part(substr(name,2),':',1) AS cls FROM nodes WHERE NOT is_widget"))
 def node_kinds(s, d):
-    rows = s.sql(f"SELECT * FROM {_KINDS} AS t(name)")
-    return rows.select("name", names.node_kind(F.col("name")).alias("kind"), names.class_of(F.col("name")).alias("cls"))
+    return nodes(s, d).where("NOT is_widget").select("app_id", "node_id", names.node_kind(F.col("name")).alias("kind"), names.class_of(F.col("name")).alias("cls"))
 
 
-@query(sql("SELECT DISTINCT w.node_id AS src, m.node_id AS dst, 4 AS type FROM orders o JOIN nodes w ON w.uid=o.o_custkey AND w.is_widget JOIN nodes m ON m.name='<o.M: void m'||o.o_orderkey||'()>' WHERE o_orderpriority='1-URGENT'"))
+@query(sql("SELECT DISTINCT w.app_id, w.node_id AS src, m.node_id AS dst, 4 AS type FROM own_ o JOIN nodes w ON w.app_id=o.app_id AND w.uid=o.o_custkey AND w.is_widget JOIN nodes m ON m.app_id=o.app_id AND m.name='<o.M: void m'||o.o_orderkey||'()>' WHERE o_orderpriority='1-URGENT'"))
 def link_event_edges(s, d):
     n = stored(nodes(s, d))
-    pairs = table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("uid"), F.concat(F.lit("<o.M: void m"), "o_orderkey", F.lit("()>")).alias("method"))
+    pairs = own(s, d).where("o_orderpriority = '1-URGENT'").select("app_id", F.col("o_custkey").alias("uid"), F.concat(F.lit("<o.M: void m"), "o_orderkey", F.lit("()>")).alias("method"))
     return link.link(pairs, n.where("is_widget"), n.where("NOT is_widget"), names.EVENT)
 
 
-@query(sql("SELECT src, dst, type FROM edges WHERE type<>3 UNION ALL SELECT DISTINCT src, dst, 3 FROM edges WHERE type=4"))
+@query(sql("SELECT app_id, src, dst, type FROM edges WHERE type<>3 UNION ALL SELECT DISTINCT app_id, src, dst, 3 FROM edges WHERE type=4"))
 def replace_edges_of_type(s, d):
     e = edges(s, d)
-    return link.replace_type(e, e.where("type = 4").select("src", "dst", F.lit(3).alias("type")).distinct(), names.USE)
+    return link.replace_type(e, e.where("type = 4").select("app_id", "src", "dst", F.lit(3).alias("type")).distinct(), names.USE)
 
 
-@query(sql("SELECT src, string_agg(dst||':'||type, ' ' ORDER BY dst, type) AS next FROM (SELECT CASE WHEN type=2 THEN dst ELSE src END AS src, CASE WHEN type=2 THEN src ELSE dst END AS dst, type FROM edges WHERE type<>1) GROUP BY src"))
+@query(sql("SELECT app_id, src, string_agg(dst||':'||type, ' ' ORDER BY dst, type) AS next FROM (SELECT app_id, CASE WHEN type=2 THEN dst ELSE src END AS src, CASE WHEN type=2 THEN src ELSE dst END AS dst, type FROM edges WHERE type<>1) GROUP BY app_id, src"))
 def adjacency(s, d):
-    lists = graph.adjacency(edges(s, d)).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "type"))).alias("n"))
-    return lists.select("src", F.array_join(F.transform("n", lambda x: F.concat_ws(":", x["dst"].cast("string"), x["type"].cast("string"))), " ").alias("next"))
+    lists = graph.adjacency(edges(s, d)).groupBy("app_id", "src").agg(F.array_sort(F.collect_list(F.struct("dst", "type"))).alias("n"))
+    return lists.select("app_id", "src", F.array_join(F.transform("n", lambda x: F.concat_ws(":", x["dst"].cast("string"), x["type"].cast("string"))), " ").alias("next"))
 
 
-@query(sql("SELECT seed, node FROM reach0"))
+@query(sql("SELECT app_id, seed, node FROM reach0"))
 def reach_hop0(s, d):
     e = stored(edges(s, d))
-    return graph.reach(e, nodes(s, d), e.where("type = 4").select(F.col("dst").alias("seed")), 0)
+    return graph.reach(e, nodes(s, d), e.where("type = 4").select("app_id", F.col("dst").alias("seed")), 0)
 
 
-@query(hop1_sql("SELECT DISTINCT seed, node FROM deep"))
+@query(hop1_sql("SELECT DISTINCT app_id, seed, node FROM deep"))
 def reach_hop1(s, d):
     e = stored(edges(s, d, callbacks=True))
-    return graph.reach(e, nodes(s, d), e.where("type = 4").select(F.col("dst").alias("seed")), 1)
+    return graph.reach(e, nodes(s, d), e.where("type = 4").select("app_id", F.col("dst").alias("seed")), 1)
 
 
-@query(hop1_sql("SELECT uid, eid, src, dst, type FROM every1 WHERE (uid,eid) IN (SELECT (uid,eid) FROM every1 GROUP BY uid,eid HAVING count(*)>1)"))
+@query(hop1_sql("SELECT app_id, uid, eid, src, dst, type FROM every1 WHERE (uid,eid) IN (SELECT (uid,eid) FROM every1 GROUP BY uid,eid HAVING count(*)>1)"))
 def uhg_edges_hop1(s, d):
     return graph.handler_edges(stored(edges(s, d, callbacks=True)), stored(nodes(s, d)), 1)
 
 
-@query(sql(", lib AS (SELECT p_partkey*3+2 AS seed, p_partkey*3+2 AS node FROM part UNION SELECT r.seed, e.dst FROM lib r JOIN ok e ON e.src=r.node AND e.api_call) SELECT seed, node FROM lib"))
+@query(sql(", beyond AS (SELECT app_id, p*3+2 AS seed, p*3+2 AS node FROM parts UNION SELECT r.app_id, r.seed, e.dst FROM beyond r JOIN ok e ON e.app_id=r.app_id AND e.src=r.node AND e.api_call) SELECT app_id, seed, node FROM beyond"))
 def reach_unbounded(s, d):
     """Hop -1 among library methods, from each of them."""
     n = stored(nodes(s, d))
-    library = n.where("NOT is_self AND NOT is_widget").select("node_id")
-    return graph.reach(stored(edges(s, d).join(library, F.col("src") == F.col("node_id"), "left_semi")), n, library.select(F.col("node_id").alias("seed")), -1)
+    library = n.where("NOT is_self AND NOT is_widget").select("app_id", "node_id")
+    return graph.reach(stored(edges(s, d).join(library.withColumnRenamed("node_id", "src"), ["app_id", "src"], "left_semi")), n, library.select("app_id", F.col("node_id").alias("seed")), -1)
+
+
+@query(sql(", every AS (SELECT app_id, eid AS node FROM events_ UNION SELECT r.app_id, e.dst FROM every r JOIN ok e ON e.app_id=r.app_id AND e.src=r.node) SELECT app_id, node FROM every"))
+def reached_by_handlers(s, d):
+    """What the handlers of an app reach together without a limit of hops."""
+    return graph.reached_by_app(stored(edges(s, d)), nodes(s, d))
 
 
-@query(sql("SELECT a.uid, a.eid, n_nodes, n_edges FROM (SELECT uid, eid, count(DISTINCT node) AS n_nodes FROM (SELECT uid, eid, src AS node FROM graph UNION ALL SELECT uid, eid, dst FROM graph) GROUP BY uid, eid) a JOIN (SELECT uid, eid, count(*) AS n_edges FROM graph GROUP BY uid, eid) b USING (uid, eid)"))
+@query(sql(", walk AS (SELECT app_id, src, dst FROM ok WHERE type=0 AND src%3=1 AND dst%3=1 UNION SELECT w.app_id, w.src, f.dst FROM walk w JOIN ok f ON f.app_id=w.app_id AND f.src=w.dst AND f.type=0 AND f.dst%3=1), twins AS (SELECT a.app_id, a.src AS node, a.dst AS other FROM walk a JOIN walk b ON b.app_id=a.app_id AND b.src=a.dst AND b.dst=a.src WHERE a.src<>a.dst) SELECT app_id, node, min(other) AS least, count(*) AS n FROM (SELECT * FROM twins UNION SELECT app_id, node, node FROM twins) GROUP BY app_id, node"))
+def strong_components(s, d):
+    """Own methods that call each other in a circle: the least of each circle and its size."""
+    return graph.circles(edges(s, d), nodes(s, d))
+
+
+@query(sql("SELECT a.app_id, a.uid, a.eid, n_nodes, n_edges FROM (SELECT app_id, uid, eid, count(DISTINCT node) AS n_nodes FROM (SELECT app_id, uid, eid, src AS node FROM graph UNION ALL SELECT app_id, uid, eid, dst FROM graph) GROUP BY ALL) a JOIN (SELECT app_id, uid, eid, count(*) AS n_edges FROM graph GROUP BY ALL) b USING (app_id, uid, eid)"))
 def uhg_size(s, d):
     return graph.sizes(_graph(s, d))
 
 
-@query(sql("SELECT uid, eid, src, dst, type FROM graph"))
+@query(sql("SELECT app_id, uid, eid, src, dst, type FROM graph"))
 def uhg_edges(s, d):
     return _graph(s, d)
 
 
-@query(sql("SELECT h.uid, h.eid, h.src AS child FROM (SELECT uid, eid, src, count(*) AS held FROM graph WHERE type IN (3,4) AND src%3=0 GROUP BY ALL) h JOIN (SELECT src, count(*) AS total FROM edges WHERE type IN (3,4) GROUP BY src) t USING (src) WHERE held=total AND h.src<>h.uid"))
+@query(sql("SELECT h.app_id, h.uid, h.eid, h.src AS child FROM (SELECT app_id, uid, eid, src, count(*) AS held FROM graph WHERE type IN (3,4) AND src%3=0 GROUP BY ALL) h JOIN (SELECT app_id, src, count(*) AS total FROM edges WHERE type IN (3,4) GROUP BY ALL) t USING (app_id, src) WHERE held=total AND h.src<>h.uid"))
 def child_ui(s, d):
     return graph.child_widgets(_graph(s, d), edges(s, d), nodes(s, d))
 
@@ -153,76 +169,82 @@ def keep_by_text(s, d):
     return link.keep_by_words(table(s, d, "documents"), "text", ["the", "Und "]).select("doc_id")
 
 
-@query(sql("SELECT DISTINCT graph.uid, eid FROM graph JOIN nodes ON dst=node_id WHERE package<>'-' AND (contains(lower(name),'brand1') OR contains(lower(name),'brand55'))"))
+@query(sql("SELECT DISTINCT graph.app_id, graph.uid, eid FROM graph JOIN nodes ON nodes.app_id=graph.app_id AND dst=node_id WHERE package<>'-' AND (contains(lower(name),'brand1') OR contains(lower(name),'brand55'))"))
 def keep_by_method(s, d):
-    api = link.keep_by_words(nodes(s, d).where("package <> '-'"), "name", ["brand1", "Brand55"]).select(F.col("node_id").alias("dst"))
-    return _graph(s, d).join(api, "dst", "left_semi").select("uid", "eid").distinct()
+    api = link.keep_by_words(nodes(s, d).where("package <> '-'"), "name", ["brand1", "Brand55"]).select("app_id", F.col("node_id").alias("dst"))
+    return _graph(s, d).join(api, ["app_id", "dst"], "left_semi").select("app_id", "uid", "eid").distinct()
 
 
-@query(sql("SELECT node_id, NOT contains(name,'(') OR contains(split_part(split_part(name,':',-1),'(',1),'m1') OR contains(split_part(name,':',1),'Brand2') AS noise FROM nodes"))
+@query(sql("SELECT app_id, node_id, NOT contains(name,'(') OR contains(split_part(split_part(name,':',-1),'(',1),'m1') OR contains(split_part(name,':',1),'Brand2') AS noise FROM nodes"))
 def noise_filter(s, d):
-    return nodes(s, d).select("node_id", names.is_noise(F.col("name"), ["m1"], ["Brand2"]).alias("noise"))
+    return nodes(s, d).select("app_id", "node_id", names.is_noise(F.col("name"), ["m1"], ["Brand2"]).alias("noise"))
 
 
-@query(sql("SELECT uid, eid, src, dst, type FROM graph WHERE type<>4 OR src=uid"))
+@query(sql("SELECT app_id, uid, eid, src, dst, type FROM graph WHERE type<>4 OR src=uid"))
 def prune_events(s, d):
     return graph.prune_events(_graph(s, d))
 
 
-_CASE = "cases AS (SELECT g.uid, g.eid, g.eid AS src, min(dst) AS dst FROM graph g WHERE g.src=g.eid AND type=0 AND dst%3=2 GROUP BY ALL), seeds AS (SELECT b.* FROM graph b JOIN cases c ON b.uid=c.uid AND b.eid=c.eid AND b.src=c.src AND b.type<>4 AND b.dst<>c.dst), gone AS (SELECT DISTINCT s.uid, s.eid, s.dst AS node FROM seeds s JOIN cases c ON s.uid=c.uid AND s.eid=c.eid AND s.dst<>c.dst UNION SELECT n.uid, n.eid, g.dst FROM gone n JOIN graph g ON g.uid=n.uid AND g.eid=n.eid AND g.src=n.node JOIN cases c ON c.uid=n.uid AND c.eid=n.eid AND g.dst<>c.dst)"
+_CASE = """cases AS (SELECT app_id, uid, eid, eid AS src, min(dst) AS dst FROM graph WHERE src=eid AND type=0 AND dst%3=2 GROUP BY ALL UNION ALL SELECT DISTINCT app_id, uid, eid, src, -1 FROM graph WHERE type=0 AND src<>eid AND src%15=1),
+seeds AS (SELECT b.* FROM graph b WHERE b.type<>4 AND (uid,eid,src) IN (SELECT (uid,eid,src) FROM cases) AND NOT (type=0 AND (uid,eid,src,dst) IN (SELECT (uid,eid,src,dst) FROM cases))),
+gone AS (SELECT DISTINCT uid, eid, dst AS node FROM seeds WHERE (uid,eid,dst) NOT IN (SELECT (uid,eid,dst) FROM cases) UNION SELECT n.uid, n.eid, g.dst FROM gone n JOIN graph g ON g.uid=n.uid AND g.eid=n.eid AND g.src=n.node WHERE (g.uid,g.eid,g.dst) NOT IN (SELECT (uid,eid,dst) FROM cases))"""
 
 
-@query(f"WITH RECURSIVE {SQL}, {_CASE} SELECT uid, eid, src, dst, type FROM graph g WHERE (type<>4 OR src=uid) AND NOT EXISTS (SELECT 1 FROM gone n WHERE n.uid=g.uid AND n.eid=g.eid AND n.node=g.src) AND NOT EXISTS (SELECT 1 FROM seeds s WHERE s.uid=g.uid AND s.eid=g.eid AND s.src=g.src AND s.dst=g.dst AND s.type=g.type)")
+@query(f"WITH RECURSIVE {SQL}, {_CASE} SELECT app_id, uid, eid, src, dst, type FROM graph g WHERE (type<>4 OR src=uid) AND (uid,eid,src) NOT IN (SELECT (uid,eid,node) FROM gone) AND (uid,eid,src,dst,type) NOT IN (SELECT (uid,eid,src,dst,type) FROM seeds)")
 def prune_switch(s, d):
+    """Pairs of the handler and its first part, and pairs of some methods and a callee that no graph holds."""
     g = stored(_graph(s, d))
-    cases = g.where("src = eid AND type = 0 AND dst % 3 = 2").groupBy("uid", "eid", "src").agg(F.min("dst").alias("dst"))
-    return graph.prune_cases(g, cases)
+    held = g.where("src = eid AND type = 0 AND dst % 3 = 2").groupBy(*names.KEYS, "src").agg(F.min("dst").alias("dst"))
+    absent = g.where("type = 0 AND src <> eid AND src % 15 = 1").select(*names.KEYS, "src", F.lit(-1).cast("bigint").alias("dst")).distinct()
+    return graph.prune_cases(g, stored(held.unionByName(absent)))
 
 
-@query(None)
+@query(f"WITH RECURSIVE {SQL.replace('coalesce(nxt,frst)', 'nxt')}, step AS (SELECT app_id, uid, eid, src, dst FROM graph WHERE type=0 AND src%3=1 AND dst%3=1), alive AS (SELECT DISTINCT app_id, uid, eid, src AS node FROM graph WHERE NOT (type=0 AND src%3=1 AND dst%3=1) UNION SELECT s.app_id, s.uid, s.eid, s.src FROM alive a JOIN step s ON s.app_id=a.app_id AND s.uid=a.uid AND s.eid=a.eid AND s.dst=a.node) SELECT app_id, uid, eid, src, dst, type FROM graph WHERE NOT (type=0 AND src%3=1 AND dst%3=1) OR (app_id,uid,eid,dst) IN (SELECT (app_id,uid,eid,node) FROM alive)")
 def prune_leaf(s, d):
+    """On the graph without rings, as its circles have no leaf."""
     return graph.prune_leaves(_graph(s, d, ring=False), nodes(s, d))
 
 
-@query(sql("SELECT c.uid, c.eid, c.node, CASE WHEN o.inner_ IS NULL THEN -1 WHEN o.inner_ THEN 0 ELSE 1 END AS next_type FROM (SELECT DISTINCT uid, eid, dst AS node FROM graph WHERE type=0 AND dst%3=1) c LEFT JOIN (SELECT uid, eid, src AS node, bool_and(dst%3=1) AS inner_ FROM graph GROUP BY ALL) o USING (uid, eid, node)"))
+@query(sql("SELECT c.app_id, c.uid, c.eid, c.node, CASE WHEN o.inner_ IS NULL THEN -1 WHEN o.inner_ THEN 0 ELSE 1 END AS next_type FROM (SELECT DISTINCT app_id, uid, eid, dst AS node FROM graph WHERE type=0 AND dst%3=1) c LEFT JOIN (SELECT app_id, uid, eid, src AS node, bool_and(dst%3=1) AS inner_ FROM graph GROUP BY ALL) o USING (app_id, uid, eid, node)"))
 def next_edge_type(s, d):
     return graph.next_edge_type(stored(_graph(s, d)), nodes(s, d))
 
 
-@query(sql("SELECT dst AS node, sum(type)>0 AS linked FROM edges GROUP BY dst"))
+@query(sql("SELECT app_id, dst AS node, sum(type)>0 AS linked FROM edges GROUP BY app_id, dst"))
 def linked_to_ui(s, d):
     return graph.linked_to_ui(edges(s, d))
 
 
-@query(sql("SELECT DISTINCT src FROM edges WHERE type=0"))
+@query(sql("SELECT DISTINCT app_id, src FROM edges WHERE type=0"))
 def non_leaf(s, d):
-    return edges(s, d).where("type = 0").select("src").distinct()
+    return edges(s, d).where("type = 0").select("app_id", "src").distinct()
 
 
-@query(sql("SELECT src, count(*) AS n FROM edges e WHERE type=0 AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.node_id=e.dst AND n.package IN ('-','Brand#11','Brand#12')) GROUP BY src"))
+@query(sql("SELECT app_id, src, count(*) AS n FROM edges e WHERE type=0 AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.app_id=e.app_id AND n.node_id=e.dst AND n.package IN ('-','Brand#11','Brand#12')) GROUP BY app_id, src"))
 def unresolved_callees(s, d):
-    known = nodes(s, d).where(F.col("package").isin("-", "Brand#11", "Brand#12")).select(F.col("node_id").alias("dst"))
-    return edges(s, d).where("type = 0").join(known, "dst", "left_anti").groupBy("src").agg(F.count("*").alias("n"))
+    known = nodes(s, d).where(F.col("package").isin("-", "Brand#11", "Brand#12")).select("app_id", F.col("node_id").alias("dst"))
+    return edges(s, d).where("type = 0").join(known, ["app_id", "dst"], "left_anti").groupBy("app_id", "src").agg(F.count("*").alias("n"))
 
 
-@query(sql("SELECT e.src, e.dst, e.type, a.name AS src_name, b.name AS dst_name FROM edges e JOIN nodes a ON a.node_id=e.src JOIN nodes b ON b.node_id=e.dst"))
+@query(sql("SELECT e.app_id, e.src, e.dst, e.type, a.name AS src_name, b.name AS dst_name FROM edges e JOIN nodes a ON a.app_id=e.app_id AND a.node_id=e.src JOIN nodes b ON b.app_id=e.app_id AND b.node_id=e.dst"))
 def edge_endpoints(s, d):
     n = nodes(s, d)
-    return edges(s, d).join(n.select(F.col("node_id").alias("src"), F.col("name").alias("src_name")), "src").join(n.select(F.col("node_id").alias("dst"), F.col("name").alias("dst_name")), "dst").select("src", "dst", "type", "src_name", "dst_name")
+    return edges(s, d).join(n.select("app_id", F.col("node_id").alias("src"), F.col("name").alias("src_name")), ["app_id", "src"]).join(n.select("app_id", F.col("node_id").alias("dst"), F.col("name").alias("dst_name")), ["app_id", "dst"]).select("app_id", "src", "dst", "type", "src_name", "dst_name")
 
 
-@query(sql("SELECT uid, eid, 'digraph {' || chr(10) || string_agg('  '||src||' -> '||dst||' [label='||type||'];', chr(10) ORDER BY src, dst, type) || chr(10) || '}' AS dot FROM graph WHERE type IN (0,4) GROUP BY uid, eid"))
+@query(sql("SELECT app_id, uid, eid, 'digraph {' || chr(10) || string_agg('  '||src||' -> '||dst||' [label='||type||'];', chr(10) ORDER BY src, dst, type) || chr(10) || '}' AS dot FROM graph WHERE type IN (0,4) GROUP BY app_id, uid, eid"))
 def dot_lines(s, d):
-    return readers.dot_lines(_graph(s, d).where("type IN (0, 4)"), ["uid", "eid"])
+    return readers.dot_lines(_graph(s, d).where("type IN (0, 4)"), names.KEYS)
 
 
 _BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
 
 
-@query(sql("SELECT src, " + "||".join(f"(CASE WHEN bool_or(package='{b}') THEN '1' ELSE '0' END)" for b in _BRANDS) + " AS bits FROM edges JOIN nodes ON node_id=dst AND dst%3=2 WHERE src%3=1 AND type=0 GROUP BY src"))
+@query(sql("SELECT edges.app_id, src, " + "||".join(f"(CASE WHEN bool_or(package='{b}') THEN '1' ELSE '0' END)" for b in _BRANDS) + " AS bits FROM edges JOIN nodes ON nodes.app_id=edges.app_id AND node_id=dst AND dst%3=2 WHERE src%3=1 AND type=0 GROUP BY edges.app_id, src"))
 def permission_multihot(s, d):
-    items = edges(s, d).where("type = 0 AND src % 3 = 1").join(nodes(s, d).where("NOT is_self AND NOT is_widget").select(F.col("node_id").alias("dst"), "package"), "dst")
-    return evaluate.multi_hot(items, "src", "package", _BRANDS).select("src", F.array_join(F.col("bits").cast("array<string>"), "").alias("bits"))
+    items = edges(s, d).where("type = 0 AND src % 3 = 1").join(nodes(s, d).where("NOT is_self AND NOT is_widget").select("app_id", F.col("node_id").alias("dst"), "package"), ["app_id", "dst"])
+    bits = evaluate.multi_hot(items.withColumn("key", F.struct("app_id", "src")), "key", "package", _BRANDS)
+    return bits.select("key.*", F.array_join(F.col("bits").cast("array<string>"), "").alias("bits"))
 
 
 @query("SELECT l_orderkey AS grp, l_linenumber AS flag, round(k/n,6) AS mean, round(sqrt((k/n)*(1-k/n)),6) AS std FROM (SELECT l_orderkey%100 AS l_orderkey, l_linenumber, count(DISTINCT l_partkey)::DOUBLE AS k FROM lineitem GROUP BY ALL) JOIN (SELECT l_orderkey%100 AS l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) USING (l_orderkey)")
@@ -234,12 +256,12 @@ def opcode_stats(s, d):
 
 @query(None)
 def laplacian_features(s, d):
-    return evaluate.laplacian(_graph(s, d).where("type = 0"), ["uid", "eid"]).select("uid", "eid", F.round("eigen_mean", 9).alias("eigen_mean"))
+    return evaluate.laplacian(_graph(s, d).where("type = 0"), names.KEYS).select(*names.KEYS, F.round("eigen_mean", 9).alias("eigen_mean"))
 
 
 @query(None)
 def word2vec_mean(s, d):
-    return evaluate.word2vec_mean(_graph(s, d), nodes(s, d), ["uid", "eid"])
+    return evaluate.word2vec_mean(_graph(s, d), nodes(s, d), names.KEYS)
 
 
 @query("SELECT vec_id, round((x-lo)/(hi-lo),6) AS scaled FROM (SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings), (SELECT min(embedding[1]::DOUBLE) AS lo, max(embedding[1]::DOUBLE) AS hi FROM embeddings)")
