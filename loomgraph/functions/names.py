@@ -96,12 +96,11 @@ def layout_base(file: Column) -> Column:
 
 
 def signature_in(text: Column) -> Column:
-    """The method signature in a statement: from the first < to the last > before a parenthesis, else to the last >; null without one.
+    """The first method signature in a statement, from < to its >, both kept; null without one.
 
-    So a constructor's <init> stays whole.
+    The names <init> and <clinit> of constructors are parts of it.
     """
-    called = F.regexp_extract(text, r"<.*>(?=\()", 0)
-    return F.nullif(F.when(called != "", called).otherwise(F.regexp_extract(text, "<.*>", 0)), F.lit(""))
+    return F.nullif(F.regexp_extract(text, "<(?:[^<>]|<(?:cl)?init>)*>", 0), F.lit(""))
 
 
 def unescaped(text: Column) -> Column:

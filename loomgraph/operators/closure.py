@@ -21,25 +21,26 @@ def _reversed(edges: DataFrame) -> DataFrame:
 def least_ancestors(edges: DataFrame, starts: DataFrame | None = None, salt: int = 0) -> DataFrame:
     """(node, label): the least node that leads to each end of an edge, itself included, in an order by salt; starts come first.
 
-    The label is a struct (far, hash, node), far being 0 for a start (column `node`). A label's own label leads to the node
-    as well, so a round takes the least of the predecessors' labels and then that label's label.
+    The label is a struct (far, hash, node), far being 0 for a start (column `node`). Each node follows one of its
+    predecessors, and the one that follows, so that a round takes the least of all predecessors' labels and of as many nodes
+    along that way as twice the rounds before it. No label moves any more when none is above a predecessor's.
     """
-    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    ends = edges.select(F.col("src").alias("node"), F.lit(None).cast(edges.schema["src"].dataType).alias("by")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("by")))
+    now = ends.groupBy("node").agg(F.min("by").alias("by"))
     if starts is None:
-        far = ends.withColumn("far", F.lit(1))
+        now = now.withColumn("near", F.lit(None).cast("int"))
     else:
-        far = ends.join(starts.select("node").distinct().withColumn("near", F.lit(0)), "node", "left").select("node", F.coalesce("near", F.lit(1)).alias("far"))
+        now = now.join(starts.select("node").distinct().withColumn("near", F.lit(0)), "node", "left")
     hashed = F.xxhash64("node", F.lit(salt)) if salt else F.lit(0).cast("bigint")
-    now = stored(far.select("node", F.struct("far", hashed.alias("hash"), "node").alias("label")))
+    now = stored(now.select("node", F.coalesce("by", "node").alias("via"), F.struct(F.coalesce("near", F.lit(1)).alias("far"), hashed.alias("hash"), "node").alias("label")))
     while True:
-        led = edges.join(now.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("led"))
-        near = now.join(led, "node", "left").select("node", "label", F.least("label", "led").alias("near"))
-        over = now.select(F.col("node").alias("via"), F.col("label").alias("over"))
-        new = near.withColumn("via", F.col("near.node")).join(over, "via").select("node", F.least("near", "over").alias("label"), (F.least("near", "over") < F.col("label")).alias("moved"))
+        led = edges.join(now.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("led"))
+        way = now.select(F.col("node").alias("via"), F.col("via").alias("next"), F.col("label").alias("way"))
+        new = now.join(led, "node", "left").join(way, "via").select("node", F.col("next").alias("via"), F.least("label", "led", "way").alias("label"), (F.least("label", "led", "way") < F.col("label")).alias("moved"))
         new = stored(new)
-        now = new.select("node", "label")
+        now = new.drop("moved")
         if new.where("moved").isEmpty():
-            return now
+            return now.select("node", "label")
 
 
 def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -57,6 +58,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now, found, salt = edges.select("src", "dst").where("src <> dst").distinct(), None, 0
     while True:
+        now = stored(now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         up = least_ancestors(now, salt=salt).select("node", F.col("label.node").alias("up"))
         ends = lambda df, labels, c: df.join(labels.select(F.col("node").alias("src"), F.col(c).alias("__a")), "src").join(labels.select(F.col("node").alias("dst"), F.col(c).alias("__b")), "dst").where("__a = __b").select("src", "dst")
         inner = stored(ends(now, up, "up"))
@@ -73,14 +75,11 @@ def components(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, node): all that each seed leads to, itself included.
 
-    Only edges that seeds lead to are used. Strong components become one node each, so that the paths from seeds are
-    followed between them, new pairs only; nodes without out-edges are added at the end. Memory grows with the edges
-    and the result; a path may have any length.
+    Strong components become one node each, so that the paths from seeds are followed between them, new pairs only; nodes
+    without out-edges are added at the end. Memory grows with the edges and the result; a path may have any length.
     """
     starts = stored(seeds.select("seed").distinct())
-    every = stored(edges.select("src", "dst").where("src <> dst").distinct())
-    near = stored(reached(every, starts.select(F.col("seed").alias("node"))))
-    step = stored(every.join(near.withColumnRenamed("node", "src"), "src", "left_semi"))
+    step = stored(edges.select("src", "dst").where("src <> dst").distinct())
     inner = stored(step.join(step.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
     parts = stored(components(inner))
     named = lambda df, c: df.join(parts.select(F.col("node").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")

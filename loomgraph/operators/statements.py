@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .closure import closure
 from .scratch import stored
 
 #: Calls that register a listener, and the handler that each calls.
@@ -35,19 +36,30 @@ def registrations(calls: DataFrame, callee: str, listener: str) -> DataFrame:
     return calls.withColumn("method", known[F.col(callee)]).where(F.col("method").isNotNull() & F.col(listener).isNotNull()).withColumn("handler", F.concat_ws(".", listener, "method")).drop("method")
 
 
-def superclasses(parents: DataFrame, rounds: int = 64) -> DataFrame:
-    """(class, ancestor) over a table of (class, parent); cycles end, since known pairs are not followed again."""
-    seen = front = stored(parents.select("class", F.col("parent").alias("ancestor")).distinct())
-    for _ in range(rounds):
-        up = front.join(parents.select(F.col("class").alias("ancestor"), F.col("parent").alias("next")), "ancestor").select("class", F.col("next").alias("ancestor")).distinct()
-        front = stored(up.join(seen, ["class", "ancestor"], "left_anti"))
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
-    raise RuntimeError("the hierarchy is deeper than expected")
+def superclasses(parents: DataFrame) -> DataFrame:
+    """(class, ancestor) over a table of (class, parent) of any depth; on a cycle a class is its own ancestor.
 
-
-def follow_back(steps: DataFrame, scope: list[str], rounds: int = 32) -> DataFrame:
+    With one parent a class, the ancestors known of each are those of the one as many steps above it added, so that rounds
+    grow with the logarithm of the depth; with several parents the general closure is taken.
+    """
+    every = stored(parents.select("class", "parent").distinct())
+    step = every.where("class <> parent")
+    if not step.groupBy("class").count().where("count > 1").isEmpty():
+        up = closure(step.select(F.col("class").alias("src"), F.col("parent").alias("dst")), step.select(F.col("parent").alias("seed")))
+        led = step.join(up, F.col("parent") == F.col("seed")).select("class", F.col("node").alias("ancestor"))
+        return led.unionByName(every.where("class = parent").withColumnRenamed("parent", "ancestor")).distinct()
+    far, known = step, stored(step.withColumnRenamed("parent", "ancestor"))
+    size = known.count()
+    while True:
+        more = far.join(known.select(F.col("class").alias("parent"), "ancestor"), "parent").select("class", "ancestor")
+        known = stored(known.unionByName(more).distinct())
+        before, size = size, known.count()
+        if size == before:
+            return known.unionByName(every.where("class = parent").withColumnRenamed("parent", "ancestor")).distinct()
+        far = stored(far.join(far.select(F.col("class").alias("parent"), F.col("parent").alias("next")), "parent").select("class", F.col("next").alias("parent")))
+
+
+def follow_back(steps: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, pos, value, origin, site): what each statement's variable holds, followed back through assignments.
 
     A step has scope, pos, lhs (the variable it assigns, or null), want (the variable it takes over, or null), value
@@ -63,13 +75,12 @@ def follow_back(steps: DataFrame, scope: list[str], rounds: int = 32) -> DataFra
     kept = F.when(F.col("site"), F.col("pos"))
     now = steps.join(found, [*scope, "pos"], "left").select(*scope, "pos", F.when(F.col("want").isNull(), F.col("value")).alias("value"), F.col("pos").alias("origin"), kept.alias("site"), "up")
     now = stored(now)
-    for _ in range(rounds):
+    while True:
         if now.where("up IS NOT NULL").isEmpty():
             return now.drop("up")
         to = now.select(*scope, F.col("pos").alias("up"), F.col("value").alias("v"), F.col("origin").alias("o"), F.col("site").alias("s"), F.col("up").alias("next"))
         moved = now.where("up IS NOT NULL").join(to, [*scope, "up"]).select(*scope, "pos", F.col("v").alias("value"), F.col("o").alias("origin"), F.coalesce("s", "site").alias("site"), F.col("next").alias("up"))
         now = stored(now.where("up IS NULL").unionByName(moved))
-    raise RuntimeError("a chain of assignments is longer than expected")
 
 
 def _literal(text: Column) -> Column:

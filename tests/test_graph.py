@@ -11,13 +11,15 @@ from loomgraph.operators import access, evaluate, graph, link, statements
 from loomgraph.sources import readers, writers
 from loomgraph.streaming import increment
 
+CASES = "app_id string, uid long, eid long, src long, dst long"
 IDS = {"w": 0, "w2": 1, "c": 2, "m1": 3, "m2": 4, "m3": 5, "m4": 6, "a1": 7, "a2": 8, "a3": 9}
 
 
 def _tables(spark, text):
     rows = [(IDS[a], IDS[b], int(t)) for a, b, t in (e.split() for e in text.split(","))]
     nodes = [(i, n if n[0] in "wc" else f"<x.C: void {n}()>", n[0] == "m", n[0] == "w") for n, i in IDS.items()]
-    return spark.createDataFrame(rows, "src long, dst long, type int"), spark.createDataFrame(nodes, "node_id long, name string, is_self boolean, is_widget boolean")
+    app = F.lit("a").alias("app_id")
+    return spark.createDataFrame(rows, "src long, dst long, type int").select(app, "*"), spark.createDataFrame(nodes, "node_id long, name string, is_self boolean, is_widget boolean").select(app, "*")
 
 
 def _edges(df):
@@ -76,9 +78,9 @@ def test_foreign_event_is_pruned(spark):
 )
 def test_switch_noise(spark, given, wanted):
     g = graph.handler_edges(*_tables(spark, given))
-    cases = spark.createDataFrame([(0, 3, 3, 4)], "uid long, eid long, src long, dst long")
+    cases = spark.createDataFrame([("a", 0, 3, 3, 4)], CASES)
     assert _edges(graph.prune_cases(g, cases)) == _set(wanted)
-    unknown = spark.createDataFrame([(0, 3, 99, 98)], "uid long, eid long, src long, dst long")
+    unknown = spark.createDataFrame([("a", 0, 3, 99, 98)], CASES)
     assert _edges(graph.prune_cases(g, unknown)) == _set(given)
 
 
@@ -235,10 +237,10 @@ def test_resource_writers(spark, tmp_path):
 
 
 def test_word2vec_mean(spark):
-    names = spark.createDataFrame([(i, f"n{i}") for i in range(5)], "node_id long, name string")
+    called = spark.createDataFrame([("a", i, f"n{i}") for i in range(5)] + [("b", 0, "other")], "app_id string, node_id long, name string")
     sets = {1: [(0, 1)], 2: [(1, 2)], 3: [(0, 2)], 4: [(0, 1), (1, 2)]}
-    rows = [(u, 1, a, b, 0) for u, pairs in sets.items() for a, b in pairs] + [(4, 1, 3, 4, 4), (5, 1, 3, 4, 4)]
-    got = {r.uid: r for r in evaluate.word2vec_mean(spark.createDataFrame(rows, "uid long, eid long, src long, dst long, type int"), names, ["uid", "eid"]).collect()}
+    rows = [("a", u, 1, a, b, 0) for u, pairs in sets.items() for a, b in pairs] + [("a", 4, 1, 3, 4, 4), ("a", 5, 1, 3, 4, 4)]
+    got = {r.uid: r for r in evaluate.word2vec_mean(spark.createDataFrame(rows, "app_id string, uid long, eid long, src long, dst long, type int"), called, names.KEYS).collect()}
     assert {u: r.n_words for u, r in got.items()} == {1: 2, 2: 2, 3: 2, 4: 3}
     assert all(len(r.vec) == 64 and any(r.vec) for r in got.values())
     for k in range(64):
@@ -291,7 +293,7 @@ def test_writers_read_back(spark, tmp_path):
     edges = writers.indexed_edges(hashed, nodes)
     writers.write_edges(edges, f"{tmp_path}/edges")
     assert [(r.From, r.To, r.Type) for r in spark.read.csv(f"{tmp_path}/edges", header=True).orderBy("_c0").collect()] == [("0", "1", "4"), ("1", "2", "0")]
-    packed = access.packed(edges.selectExpr("app_id", "0L AS uid", "1L AS eid", "CAST(src AS LONG) AS src", "CAST(dst AS LONG) AS dst", "type"), "app_id")
+    packed = access.packed(edges.selectExpr("app_id", "0L AS uid", "1L AS eid", "CAST(src AS LONG) AS src", "CAST(dst AS LONG) AS dst", "type"))
     writers.write_handler_graphs(packed, f"{tmp_path}/uhg")
     (g,) = json.loads(spark.read.text(f"{tmp_path}/uhg").first().value)
     assert g == {"uid": 0, "eid": 1, "size": {"node": 3, "edge": 2}, "edges": ["0 1 4", "1 2 0"]}
@@ -320,8 +322,8 @@ def test_writers_read_back(spark, tmp_path):
 
 def test_529_components(spark):
     g, n = _tables(spark, "w m1 4,m1 m2 0,m2 a1 0")
-    ops = spark.createDataFrame([(IDS["m1"], [3, 3]), (IDS["m2"], [3, 263]), (IDS["a1"], [0])], "node_id long, ops array<int>")
-    (row,) = evaluate.uhg_vectors(graph.handler_edges(g, n), ops, ["uid", "eid"]).collect()
+    ops = spark.createDataFrame([("a", IDS["m1"], [3, 3]), ("b", IDS["m1"], [9]), ("a", IDS["m2"], [3, 263]), ("a", IDS["a1"], [0])], "app_id string, node_id long, ops array<int>")
+    (row,) = evaluate.uhg_vectors(graph.handler_edges(g, n), ops, names.KEYS).collect()
     assert len(row.vec) == 529 and row.vec[1 + 3] == pytest.approx(2 / 3) and row.vec[1 + 263] == row.vec[1] == pytest.approx(1 / 3)
     assert row.vec[265 + 3] == pytest.approx((2 / 9) ** 0.5) and row.vec[0] == pytest.approx(0.5) and sum(x > 0 for x in row.vec) == 7
 
