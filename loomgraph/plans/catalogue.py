@@ -409,7 +409,7 @@ def incremental_skip(s, d):
     return increment.not_done(table(s, d, "orders"), log, "o_custkey").select("o_orderkey")
 
 
-from . import apps  # noqa: E402, F401  registers its queries
+from . import apps, statements as _statements  # noqa: E402, F401  register their queries
 
 
 def queries() -> dict[str, Query]:
