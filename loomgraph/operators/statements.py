@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import setter_attribute
 from .closure import closure
 from .scratch import stored
 
@@ -182,5 +183,5 @@ def code_texts(texts: DataFrame, widgets: DataFrame, setters: DataFrame, strings
     wanted = setters.where(F.col("callee").isin("setText", "setHint", "setTitle"))
     both = wanted.join(texts.select(*scope, "pos", F.col("value").alias("said")), [*scope, "pos"]).join(widgets.select(*scope, "pos", F.col("value").alias("id")), [*scope, "pos"], "left")
     named = strings.groupBy(F.col("id").cast("string").alias("said")).agg(F.min("value").alias("resource"))
-    kind = F.lower(F.substr("callee", F.lit(4))).alias("type")
+    kind = setter_attribute(F.col("callee")).alias("type")
     return both.join(named, "said", "left").select(*scope, "pos", "id", kind, F.coalesce("resource", "said").alias("value")).where("value IS NOT NULL")

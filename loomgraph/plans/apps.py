@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import access, evaluate, graph, link, reduce, resources, statements
+from ..operators import access, evaluate, graph, isolate, link, reduce, resources, statements
 from .catalogue import query
 from .fixture import edges, library_class, nodes, own, sql, table
 from ..operators.scratch import stored
@@ -305,3 +305,36 @@ def thread_starts(s, d):
         F.when(kind == 2, F.array(var(4))).otherwise(F.array().cast("array<string>")).alias("args"),
     )
     return statements.thread_starts(stmts, ["o_custkey"])
+
+
+def _broken(s, d):
+    """The fixture with faults: app 3 has nodes without a name, 5 nodes twice, 7 edges to no node, 11 an unknown type, 13 two of these."""
+    n, e = nodes(s, d), edges(s, d)
+    app, k = F.col("app_id"), F.col("node_id")
+    n = n.withColumn("name", F.when(app.isin("3", "13") & (k % 10 == 0), None).otherwise(F.col("name")))
+    n = n.unionByName(n.where(app.isin("5", "13") & (k % 9 == 0)))
+    e = e.withColumn("type", F.when((app == "11") & (F.col("src") % 7 == 0), 9).otherwise(F.col("type")))
+    return stored(n), stored(e.unionByName(e.where((app == "7") & (F.col("dst") % 5 == 0)).withColumn("dst", F.col("dst") + 10**12)))
+
+
+_FAULTS = """bn AS (SELECT * REPLACE (CASE WHEN app_id IN ('3','13') AND node_id%10=0 THEN NULL ELSE name END AS name) FROM nodes),
+b AS (SELECT app_id, 'node without name' AS fault, count(*) AS n FROM (SELECT * FROM bn UNION ALL SELECT * FROM bn WHERE app_id IN ('5','13') AND node_id%9=0) WHERE name IS NULL GROUP BY ALL
+  UNION ALL SELECT app_id, 'node id given twice', count(*) FROM nodes WHERE app_id IN ('5','13') AND node_id%9=0 GROUP BY ALL
+  UNION ALL SELECT app_id, 'unknown edge type', count(*) FROM edges WHERE app_id='11' AND src%7=0 GROUP BY ALL
+  UNION ALL SELECT app_id, 'edge to no node', count(DISTINCT dst) FROM edges WHERE app_id='7' AND dst%5=0 GROUP BY ALL)"""
+
+
+@query(sql(f", {_FAULTS} SELECT a.app_id, 'call counts' AS stage, CASE WHEN f.why IS NULL THEN 'ok' ELSE 'failed' END AS status, coalesce(f.why, coalesce(c.n,0)::VARCHAR) AS detail FROM (SELECT DISTINCT app_id FROM nodes) a LEFT JOIN (SELECT app_id, string_agg(fault||': '||n, ', ' ORDER BY fault) AS why FROM b GROUP BY ALL) f USING (app_id) LEFT JOIN (SELECT app_id, count(DISTINCT src) AS n FROM edges WHERE type=0 GROUP BY ALL) c USING (app_id)"))
+def run_log(s, d):
+    """A job over all apps, five of them broken: what became of each."""
+    return isolate.run(*_broken(s, d), "call counts", _callers)[1]
+
+
+@query(sql(f", {_FAULTS} SELECT app_id, src, count(*) AS n FROM edges WHERE type=0 AND app_id NOT IN (SELECT app_id FROM b) GROUP BY ALL"))
+def sound_apps(s, d):
+    """The same job's result: the calls of each caller in the apps that are not broken."""
+    return isolate.run(*_broken(s, d), "call counts", _callers)[0]
+
+
+def _callers(n, e):
+    return e.where(F.col("type") == names.CALL).groupBy("app_id", "src").agg(F.count("*").alias("n"))

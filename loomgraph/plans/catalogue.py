@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import evaluate, graph, link, statements
+from ..operators import access, evaluate, graph, link, markup, resources, statements
+from ..operators.scratch import folder, stored
 from ..sources import readers
 from ..streaming import increment
 from .fixture import SQL, edges, hop1_sql, nodes, own, sql, table
-from ..operators.scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -339,15 +339,101 @@ def attribute_resolve(s, d):
     return link.resolve(table(s, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("ref")), values, "NOT_FOUND").select("o_orderkey", "value")
 
 
-@query(None)
+_LEAVES = (*markup.VOID, "p", "b")
+_quoted = lambda text: text.replace("'", "''")
+_TREE = f"""clean AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '{markup.ASIDE}', '', 'g'), '{markup.RAW[0]}', '\\1\\2', 'g'), '{markup.RAW[1]}', '\\1\\2', 'g') AS html FROM pages),
+found AS (SELECT page_id, unnest(regexp_extract_all(html, '{_quoted(markup.TAG)}')) AS source, generate_subscripts(regexp_extract_all(html, '{_quoted(markup.TAG)}'), 1) AS pos FROM clean),
+named AS (SELECT *, regexp_extract(source, '{markup.NAME}', 1) AS tag, source LIKE '</%' AS closing FROM found),
+moves AS (SELECT *, source LIKE '%/>' OR list_contains({list(_LEAVES)}, tag) AS single, CASE WHEN source LIKE '%/>' OR list_contains({list(_LEAVES)}, tag) THEN 0 WHEN closing THEN -1 ELSE 1 END AS move FROM named),
+sums AS (SELECT *, sum(move) OVER (PARTITION BY page_id ORDER BY pos) AS total FROM moves),
+opens AS (SELECT page_id, pos, tag, source, (total - least(0, min(total) OVER (PARTITION BY page_id ORDER BY pos)) - CASE WHEN single THEN 0 ELSE 1 END)::INT AS depth, closing FROM sums),
+els AS (SELECT page_id, pos, tag, source, depth, row_number() OVER (PARTITION BY page_id ORDER BY pos)-1 AS ordinal FROM opens WHERE NOT closing),
+tree AS (SELECT x.page_id, x.ordinal, coalesce((SELECT max(y.ordinal) FROM els y WHERE y.page_id=x.page_id AND y.depth=x.depth-1 AND y.pos<x.pos),-1) AS parent, x.depth, x.tag, coalesce(regexp_extract(x.source, 'href="([^"]*)"', 1),'') AS href FROM els x)"""
+
+
+def _tree(s, d):
+    return markup.tree(table(s, d, "pages"), "page_id", "html", _LEAVES)
+
+
+@query(f"WITH {_TREE} SELECT page_id, ordinal, parent, depth, tag, href FROM tree")
 def html_tree(s, d):
-    return readers.markup_tree(table(s, d, "pages"), "page_id", "html")
+    return _tree(s, d).select("page_id", "ordinal", "parent", "depth", "tag", F.coalesce(markup.attribute("href"), F.lit("")).alias("href"))
 
 
-@query(None)
+@query(f"WITH {_TREE} SELECT page_id, count(*) AS n_elements, max(depth) AS deepest, count(DISTINCT tag) AS n_tags, count(DISTINCT tag) FILTER (tag IN ('nav','ul','li','div','article')) AS n_holders, max(n) AS widest FROM (SELECT *, count(*) OVER (PARTITION BY page_id, parent) AS n FROM tree) GROUP BY page_id")
 def layout_stats(s, d):
-    tree = readers.markup_tree(table(s, d, "pages"), "page_id", "html")
-    return tree.groupBy("page_id").agg(F.count("*").alias("n_elements"), F.max("depth").alias("deepest"), F.countDistinct("tag").alias("n_tags"))
+    rows = _tree(s, d)
+    wide = rows.groupBy("page_id", "parent").agg(F.count("*").alias("n")).groupBy("page_id").agg(F.max("n").alias("widest"))
+    holders = F.countDistinct(F.when(F.col("tag").isin("nav", "ul", "li", "div", "article"), F.col("tag")))
+    return rows.groupBy("page_id").agg(F.count("*").alias("n_elements"), F.max("depth").alias("deepest"), F.countDistinct("tag").alias("n_tags"), holders.alias("n_holders")).join(wide, "page_id")
+
+
+@query(f"WITH {_TREE}, parts AS (SELECT *, tag='div' AND page_id%2=0 AS includes FROM tree) SELECT page_id, parent, page_id AS of, ordinal FROM parts WHERE parent>=0 AND NOT includes UNION ALL SELECT x.page_id, x.parent, r.page_id, r.ordinal FROM parts x JOIN tree r ON r.page_id=x.page_id+1 AND r.parent<0 WHERE x.includes AND x.parent>=0")
+def hold_edges(s, d):
+    """Which element holds which; the div of every other page stands for an include of the next page."""
+    swap = (F.col("tag") == "div") & (F.col("page_id") % 2 == 0)
+    named = F.array(F.struct(F.lit("layout").alias("name"), F.concat(F.lit("@layout/"), F.col("page_id") + 1).alias("value")))
+    rows = _tree(s, d).withColumn("attributes", F.when(swap, named).otherwise(F.col("attributes"))).withColumn("tag", F.when(swap, "include").otherwise(F.col("tag")))
+    return markup.hold_edges(rows.withColumn("page_id", F.col("page_id").cast("string")), "page_id").select(F.col("page_id").cast("bigint").alias("page_id"), "parent", F.col("of").cast("bigint").alias("of"), "ordinal")
+
+
+@query(f"WITH {_TREE} SELECT page_id, ordinal, href AS uid, tag FROM tree x WHERE href<>'' AND NOT EXISTS (SELECT 1 FROM tree y WHERE y.page_id=x.page_id AND y.parent=x.ordinal)")
+def telling_elements(s, d):
+    """Leaf elements with an address, which serves as id and source."""
+    rows = markup.views(_tree(s, d), "page_id", "href", {"src": "href", "text": "title"})
+    return resources.telling_views(rows).select("page_id", "ordinal", "uid", "tag")
+
+
+@query(f"WITH {_TREE} SELECT tag||'Layout' AS tag, true AS container, count(*) AS n FROM tree WHERE tag IN ('div','ul') GROUP BY tag UNION ALL SELECT tag, false, count(*) FROM tree WHERE tag NOT IN ('div','ul') GROUP BY tag")
+def container_kinds(s, d):
+    tag = F.when(F.col("tag").isin("div", "ul"), F.concat("tag", F.lit("Layout"))).otherwise(F.col("tag"))
+    rows = markup.views(_tree(s, d).withColumn("tag", tag), "page_id")
+    return rows.groupBy("tag", F.col("is_container").alias("container")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_TREE} SELECT page_id, ordinal, '<'||tag||CASE WHEN href<>'' THEN ' href=\"'||replace(replace(replace(href,'&','&amp;'),'\"','&quot;'),chr(10),'&#10;')||'\"' ELSE '' END||'>' AS text FROM tree WHERE tag IN ('a','li')")
+def start_tags(s, d):
+    return markup.start_tags(_tree(s, d).where("tag IN ('a', 'li')"), "page_id")
+
+
+@query(sql("SELECT app_id, node_id, array_to_string(string_split(name,' ')[:2],' ') AS label FROM nodes WHERE contains(name,':')"))
+def node_labels(s, d):
+    return access.labels(nodes(s, d), 2)
+
+
+@query(sql("SELECT app_id, uid, eid, src, dst, type FROM graph WHERE uid IN (3,6,30,60,90,120,300)"))
+def graphs_of_widgets(s, d):
+    return access.of_widgets(_graph(s, d), [3, 6, 30, 60, 90, 120, 300])
+
+
+@query(sql("SELECT app_id, count(DISTINCT package) FILTER (NOT is_widget AND NOT is_self) AS n_packages, count(DISTINCT xml) AS n_layouts, count(DISTINCT uid) AS n_widgets FROM nodes GROUP BY app_id"))
+def distinct_counts(s, d):
+    library = F.when(~F.col("is_widget") & ~F.col("is_self"), F.col("package"))
+    return nodes(s, d).groupBy("app_id").agg(F.countDistinct(library).alias("n_packages"), F.countDistinct("xml").alias("n_layouts"), F.countDistinct("uid").alias("n_widgets"))
+
+
+@query("SELECT DISTINCT app_id, name FROM (SELECT (l_suppkey%25)::VARCHAR AS app_id, unnest(['m'||l_orderkey, 'a'||l_partkey]) AS name FROM lineitem)")
+def streamed_nodes(s, d):
+    """Nodes of calls that lines stand for, read as a stream; a pattern lets the source take a single file."""
+    lines = s.readStream.schema(table(s, d, "lineitem").schema).parquet(f"{d}/lineitem.parque[t]")
+    calls = lines.select((F.col("l_suppkey") % 25).cast("string").alias("app_id"), F.concat(F.lit("m"), "l_orderkey").alias("caller"), F.concat(F.lit("a"), "l_partkey").alias("callee"))
+    out = folder(s)
+    increment.distinct_nodes(calls, f"{out}/nodes", f"{out}/state").awaitTermination()
+    return s.read.schema("app_id string, name string").parquet(f"{out}/nodes")
+
+
+_PAIRS = f"""SELECT id, truth, predicted, 'whole' AS e FROM pred UNION ALL SELECT id, truth, predicted, 'part' FROM (WITH {_KNN.replace('embedding::DOUBLE[] AS e', 'embedding[1:4]::DOUBLE[] AS e')} SELECT id, truth, predicted FROM pred)"""
+
+
+@query(f"""WITH {_KNN}, both_ AS ({_PAIRS}), labels_ AS (SELECT DISTINCT truth AS label FROM both_), f AS (SELECT e, label, coalesce(2.0*h/nullif(p+t,0),0) AS f1 FROM (SELECT e, label, count(*) FILTER (truth=label AND predicted=label) AS h, count(*) FILTER (predicted=label) AS p, count(*) FILTER (truth=label) AS t FROM both_, labels_ GROUP BY ALL))
+SELECT a.e AS encoding, round(avg(a.f1),6) AS mean_f1, round(avg((a.f1-b.f1)/nullif(b.f1,0)),6) AS mean_gain, count(*) FILTER (a.f1=0) AS n_zero FROM f a JOIN f b ON b.label=a.label AND b.e='part' GROUP BY a.e""")
+def encoding_gain(s, d):
+    """Votes over whole vectors against votes over their first four components."""
+    e = table(s, d, "embeddings")
+    kinds = {"whole": e, "part": e.withColumn("embedding", F.slice("embedding", 1, 4))}
+    rows = [evaluate.knn(v, "vec_id", "embedding", "label").withColumn("e", F.lit(k)) for k, v in kinds.items()]
+    scores = evaluate.score_table(stored(rows[0].unionByName(rows[1])), "e", "truth", "predicted", list(kinds))
+    return evaluate.improvement(scores, list(kinds), "part").select("encoding", F.round("mean_f1", 6).alias("mean_f1"), F.round("mean_gain", 6).alias("mean_gain"), "n_zero")
 
 
 @query("WITH RECURSIVE p AS (SELECT o_orderkey AS class, o_orderkey//3 AS parent FROM orders WHERE o_orderkey>0), a AS (SELECT class, parent AS ancestor FROM p UNION SELECT a.class, p.parent FROM a JOIN p ON p.class=a.ancestor) SELECT class, ancestor FROM a")

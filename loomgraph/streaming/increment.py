@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -23,3 +24,12 @@ def follow(spark: SparkSession, path: str, schema: str, log: str, key: str, work
         todo.select(key).distinct().selectExpr(key, "'ok' AS status").write.mode("append").parquet(log)
 
     return spark.readStream.schema(schema).parquet(path).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
+
+
+def distinct_nodes(calls: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes each (app_id, name) that a stream of calls (app_id, caller, callee) names once, whatever batch it comes in.
+
+    The names seen are kept as state by app and name, so that they are dealt to all tasks.
+    """
+    named = calls.select("app_id", F.explode(F.array("caller", "callee")).alias("name")).dropDuplicates(["app_id", "name"])
+    return named.writeStream.outputMode("append").option("checkpointLocation", checkpoint).option("path", path).format("parquet").trigger(availableNow=True).start()

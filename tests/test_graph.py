@@ -138,10 +138,19 @@ def test_layouts_and_texts_of_widgets(spark):
     assert sorted(map(tuple, statements.code_texts(texts, ids, setters, strings, ["class"]).collect())) == [("A", 1, "5", "text", "hi"), ("A", 2, "6", "hint", "named")]
 
 
-def test_ward_splits_clear_groups(spark):
-    v = spark.createDataFrame([(i, [float(10 * (i % 3)), i / 100]) for i in range(30)], "id long, v array<double>")
-    got = {r.id: r.cluster for r in evaluate.ward(v, "id", "v", 3).collect()}
-    assert all(got[i] == got[i % 3] for i in got) and len(set(got.values())) == 3
+@pytest.mark.parametrize("block", [512, 7])
+def test_ward(spark, block):
+    """Against merging the cheapest pair of clusters again and again."""
+    rng = np.random.RandomState(5)
+    points = {i: rng.rand(3) + 2 * (i % 3) for i in range(40)}
+    groups = [[i] for i in points]
+    while len(groups) > 4:
+        cost = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((np.mean([points[i] for i in a], 0) - np.mean([points[i] for i in b], 0)) ** 2).sum()
+        x, y = min(((a, b) for a in groups for b in groups if a[0] < b[0]), key=lambda p: cost(*p))
+        groups = sorted([g for g in groups if g not in (x, y)] + [sorted(x + y)])
+    v = spark.createDataFrame([(i, p.tolist()) for i, p in points.items()], "id long, v array<double>")
+    got = {r.id: r.cluster for r in evaluate.ward(v, "id", "v", 4, block).collect()}
+    assert got == {i: k for k, g in enumerate(groups) for i in g}
 
 
 def test_statements(spark):
@@ -165,11 +174,6 @@ def test_readers(spark, tmp_path):
     assert readers.public_ids(spark, f"{app}/public.xml").first().id == 0x7F0501DE
 
 
-def test_markup_tree(spark):
-    d = spark.createDataFrame([(1, "<a><b><br></b><c/></a>"), (2, None)], "id long, t string")
-    assert [(r.tag, r.parent, r.depth) for r in readers.markup_tree(d, "id", "t").orderBy("ordinal").collect()] == [("a", -1, 0), ("b", 0, 1), ("br", 1, 2), ("c", 0, 1)]
-
-
 def test_done_work_is_skipped(spark):
     w, log = spark.createDataFrame([(1,), (2,), (3,)], "app long"), spark.createDataFrame([(1, "ok"), (2, "failed")], "app long, status string")
     assert {r.app for r in increment.not_done(w, log, "app").collect()} == {2, 3}
