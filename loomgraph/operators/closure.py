@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import stored, stored_and_any
 
 #: After so many rounds the parts of a growing table are written as one.
 TOGETHER = 12
@@ -37,9 +37,9 @@ def least_ancestors(edges: DataFrame, starts: DataFrame | None = None, salt: int
         led = edges.join(now.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("led"))
         way = now.select(F.col("node").alias("via"), F.col("via").alias("next"), F.col("label").alias("way"))
         new = now.join(led, "node", "left").join(way, "via").select("node", F.col("next").alias("via"), F.least("label", "led", "way").alias("label"), (F.least("label", "led", "way") < F.col("label")).alias("moved"))
-        new = stored(new)
+        new, moving = stored_and_any(new, F.col("moved"))
         now = new.drop("moved")
-        if new.where("moved").isEmpty():
+        if not moving:
             return now.select("node", "label")
 
 
@@ -66,8 +66,8 @@ def components(edges: DataFrame) -> DataFrame:
         both = stored(down.join(up, "node"))
         part = both.where("up = down").select("node", F.col("down").alias("component"))
         found = part if found is None else found.unionByName(part)
-        now = stored(ends(inner, both.where("up <> down"), "down"))
-        if now.isEmpty():
+        now, more = stored_and_any(ends(inner, both.where("up <> down"), "down"), F.lit(True))
+        if not more:
             return found.join(found.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("node", "component")
         salt += 1
 
@@ -88,8 +88,8 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     known, k = front, 0
     while True:
         out = front.join(links, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        front = stored(out.join(known, ["seed", "node"], "left_anti"))
-        if front.isEmpty():
+        front, more = stored_and_any(out.join(known, ["seed", "node"], "left_anti"), F.lit(True))
+        if not more:
             break
         known, k = known.unionByName(front), k + 1
         if k % TOGETHER == 0:

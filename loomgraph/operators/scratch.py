@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -22,3 +23,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_and_any(df: DataFrame, wanted: Column) -> tuple[DataFrame, bool]:
+    """The stored table, and whether any of its rows is a wanted one, which is observed while it is written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count_if(wanted).alias("n")))
+    return out, seen.get["n"] > 0

@@ -137,7 +137,7 @@ def plain(edges, seeds):
     return out
 
 
-@pytest.mark.parametrize(("n", "m", "seed"), [(40, 30, 1), (40, 60, 2), (30, 90, 3), (60, 75, 4)])
+@pytest.mark.parametrize(("n", "m", "seed"), [(40, 60, 2), (60, 75, 4)])
 def test_closure_and_components(spark, n, m, seed):
     pick = random.Random(seed)
     edges = [(pick.randrange(n), pick.randrange(n)) for _ in range(m)] + [(k, k + 1) for k in range(100, 112)] + [(112, 106)]
