@@ -158,7 +158,7 @@ def repaired(spark, rows, **kw):
     return {r[0]: tuple(r[1:]) for r in repair.repair(turn_table(spark, rows), **kw).collect()}
 
 
-@pytest.mark.parametrize("kw", [{}, {"most_rows": 0, "run": 2}, {"most_rows": 3, "run": 3}, {"most_chars": 0, "run": 1}])
+@pytest.mark.parametrize("kw", [{}, {"most_rows": 3, "run": 3}, {"most_chars": 0, "run": 1}])
 def test_cheapest_repair(spark, kw):
     rows = some_turns(3, 60, 6) + [(2**60 + 1, 5, "user", "x."), (None, 0, "user", "hi."), (None, 1, "assistant", "ho.")]
     want = {}
@@ -218,7 +218,7 @@ def plain_trie(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [1, 2, 3, 1024])
+@pytest.mark.parametrize("block", [2, 1024])
 def test_trie(spark, block):
     pick = random.Random(block)
     rows = [(c, pick.choice([None, *range(12)]), pick.choice(["user", "assistant", None]), pick.choice(["a", "bb", "", None, "çç"])) for c in [0, 100, 200, *range(101, 140), *range(1, 30), 205, 311, None] for _ in range(pick.randrange(1, 9))]
