@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import access, evaluate, graph, isolate, link, reduce, resources, statements
+from . import catalogue
 from .catalogue import query
 from .fixture import edges, library_class, nodes, own, sql, table
 from ..operators.scratch import stored
@@ -94,7 +95,7 @@ def _handlers(g, n):
 
 def _app(s, d):
     n = stored(nodes(s, d))
-    g = stored(graph.handler_edges(stored(edges(s, d)), n))
+    g = stored(catalogue.handler_graphs(s, d))
     return n, g, _handlers(g, n), *_records(s, d)
 
 
@@ -119,7 +120,7 @@ def _keep(s, d, g, n):
 @query(sql(f", kept AS ({_KEPT}) SELECT app_id, uid, eid FROM kept"))
 def keep_behaviour(s, d):
     n = stored(nodes(s, d))
-    return _keep(s, d, stored(graph.handler_edges(stored(edges(s, d)), n)), n)
+    return _keep(s, d, stored(catalogue.handler_graphs(s, d)), n)
 
 
 @query(sql(f", {_REDUCED} SELECT app_id, uid, eid, src, dst, type FROM less"))
@@ -149,7 +150,7 @@ _FIRST = "SELECT app_id, uid, eid, src, dst, type FROM (SELECT *, row_number() O
 
 @query(sql(f"SELECT a.app_id, a.uid, a.eid, n_nodes, n_edges, f.src, f.dst, f.type FROM (SELECT uid, eid, any_value(app_id) AS app_id, count(DISTINCT node) AS n_nodes FROM (SELECT app_id, uid, eid, src AS node FROM graph UNION ALL SELECT app_id, uid, eid, dst FROM graph) GROUP BY uid, eid) a JOIN (SELECT uid, eid, count(*) AS n_edges FROM graph GROUP BY uid, eid) b USING (uid, eid) JOIN ({_FIRST}) f USING (uid, eid)"))
 def uhg_access(s, d):
-    rows = stored(access.packed(graph.handler_edges(stored(edges(s, d)), stored(nodes(s, d)))))
+    rows = stored(access.packed(catalogue.handler_graphs(s, d)))
     first = access.edges_of(rows).where("place = 0").drop("place")
     return rows.select(*names.KEYS, F.col("size.node").alias("n_nodes"), F.col("size.edge").alias("n_edges")).join(first, names.KEYS)
 
@@ -157,7 +158,7 @@ def uhg_access(s, d):
 @query(sql(f"SELECT u.app_id, b.category, b.name, u.uid, u.eid, w.uid AS wid, w.xml, m.name AS event, n_edges, f.src, f.dst, f.type FROM (SELECT DISTINCT c_mktsegment AS category, '20200101-'||c_nationkey||'-'||(c_custkey%9) AS name, c_nationkey::VARCHAR AS app, c_custkey%9 AS idx FROM customer) b JOIN (SELECT app_id, uid, eid, n_edges, row_number() OVER (PARTITION BY app_id ORDER BY uid, eid)-1 AS idx FROM (SELECT app_id, uid, eid, count(*) AS n_edges FROM graph GROUP BY ALL)) u ON u.app_id=b.app AND u.idx=b.idx JOIN nodes w ON w.app_id=u.app_id AND w.node_id=u.uid JOIN nodes m ON m.app_id=u.app_id AND m.node_id=u.eid JOIN ({_FIRST}) f ON f.uid=u.uid AND f.eid=u.eid"))
 def access_chain(s, d):
     n = stored(nodes(s, d))
-    rows = access.numbered(access.packed(graph.handler_edges(stored(edges(s, d)), n)))
+    rows = access.numbered(access.packed(catalogue.handler_graphs(s, d)))
     bench = table(s, d, "customer").select(F.col("c_mktsegment").alias("category"), F.concat(F.lit("20200101-"), "c_nationkey", F.lit("-"), F.col("c_custkey") % 9).alias("name")).distinct()
     return access.samples(bench, stored(rows), n)
 
@@ -251,7 +252,7 @@ def opcode_fallback(s, d):
 @query(None)
 def uhg_encode(s, d):
     """529 components of each handler graph."""
-    return evaluate.uhg_vectors(graph.handler_edges(stored(edges(s, d)), stored(nodes(s, d))), _ops(s, d), names.KEYS)
+    return evaluate.uhg_vectors(catalogue.handler_graphs(s, d), _ops(s, d), names.KEYS)
 
 
 @query(sql("SELECT a.app_id, a.uid, a.eid, f.flag, round(f.k/a.n,6) AS mean, round(sqrt((f.k/a.n)*(1-f.k/a.n)),6) AS std FROM (SELECT app_id, uid, eid, count(*) AS n FROM ends GROUP BY ALL) a JOIN (SELECT uid, eid, op AS flag, count(*) AS k FROM (SELECT DISTINCT e.uid, e.eid, e.node, unnest(CASE WHEN node%3=1 AND (node//3)%2=0 THEN [(node//3)%264, 7] WHEN node%3=2 AND node%2=0 THEN [node%264] WHEN node%5=0 THEN [104,15] ELSE [0] END) AS op FROM ends e) GROUP BY ALL) f USING (uid, eid)").replace(" SELECT a.app_id, a.uid, a.eid, f.flag", ", ends AS (SELECT app_id, uid, eid, src AS node FROM graph WHERE type=0 UNION SELECT app_id, uid, eid, dst FROM graph WHERE type=0) SELECT a.app_id, a.uid, a.eid, f.flag"))

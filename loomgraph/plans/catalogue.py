@@ -29,7 +29,7 @@ def query(oracle: str | None) -> Callable[[Query], Query]:
     return add
 
 
-def _graph(s: SparkSession, d: str, **kw) -> DataFrame:
+def handler_graphs(s: SparkSession, d: str, **kw) -> DataFrame:
     return graph.handler_edges(stored(edges(s, d, **kw)), stored(nodes(s, d)))
 
 
@@ -151,17 +151,17 @@ def strong_components(s, d):
 
 @query(sql("SELECT a.app_id, a.uid, a.eid, n_nodes, n_edges FROM (SELECT app_id, uid, eid, count(DISTINCT node) AS n_nodes FROM (SELECT app_id, uid, eid, src AS node FROM graph UNION ALL SELECT app_id, uid, eid, dst FROM graph) GROUP BY ALL) a JOIN (SELECT app_id, uid, eid, count(*) AS n_edges FROM graph GROUP BY ALL) b USING (app_id, uid, eid)"))
 def uhg_size(s, d):
-    return graph.sizes(_graph(s, d))
+    return graph.sizes(handler_graphs(s, d))
 
 
 @query(sql("SELECT app_id, uid, eid, src, dst, type FROM graph"))
 def uhg_edges(s, d):
-    return _graph(s, d)
+    return handler_graphs(s, d)
 
 
 @query(sql("SELECT h.app_id, h.uid, h.eid, h.src AS child FROM (SELECT app_id, uid, eid, src, count(*) AS held FROM graph WHERE type IN (3,4) AND src%3=0 GROUP BY ALL) h JOIN (SELECT app_id, src, count(*) AS total FROM edges WHERE type IN (3,4) GROUP BY ALL) t USING (app_id, src) WHERE held=total AND h.src<>h.uid"))
 def child_ui(s, d):
-    return graph.child_widgets(_graph(s, d), edges(s, d), nodes(s, d))
+    return graph.child_widgets(handler_graphs(s, d), edges(s, d), nodes(s, d))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text),'the') OR contains(lower(text),'und ')")
@@ -172,7 +172,7 @@ def keep_by_text(s, d):
 @query(sql("SELECT DISTINCT graph.app_id, graph.uid, eid FROM graph JOIN nodes ON nodes.app_id=graph.app_id AND dst=node_id WHERE package<>'-' AND (contains(lower(name),'brand1') OR contains(lower(name),'brand55'))"))
 def keep_by_method(s, d):
     api = link.keep_by_words(nodes(s, d).where("package <> '-'"), "name", ["brand1", "Brand55"]).select("app_id", F.col("node_id").alias("dst"))
-    return _graph(s, d).join(api, ["app_id", "dst"], "left_semi").select("app_id", "uid", "eid").distinct()
+    return handler_graphs(s, d).join(api, ["app_id", "dst"], "left_semi").select("app_id", "uid", "eid").distinct()
 
 
 @query(sql("SELECT app_id, node_id, NOT contains(name,'(') OR contains(split_part(split_part(name,':',-1),'(',1),'m1') OR contains(split_part(name,':',1),'Brand2') AS noise FROM nodes"))
@@ -182,7 +182,7 @@ def noise_filter(s, d):
 
 @query(sql("SELECT app_id, uid, eid, src, dst, type FROM graph WHERE type<>4 OR src=uid"))
 def prune_events(s, d):
-    return graph.prune_events(_graph(s, d))
+    return graph.prune_events(handler_graphs(s, d))
 
 
 _CASE = """cases AS (SELECT app_id, uid, eid, eid AS src, min(dst) AS dst FROM graph WHERE src=eid AND type=0 AND dst%3=2 GROUP BY ALL UNION ALL SELECT DISTINCT app_id, uid, eid, src, -1 FROM graph WHERE type=0 AND src<>eid AND src%15=1),
@@ -193,7 +193,7 @@ gone AS (SELECT DISTINCT uid, eid, dst AS node FROM seeds WHERE (uid,eid,dst) NO
 @query(f"WITH RECURSIVE {SQL}, {_CASE} SELECT app_id, uid, eid, src, dst, type FROM graph g WHERE (type<>4 OR src=uid) AND (uid,eid,src) NOT IN (SELECT (uid,eid,node) FROM gone) AND (uid,eid,src,dst,type) NOT IN (SELECT (uid,eid,src,dst,type) FROM seeds)")
 def prune_switch(s, d):
     """Pairs of the handler and its first part, and pairs of some methods and a callee that no graph holds."""
-    g = stored(_graph(s, d))
+    g = stored(handler_graphs(s, d))
     held = g.where("src = eid AND type = 0 AND dst % 3 = 2").groupBy(*names.KEYS, "src").agg(F.min("dst").alias("dst"))
     absent = g.where("type = 0 AND src <> eid AND src % 15 = 1").select(*names.KEYS, "src", F.lit(-1).cast("bigint").alias("dst")).distinct()
     return graph.prune_cases(g, stored(held.unionByName(absent)))
@@ -202,12 +202,12 @@ def prune_switch(s, d):
 @query(f"WITH RECURSIVE {SQL.replace('coalesce(nxt,frst)', 'nxt')}, step AS (SELECT app_id, uid, eid, src, dst FROM graph WHERE type=0 AND src%3=1 AND dst%3=1), alive AS (SELECT DISTINCT app_id, uid, eid, src AS node FROM graph WHERE NOT (type=0 AND src%3=1 AND dst%3=1) UNION SELECT s.app_id, s.uid, s.eid, s.src FROM alive a JOIN step s ON s.app_id=a.app_id AND s.uid=a.uid AND s.eid=a.eid AND s.dst=a.node) SELECT app_id, uid, eid, src, dst, type FROM graph WHERE NOT (type=0 AND src%3=1 AND dst%3=1) OR (app_id,uid,eid,dst) IN (SELECT (app_id,uid,eid,node) FROM alive)")
 def prune_leaf(s, d):
     """On the graph without rings, as its circles have no leaf."""
-    return graph.prune_leaves(_graph(s, d, ring=False), nodes(s, d))
+    return graph.prune_leaves(handler_graphs(s, d, ring=False), nodes(s, d))
 
 
 @query(sql("SELECT c.app_id, c.uid, c.eid, c.node, CASE WHEN o.inner_ IS NULL THEN -1 WHEN o.inner_ THEN 0 ELSE 1 END AS next_type FROM (SELECT DISTINCT app_id, uid, eid, dst AS node FROM graph WHERE type=0 AND dst%3=1) c LEFT JOIN (SELECT app_id, uid, eid, src AS node, bool_and(dst%3=1) AS inner_ FROM graph GROUP BY ALL) o USING (app_id, uid, eid, node)"))
 def next_edge_type(s, d):
-    return graph.next_edge_type(stored(_graph(s, d)), nodes(s, d))
+    return graph.next_edge_type(stored(handler_graphs(s, d)), nodes(s, d))
 
 
 @query(sql("SELECT app_id, dst AS node, sum(type)>0 AS linked FROM edges GROUP BY app_id, dst"))
@@ -234,7 +234,7 @@ def edge_endpoints(s, d):
 
 @query(sql("SELECT app_id, uid, eid, 'digraph {' || chr(10) || string_agg('  '||src||' -> '||dst||' [label='||type||'];', chr(10) ORDER BY src, dst, type) || chr(10) || '}' AS dot FROM graph WHERE type IN (0,4) GROUP BY app_id, uid, eid"))
 def dot_lines(s, d):
-    return readers.dot_lines(_graph(s, d).where("type IN (0, 4)"), names.KEYS)
+    return readers.dot_lines(handler_graphs(s, d).where("type IN (0, 4)"), names.KEYS)
 
 
 _BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
@@ -256,12 +256,12 @@ def opcode_stats(s, d):
 
 @query(None)
 def laplacian_features(s, d):
-    return evaluate.laplacian(_graph(s, d).where("type = 0"), names.KEYS).select(*names.KEYS, F.round("eigen_mean", 9).alias("eigen_mean"))
+    return evaluate.laplacian(handler_graphs(s, d).where("type = 0"), names.KEYS).select(*names.KEYS, F.round("eigen_mean", 9).alias("eigen_mean"))
 
 
 @query(None)
 def word2vec_mean(s, d):
-    return evaluate.word2vec_mean(_graph(s, d), nodes(s, d), names.KEYS)
+    return evaluate.word2vec_mean(handler_graphs(s, d), nodes(s, d), names.KEYS)
 
 
 @query("SELECT vec_id, round((x-lo)/(hi-lo),6) AS scaled FROM (SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings), (SELECT min(embedding[1]::DOUBLE) AS lo, max(embedding[1]::DOUBLE) AS hi FROM embeddings)")
@@ -403,7 +403,7 @@ def node_labels(s, d):
 
 @query(sql("SELECT app_id, uid, eid, src, dst, type FROM graph WHERE uid IN (3,6,30,60,90,120,300)"))
 def graphs_of_widgets(s, d):
-    return access.of_widgets(_graph(s, d), [3, 6, 30, 60, 90, 120, 300])
+    return access.of_widgets(handler_graphs(s, d), [3, 6, 30, 60, 90, 120, 300])
 
 
 @query(sql("SELECT app_id, count(DISTINCT package) FILTER (NOT is_widget AND NOT is_self) AS n_packages, count(DISTINCT xml) AS n_layouts, count(DISTINCT uid) AS n_widgets FROM nodes GROUP BY app_id"))
