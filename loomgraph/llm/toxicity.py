@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from . import textops
 FRAME = b" ~0123456789ABCDEF~QWERTYUIOP~"
 LEVELS = (2, 3, 4, 5, 6, 8)
 LONGEST = 24
+#: (words, step) of the windows that texts are scored by: every word, and every phrase of two words whole in one of three.
+SHAPES = ((1, 1), (3, 2))
 
 
 @dataclass(frozen=True)
@@ -27,7 +29,7 @@ class ToxicityModel:
     toxic: bytes
     weights: tuple[float, ...]
     prior: float
-    width: int = 1
+    shapes: tuple[tuple[int, int], ...] = SHAPES
 
 
 def pieces(text: str) -> list[str]:
@@ -38,10 +40,15 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-def windows(text: str, width: int) -> list[str]:
-    """Every `width` pieces in a row, each window one piece on from the last; fewer are one window."""
-    p = pieces(text)
-    return p if width == 1 or len(p) < 2 else [" ".join(p[i : i + width]) for i in range(max(1, len(p) - width + 1))]
+def joined(p: list[str], width: int, step: int = 1) -> list[str]:
+    """`width` pieces in a row, each window `step` pieces on from the last, the last one to the end; fewer are one window."""
+    if width == 1 and step == 1 or len(p) < 2:
+        return p
+    return [" ".join(p[i : i + width]) for i in range(0, max(1, len(p) - width + step), step)]
+
+
+def windows(text: str, width: int, step: int = 1) -> list[str]:
+    return joined(pieces(text), width, step)
 
 
 def _data(window: str) -> bytes:
@@ -49,17 +56,20 @@ def _data(window: str) -> bytes:
 
 
 class Compressor:
-    """Lengths of windows under one dictionary."""
+    """Lengths of windows under one dictionary, compressed in batches."""
 
-    def __init__(self, dictionary: bytes):
+    def __init__(self, dictionary: bytes, batch: int = 20_000):
         import zstandard
 
         content = zstandard.ZstdCompressionDict(dictionary + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         params = zstandard.ZstdCompressionParameters.from_level(6, dict_size=len(dictionary) + len(FRAME), min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
-        self.compress = zstandard.ZstdCompressor(dict_data=content, compression_params=params).compress
+        self.compress, self.batch = zstandard.ZstdCompressor(dict_data=content, compression_params=params).multi_compress_to_buffer, batch
 
-    def length(self, window: str) -> int:
-        return len(self.compress(_data(window) + FRAME))
+    def lengths(self, data: list[bytes]) -> np.ndarray:
+        out: list[int] = []
+        for i in range(0, len(data), self.batch):
+            out += map(len, self.compress(data[i : i + self.batch]))
+        return np.array(out, dtype=np.int64)
 
 
 def train(some: list[str], size: int) -> bytes:
@@ -75,9 +85,9 @@ def train(some: list[str], size: int) -> bytes:
 
 def savings(ordinary: Compressor, toxic: Compressor, some: list[str]) -> np.ndarray:
     """Bytes by which the toxic dictionary makes each window shorter than the ordinary one does; equal windows are done once."""
-    known = dict.fromkeys(some)
-    for w in known:
-        known[w] = ordinary.length(w) - toxic.length(w)
+    once = list(dict.fromkeys(some))
+    data = [_data(w) + FRAME for w in once]
+    known = dict(zip(once, (ordinary.lengths(data) - toxic.lengths(data)).tolist(), strict=True))
     return np.fromiter(map(known.__getitem__, some), np.int64, len(some))
 
 
@@ -101,18 +111,13 @@ def features(saved: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class _Scorer:
-    """Features of texts; a window is compressed once in a slice, and short ones are kept for later slices."""
+    """Features of texts, those of each shape of windows side by side; words are compressed once and kept for later slices, phrases once a slice."""
 
     def __init__(self, model: ToxicityModel, keep: int = 800_000):
         self.plain, self.toxic, self.keep = Compressor(model.ordinary), Compressor(model.toxic), keep
-        self.width, self.known = model.width, textops.cached(("toxicity", model.ordinary, model.toxic), dict)
+        self.shapes, self.known = model.shapes, textops.cached(("toxicity", model.ordinary, model.toxic), dict)
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        flat: list[str] = []
-        ends = [0]
-        for t in texts:
-            flat += windows(t, self.width)
-            ends.append(len(flat))
+    def _words(self, flat: list[str]) -> np.ndarray:
         got = list(map(self.known.get, flat))
         holes = [i for i, v in enumerate(got) if v is None]
         new = list(dict.fromkeys(map(flat.__getitem__, holes)))
@@ -121,7 +126,19 @@ class _Scorer:
             got[i] = fresh[flat[i]]
         if len(self.known) < self.keep:
             self.known.update(fresh)
-        return features(np.array(got, dtype=np.int64), np.diff(np.array(ends, dtype=np.int64)))
+        return np.array(got, dtype=np.int64)
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        parts, out = [pieces(t) for t in texts], []
+        for width, step in self.shapes:
+            flat: list[str] = []
+            ends = [0]
+            for p in parts:
+                flat += joined(p, width, step)
+                ends.append(len(flat))
+            saved = self._words(flat) if width == 1 else savings(self.plain, self.toxic, flat)
+            out.append(features(saved, np.diff(np.array(ends, dtype=np.int64))))
+        return np.hstack(out)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -169,13 +186,13 @@ def dictionaries(toxic: list[list[str]], ordinary: list[list[str]], sizes: tuple
         yield base, train([w for half in now for w in half], sizes[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 2000, sample_bytes: int = 5_000_000, sizes: tuple[int, int] = (32_768, 8_192), lift: float = 12.0, rounds: int = 3, width: int = 1) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 2000, sample_bytes: int = 5_000_000, sizes: tuple[int, int] = (32_768, 8_192), lift: float = 12.0, rounds: int = 3, shapes: tuple[tuple[int, int], ...] = SHAPES) -> ToxicityModel:
     """Trains on at most `sample` labelled documents and sample_bytes of text of either class, by the hash of their keys.
 
     Three quarters of them (by another hash) train the dictionaries, of sizes[0] bytes for ordinary and
     sizes[1] for toxic text, on windows of two words that overlap; the rest calibrates the savings of windows
-    of `width` words, which texts are scored by, and tells which round's pair of dictionaries to keep, at any
-    size of the input. Of texts that are equal one is taken. Labels that are null or other than 0 and 1 are
+    of all `shapes` (words, step), which texts are scored by, and tells which round's pair of dictionaries to
+    keep, at any size of the input. Of texts that are equal one is taken. Labels that are null or other than 0 and 1 are
     left out. Without documents of both classes in both parts the score is the share of toxic ones (0
     without any).
     """
@@ -194,28 +211,29 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         part[r["label"], int(textops.crc_of_id([f"part {r['key']}"])[0] % 8)].append(r["text"])
     taken = lambda k, some: [t for p in some for t in part[k, p]]
     once: dict[str, str] = {}
-    flat = lambda texts, wide=2: [once.setdefault(w, w) for t in texts for w in windows(t, wide)]
+    flat = lambda texts: [once.setdefault(w, w) for t in texts for w in windows(t, 2)]
     rest = [(t, k) for k in (0, 1) for t in taken(k, (6, 7))]
     toxic, ordinary = [flat(taken(1, (0, 1, 2))), flat(taken(1, (3, 4, 5)))], [flat(taken(0, (0, 1, 2, 3))), flat(taken(0, (4, 5)))]
     if not all(toxic) or not all(ordinary) or len({k for _, k in rest}) < 2:
         return ToxicityModel(b"", b"", (), prior)
-    y, n, some = np.array([k for _, k in rest], dtype=float), np.array([len(windows(t, width)) for t, _ in rest]), flat([t for t, _ in rest], width)
+    y = np.array([k for _, k in rest], dtype=float)
     best: tuple[float, ToxicityModel] | None = None
     odds = lambda a, b: math.log(max(a, 0.5) / max(b, 0.5))
     for plain, marked in dictionaries(toxic, ordinary, sizes, lift, rounds):
-        z = features(savings(Compressor(plain), Compressor(marked), some), n)
+        model = ToxicityModel(plain, marked, (), prior, shapes)
+        z = _Scorer(model).features([t for t, _ in rest])
         w = _calibrate(z, y)
         loss = _losses(z, y, w)
         if best is None or loss < best[0]:
             w[0] += odds(share.get(1, 0), share.get(0, 0)) - odds(y.sum(), len(y) - y.sum())  # the sample's classes are of other sizes than the table's
-            best = (loss, ToxicityModel(plain, marked, tuple(map(float, w)), prior, width))
+            best = (loss, replace(model, weights=tuple(map(float, w))))
     return best[1]
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Scores every whole text: all columns of docs, and those named in `into`: the score (0 to 1) and 1 from 0.5 on, else 0.
 
-    Windows are every model.width words in a row, lower-cased. A null or empty text has no windows and gets the score
+    Windows are those of model.shapes over the whole text, lower-cased. A null or empty text has no windows and gets the score
     of no saving. Repeated rows and null keys come back as they are; an empty table gives none. Columns
     that have the names in `into` are replaced; all others stay.
     """

@@ -379,6 +379,26 @@ def test_toxicity_keeps_clashing_columns(spark):
     assert got.columns == [*odd.columns, "s", "p"] and {tuple(r) for r in got.select("Score", "predicted", "label", "key").collect()} == {("mine", 7, "x", 1)}
 
 
+def test_windows_hold_every_phrase_whole():
+    for n in range(12):
+        p = [f"w{i}" for i in range(n)]
+        got = toxicity.windows(" ".join(p), 3, 2)
+        assert all(any(f" {x} {y} " in f" {g} " for g in got) for x, y in zip(p, p[1:]))
+        assert set(" ".join(got).split()) == set(p) and toxicity.windows(" ".join(p), 1) == p
+        assert len(got) <= n // 2 + 1
+
+
+def test_phrases_count_where_words_do_not():
+    """Both dictionaries hold all three words, only the toxic one holds them beside each other."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    apart = " ".join(x for _ in range(20) for x in ("qzvxk", word(), "wyrmp", word(), "lomtu", word())).encode()
+    beside = " ".join(x for _ in range(20) for x in ("qzvxk", "wyrmp", "lomtu", word(), word(), word())).encode()
+    plain, toxic = toxicity.Compressor(apart), toxicity.Compressor(beside)
+    words, phrase = toxicity.savings(plain, toxic, ["qzvxk", "wyrmp", "lomtu"]), toxicity.savings(plain, toxic, ["qzvxk wyrmp lomtu"])
+    assert phrase[0] > words.max() and phrase[0] > 0
+
+
 def test_window_savings_are_those_of_plain_compression():
     import zstandard
 
@@ -387,9 +407,9 @@ def test_window_savings_are_those_of_plain_compression():
     a, b = toxicity.train([text(3) for _ in range(400)], 600), toxicity.train(["tiny"], 600)
     assert b == b" tiny "
     texts = ["", "one", text(50), text(7)]
-    for t, width in ((t, k) for t in texts for k in (1, 2, 3)):
-        model = toxicity.ToxicityModel(a, b, (), 0, width)
-        w = toxicity.windows(t, width)
+    for t, shape in ((t, k) for t in texts for k in ((1, 1), (2, 1), (3, 2), (4, 3))):
+        model = toxicity.ToxicityModel(a, b, (), 0, (shape,))
+        w = toxicity.windows(t, *shape)
         joined = "".join(toxicity.pieces(t))
         assert joined == t.lower().replace(" ", "") and all(len(p) <= toxicity.LONGEST for p in toxicity.pieces(t))
         plain = []
