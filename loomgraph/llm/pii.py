@@ -22,10 +22,15 @@ PATTERNS = {
 }
 _HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _OCTETS = r"^(0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.|$)){4}$"
-_WORD = r"(?<![\p{L}\p{N}])\p{L}{4,}+(?![\p{L}\p{N}])"
+LETTERS = 4
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
+def _word(letters: int) -> str:
+    """Words of that many letters or more, without digits beside them."""
+    return rf"(?<![\p{{L}}\p{{N}}])\p{{L}}{{{letters},}}+(?![\p{{L}}\p{{N}}])"
+
+
 def _digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
@@ -84,14 +89,14 @@ def _rest(text: str, spans: str = "pii") -> Column:
     return F.when(F.size(spans) > 0, F.concat(F.array_join(done["out"], ""), F.substr(body, done["at"] + 1, F.length(body)))).otherwise(body)
 
 
-def _terms(rest: Column) -> Column:
-    """The distinct words of four letters or more, lower-cased; one empty string where there are none."""
-    return F.array_distinct(F.split(F.lower(F.array_join(F.regexp_extract_all(rest, F.lit(_WORD), F.lit(0)), " ")), " "))
+def _terms(rest: Column, letters: int) -> Column:
+    """The distinct words of so many letters or more, lower-cased; one empty string where there are none."""
+    return F.array_distinct(F.split(F.lower(F.array_join(F.regexp_extract_all(rest, F.lit(_word(letters)), F.lit(0)), " ")), " "))
 
 
-def _spots(rest: Column, wanted: Column) -> Column:
+def _spots(rest: Column, wanted: Column, letters: int) -> Column:
     """Spans of all words whose lower case is wanted, by start, in one pass over words and gaps."""
-    words, gaps = F.regexp_extract_all(rest, F.lit(_WORD), F.lit(0)), F.split(rest, _WORD, -1)
+    words, gaps = F.regexp_extract_all(rest, F.lit(_word(letters)), F.lit(0)), F.split(rest, _word(letters), -1)
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def step(a: Column, x: Column) -> Column:
@@ -104,7 +109,7 @@ def _spots(rest: Column, wanted: Column) -> Column:
     return F.aggregate(pairs, begin, step, lambda a: a["spans"])
 
 
-def disclosing_terms(rows: DataFrame, home: str, threshold: float = 0.8, support: int = 4, reach: int = 80) -> DataFrame:
+def disclosing_terms(rows: DataFrame, home: str, threshold: float = 0.8, support: int = 4, reach: int = 80, letters: int = LETTERS) -> DataFrame:
     """(entity, term) whose normalised information reaches the threshold: log2(n(t,e) N / (n(t) n(e))) / log2(N / n(e)).
 
     Rows have a number, the text without base spans, the text's hash and pii. Counts are over rows, copies
@@ -114,14 +119,14 @@ def disclosing_terms(rows: DataFrame, home: str, threshold: float = 0.8, support
     support are kept in the text.
     """
     n = rows.count()
-    counts = rows.select(F.explode(_terms(F.col("rest"))).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = rows.select(F.explode(_terms(F.col("rest"), letters)).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n_t"))
     holders = rows.where(F.size("pii") > 0)
     # Rows of one text have the same entities and terms: the first stands for all of them.
     owners = holders.select("row", "hash", F.explode(F.array_distinct(F.transform("pii", lambda s: s["value"]))).alias("entity")).groupBy("hash", "entity").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
     known = owners.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("n_texts")).where((F.col("n_texts") >= support) & (F.col("n_e") < n))
     # The threshold is n(t) <= n(t,e) (N / n(e)) ** (1 - threshold), and n(t,e) is at most n(e): other terms can't reach it.
     owners = textops.stored(owners.join(known, "entity").select("row", "entity", "copies", "n_e", (F.col("n_e") * F.pow(n / F.col("n_e"), F.lit(1 - threshold)) + 1e-6).alias("most")), f"{home}/owners")
-    held = holders.join(owners.groupBy("row").agg(F.max("most").alias("row_most")), "row").select("row", "row_most", F.explode(_terms(F.col("rest"))).alias("term"))
+    held = holders.join(owners.groupBy("row").agg(F.max("most").alias("row_most")), "row").select("row", "row_most", F.explode(_terms(F.col("rest"), letters)).alias("term"))
     near = held.join(counts.where(F.col("n_t") >= support), "term").where("n_t <= row_most").join(owners, "row").where("n_t <= most")
     near = textops.stored(near.select("row", "entity", "term", "copies", "n_e", "n_t"), f"{home}/near")
     told = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
@@ -129,7 +134,7 @@ def disclosing_terms(rows: DataFrame, home: str, threshold: float = 0.8, support
     likely = textops.stored(likely.where((F.col("n_texts") >= support) & (told >= threshold - 1e-9)).select("entity", "term"), f"{home}/likely")
     pairs = near.join(likely, ["entity", "term"], "left_semi").select("row", "entity", "term")
     wanted = pairs.groupBy("row").agg(F.collect_set("term").alias("wanted"))
-    spots = holders.join(wanted, "row").select("row", "rest", F.explode(_spots(F.col("rest"), F.col("wanted"))).alias("s"))
+    spots = holders.join(wanted, "row").select("row", "rest", F.explode(_spots(F.col("rest"), F.col("wanted"), letters)).alias("s"))
     low = F.greatest(F.col("s.start") - reach, F.lit(0))
     around = F.xxhash64(F.substr("rest", low + 1, F.col("s.end") + reach - low))
     firsts = spots.groupBy("row", F.col("s.value").alias("term")).agg(F.min_by(around, "s.start").alias("context"))
@@ -137,11 +142,12 @@ def disclosing_terms(rows: DataFrame, home: str, threshold: float = 0.8, support
     return contexts.where(F.col("contexts") >= support).select("entity", "term")
 
 
-def detect(docs: DataFrame, text: str = "text", threshold: float = 0.8, support: int = 4, into: tuple[str, str] = ("pii", "terms")) -> DataFrame:
+def detect(docs: DataFrame, text: str = "text", threshold: float = 0.8, support: int = 4, into: tuple[str, str] = ("pii", "terms"), letters: int = LETTERS) -> DataFrame:
     """Adds to docs, in the columns named by `into`, the base spans and the term spans (by start) of every row.
 
     Terms are looked for in whole texts, outside base spans, and every occurrence of a disclosing term is
-    marked in every row, with or without the entity. Null and empty texts have no spans. Rows are told
+    marked in every row, with or without the entity. A term is a word of `letters` letters or more; 1 takes
+    all words of letters, short names too. Null and empty texts have no spans. Rows are told
     apart by a number of their own, so null and repeated keys are treated as others. An empty table gives
     none. Columns that have the names in `into` are replaced; all others stay.
     """
@@ -149,10 +155,10 @@ def detect(docs: DataFrame, text: str = "text", threshold: float = 0.8, support:
     row, told_here, body = textops.unused(docs, "row"), textops.unused(docs, "told"), F.col(text)
     found = textops.stored(docs.drop(*into).withColumn(into[0], base_spans(text)).withColumn(row, F.monotonically_increasing_id()), f"{home}/found")
     rows = found.select(F.col(row).alias("row"), F.coalesce(body, F.lit("")).alias("body"), F.xxhash64(body).alias("hash"), F.col(into[0]).alias("pii")).withColumn("rest", _rest("body")).drop("body")
-    told = textops.stored(disclosing_terms(rows, home, threshold, support), f"{home}/told")
-    held = rows.select("row", F.explode(_terms(F.col("rest"))).alias("term")).join(told.select("term"), "term", "left_semi").groupBy(F.col("row").alias(row)).agg(F.collect_set("term").alias(told_here))
+    told = textops.stored(disclosing_terms(rows, home, threshold, support, letters=letters), f"{home}/told")
+    held = rows.select("row", F.explode(_terms(F.col("rest"), letters)).alias("term")).join(told.select("term"), "term", "left_semi").groupBy(F.col("row").alias(row)).agg(F.collect_set("term").alias(told_here))
     held = textops.stored(held, f"{home}/held")
-    terms = F.when(F.col(told_here).isNotNull(), _spots(_rest(text, into[0]), F.col(told_here))).otherwise(F.array().cast(SPAN))
+    terms = F.when(F.col(told_here).isNotNull(), _spots(_rest(text, into[0]), F.col(told_here), letters)).otherwise(F.array().cast(SPAN))
     return found.join(held, row, "left").withColumn(into[1], terms).drop(row, told_here)
 
 

@@ -464,6 +464,15 @@ def test_disclosing_terms(spark):
     assert {(i, "zorblatt") for i in range(8)} <= found and not any(v in ("report", "today", "about") for _, v in found)
 
 
+def test_disclosing_terms_of_any_length(spark):
+    names = {"Bob": "bob@corp.com", "\u674e": "li@corp.com"}
+    rows = [(k * 100 + i, f"filler{i} report by {n} about it{i} contact {mail} today item{i}") for k, (n, mail) in enumerate(names.items()) for i in range(8)] + [(900 + i, f"filler{i} report about item{i}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda letters: {(r.doc_id, s.value) for r in pii.detect(docs, letters=letters).collect() for s in r.terms}
+    short = {(k * 100 + i, n.lower()) for k, n in enumerate(names) for i in range(8)}
+    assert short <= found(1) and not short & found(pii.LETTERS)
+
+
 def test_disclosing_terms_of_whole_texts(spark):
     gap = lambda i: " ".join(f"gap{'abcdefghij'[i % 10]}{'klmnopqrst'[k % 10]}{i}" for k in range(20))
     rows = [(i, f"Zorblatt {gap(i)} zorblatt {gap(i + 20)} contact ann@corp.com today, then {gap(i + 40)} ZORBLATT") for i in range(8)]
