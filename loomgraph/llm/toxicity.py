@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import repeat
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ from . import textops
 FRAME = b" ~0123456789ABCDEF~QWERTYUIOP~"
 LEVELS = (2, 3, 4, 5, 6, 8)
 LONGEST = 24
+#: No window saves so much: stands for words that are not kept.
+UNKNOWN = np.iinfo(np.int64).min
 #: (words, step) of the windows that texts are scored by: every word, and every phrase of two words whole in one of three.
 SHAPES = ((1, 1), (3, 2))
 
@@ -34,8 +38,10 @@ class ToxicityModel:
 
 def pieces(text: str) -> list[str]:
     """Words by white space, lower-cased; those of over LONGEST characters in parts of that many."""
-    out = []
-    for w in text.lower().split():
+    words, out = text.lower().split(), []
+    if not words or max(map(len, words)) <= LONGEST:
+        return words
+    for w in words:
         out += [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
     return out
 
@@ -44,7 +50,8 @@ def joined(p: list[str], width: int, step: int = 1) -> list[str]:
     """`width` pieces in a row, each window `step` pieces on from the last, the last one to the end; fewer are one window."""
     if width == 1 and step == 1 or len(p) < 2:
         return p
-    return [" ".join(p[i : i + width]) for i in range(0, max(1, len(p) - width + step), step)]
+    full = list(map(" ".join, zip(*(p[k::step] for k in range(width)), strict=False)))
+    return full + [" ".join(p[i : i + width]) for i in range(0, max(1, len(p) - width + step), step)[len(full) :]]
 
 
 def windows(text: str, width: int, step: int = 1) -> list[str]:
@@ -55,21 +62,36 @@ def _data(window: str) -> bytes:
     return b" " + window.encode("utf-8", "replace") + b" "
 
 
+def packed(some: list[str], batch: int = 20_000) -> list[Any]:
+    """Windows with their ends, in batches of one buffer each."""
+    import zstandard
+
+    out, end = [], " " + FRAME.decode()
+    for i in range(0, len(some), batch):
+        part = some[i : i + batch]
+        text = " " + f"{end} ".join(part) + end
+        raw = text.encode("utf-8", "replace")
+        sizes = map(len, part) if len(raw) == len(text) else (len(w.encode("utf-8", "replace")) for w in part)
+        segments = np.empty((len(part), 2), dtype=np.uint64)
+        segments[:, 1] = np.fromiter(sizes, np.uint64, len(part)) + np.uint64(1 + len(end))
+        segments[:, 0] = np.cumsum(segments[:, 1]) - segments[:, 1]
+        out.append(zstandard.BufferWithSegments(raw, segments.tobytes()))
+    return out
+
+
 class Compressor:
     """Lengths of windows under one dictionary, compressed in batches."""
 
-    def __init__(self, dictionary: bytes, batch: int = 20_000):
+    def __init__(self, dictionary: bytes):
         import zstandard
 
         content = zstandard.ZstdCompressionDict(dictionary + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         params = zstandard.ZstdCompressionParameters.from_level(6, dict_size=len(dictionary) + len(FRAME), min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
-        self.compress, self.batch = zstandard.ZstdCompressor(dict_data=content, compression_params=params).multi_compress_to_buffer, batch
+        self.compress = zstandard.ZstdCompressor(dict_data=content, compression_params=params).multi_compress_to_buffer
 
-    def lengths(self, data: list[bytes]) -> np.ndarray:
-        out: list[int] = []
-        for i in range(0, len(data), self.batch):
-            out += map(len, self.compress(data[i : i + self.batch]))
-        return np.array(out, dtype=np.int64)
+    def lengths(self, batches: list[Any]) -> np.ndarray:
+        """Of each window of `packed` batches."""
+        return np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(len, self.compress(b)), np.int64, len(b)) for b in batches)])
 
 
 def train(some: list[str], size: int) -> bytes:
@@ -85,10 +107,11 @@ def train(some: list[str], size: int) -> bytes:
 
 def savings(ordinary: Compressor, toxic: Compressor, some: list[str]) -> np.ndarray:
     """Bytes by which the toxic dictionary makes each window shorter than the ordinary one does; equal windows are done once."""
-    once = list(dict.fromkeys(some))
-    data = [_data(w) + FRAME for w in once]
-    known = dict(zip(once, (ordinary.lengths(data) - toxic.lengths(data)).tolist(), strict=True))
-    return np.fromiter(map(known.__getitem__, some), np.int64, len(some))
+    first: dict[str, int] = {}
+    at = np.fromiter(map(first.setdefault, some, range(len(some))), np.int64, len(some))
+    data, out = packed(list(first)), np.zeros(len(some), np.int64)
+    out[np.fromiter(first.values(), np.int64, len(first))] = ordinary.lengths(data) - toxic.lengths(data)
+    return out[at]
 
 
 def features(saved: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -118,15 +141,13 @@ class _Scorer:
         self.shapes, self.known = model.shapes, textops.cached(("toxicity", model.ordinary, model.toxic), dict)
 
     def _words(self, flat: list[str]) -> np.ndarray:
-        got = list(map(self.known.get, flat))
-        holes = [i for i, v in enumerate(got) if v is None]
-        new = list(dict.fromkeys(map(flat.__getitem__, holes)))
-        fresh = dict(zip(new, savings(self.plain, self.toxic, new).tolist(), strict=True))
-        for i in holes:
-            got[i] = fresh[flat[i]]
+        got = np.fromiter(map(self.known.get, flat, repeat(UNKNOWN)), np.int64, len(flat))
+        holes = np.flatnonzero(got == UNKNOWN)
+        new = list(map(flat.__getitem__, holes.tolist()))
+        got[holes] = savings(self.plain, self.toxic, new)
         if len(self.known) < self.keep:
-            self.known.update(fresh)
-        return np.array(got, dtype=np.int64)
+            self.known.update(zip(new, got[holes].tolist(), strict=True))
+        return got
 
     def features(self, texts: list[str]) -> np.ndarray:
         parts, out = [pieces(t) for t in texts], []
