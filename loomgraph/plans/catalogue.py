@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import access, evaluate, graph, link, markup, resources, statements
+from ..operators import access, evaluate, graph, link, markup, projection, resources, statements
 from ..operators.scratch import folder, stored
 from ..sources import readers
 from ..streaming import increment
@@ -320,6 +320,17 @@ def ward_clusters(s, d):
     return evaluate.ward(table(s, d, "embeddings"), "vec_id", "embedding", 200)
 
 
+@query("WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding,1)-1 AS i FROM embeddings), m AS (SELECT i, avg(x) AS mu FROM v GROUP BY i), c AS (SELECT vec_id, i, x-mu AS x FROM v JOIN m USING (i)) SELECT a.i::INT AS i, b.i::INT AS j, round(sum(a.x*b.x)/count(*),9) AS cov FROM c a JOIN c b ON a.vec_id=b.vec_id AND a.i<=b.i GROUP BY a.i, b.i")
+def vector_covariance(s, d):
+    rows = projection.usable(table(s, d, "embeddings"), "embedding")
+    return projection.covariance(rows, "embedding", projection.means(rows, "embedding")).select("i", "j", F.round("cov", 9).alias("cov"))
+
+
+@query(None)
+def vector_layout(s, d):
+    return projection.project(table(s, d, "embeddings").select("vec_id", "label", "embedding"), "embedding").drop("embedding")
+
+
 @query("SELECT a.label, round((a.m-b.m)/nullif(b.m,0),6) AS uplift FROM (SELECT label, avg(embedding[1]::DOUBLE) AS m FROM embeddings GROUP BY label) a JOIN (SELECT label, avg(embedding[2]::DOUBLE) AS m FROM embeddings GROUP BY label) b USING (label)")
 def metric_uplift(s, d):
     e = table(s, d, "embeddings").groupBy("label").agg(F.avg(F.get("embedding", F.lit(0)).cast("double")).alias("a"), F.avg(F.get("embedding", F.lit(1)).cast("double")).alias("b"))
