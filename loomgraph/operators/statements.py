@@ -178,10 +178,16 @@ def code_texts(texts: DataFrame, widgets: DataFrame, setters: DataFrame, strings
     """(scope, pos, id, type, value): what code shows on widgets.
 
     texts and widgets: what string_behind and widget_behind give; setters: scope, pos, callee (setText, setHint or
-    setTitle); strings: id and value, for a text that is a resource's number.
+    setTitle), and arg_type, the type of the first parameter; strings: id and value, for a text that is a resource's
+    number. An int is a resource's number and shows that resource or nothing; strings and characters are shown as
+    they are, even if they look like a number; other types show nothing. Without arg_type, or where it is null, a
+    resource's number stands for the resource and anything else for itself. Rows without a value are left out.
     """
-    wanted = setters.where(F.col("callee").isin("setText", "setHint", "setTitle"))
+    known = F.col("arg_type") if "arg_type" in setters.columns else F.lit(None).cast("string")
+    wanted = setters.where(F.col("callee").isin("setText", "setHint", "setTitle")).select(*scope, "pos", "callee", known.alias("arg_type"))
     both = wanted.join(texts.select(*scope, "pos", F.col("value").alias("said")), [*scope, "pos"]).join(widgets.select(*scope, "pos", F.col("value").alias("id")), [*scope, "pos"], "left")
     named = strings.groupBy(F.col("id").cast("string").alias("said")).agg(F.min("value").alias("resource"))
     kind = setter_attribute(F.col("callee")).alias("type")
-    return both.join(named, "said", "left").select(*scope, "pos", "id", kind, F.coalesce("resource", "said").alias("value")).where("value IS NOT NULL")
+    given = F.col("arg_type").contains("String") | F.col("arg_type").contains("Char")
+    value = F.when(F.col("arg_type").isNull(), F.coalesce("resource", "said")).when(F.col("arg_type") == "int", F.col("resource")).when(given, F.col("said"))
+    return both.join(named, "said", "left").select(*scope, "pos", "id", kind, value.alias("value")).where("value IS NOT NULL")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import code, isolate, markup
+from loomgraph.operators import code, isolate, markup, statements
 
 STMTS = "app_id string, class string, method string, pos long, kind string, lhs string, lhs_kind string, rhs string, rhs_kind string, callee string, receiver string, args array<string>, target long"
 
@@ -128,3 +128,14 @@ def test_broken_apps_are_left_out(spark):
         ("ok", "links", "ok", "2"),
         ("only", "links", "failed", "edge to no node: 1, edge without end: 1"),
     ]
+
+
+def test_texts_by_the_type_of_the_argument(spark):
+    said = [(1, "99", "int"), (2, "98", "int"), (3, "99", "java.lang.String"), (4, "hi", "java.lang.CharSequence"), (5, "hi", "android.text.Spanned"), (6, "99", None), (7, "hi", None), (8, None, "java.lang.String")]
+    made = lambda what, kind: spark.createDataFrame([("A", k, v) for k, v in what], f"class string, pos int, {kind} string")
+    texts, ids = made([(k, v) for k, v, _ in said], "value"), made([(k, "7") for k in range(1, 8)], "value")
+    setters = spark.createDataFrame([("A", k, "setTitle", t) for k, _, t in said] + [("A", 1, "setTag", "int")], "class string, pos int, callee string, arg_type string")
+    strings = spark.createDataFrame([(99, "named"), (99, "other"), (None, "x")], "id long, value string")
+    got = rows(statements.code_texts(texts, ids, setters, strings, ["class"]), "pos", "id", "type", "value")
+    assert got == [(1, "7", "title", "named"), (3, "7", "title", "99"), (4, "7", "title", "hi"), (6, "7", "title", "named"), (7, "7", "title", "hi")]
+    assert statements.code_texts(texts.limit(0), ids, setters, strings, ["class"]).count() == 0
