@@ -70,6 +70,7 @@ def axes(cov: DataFrame, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
 def project(vectors: DataFrame, vector: str, names: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """Rows whose vector takes part (see usable), with their coordinates on the leading axes in columns of these names.
 
+    vectors is read four times (length, means, covariance, result): store it first if it is dear to compute.
     Columns that have the names are replaced, all others stay; repeated rows come back as they are. With fewer
     components than names the further coordinates are 0; no usable rows give an empty table.
     """
