@@ -336,3 +336,22 @@ def test_comparison_of_encodings(spark):
     rows = [("a", 0, 0), ("a", 1, 1), ("b", 0, 1), ("b", 1, 1)]
     got = {r.encoding: (r.precision, r.recall) for r in evaluate.compare(spark.createDataFrame(rows, "encoding string, truth int, predicted int"), "encoding", "truth", "predicted").collect()}
     assert got == {"a": (1, 1), "b": (0.25, 0.5)}
+
+
+def test_nearest_of_a_block():
+    rng = np.random.default_rng(5)
+    far = np.round(rng.normal(size=(700, 8)), 1) + 1e4
+    c, ids = np.concatenate([far, np.repeat(far[:3], 60, axis=0)]), np.arange(880) * 3
+    row, at, d = evaluate._close(far[:600], c, ids, 10)
+    exact = np.round(np.sqrt(((c[None, :, :] - far[:600, None, :]) ** 2).sum(2)), 9)
+    order = np.stack([np.lexsort((ids, x))[:10] for x in exact])
+    assert (row == np.repeat(np.arange(600), 10)).all() and (at == order.ravel()).all() and (d == np.take_along_axis(exact, order, 1).ravel()).all()
+    assert [len(x) for x in evaluate._close(far[:4], c[:3], ids[:3], 10)] == [12, 12, 12]
+
+
+def test_votes_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(6)
+    v = np.round(rng.normal(size=(300, 4)), 1)
+    rows = spark.createDataFrame([(i, [float(x) for x in v[i % 290]], int(i % 4)) for i in range(300)], "id long, v array<float>, label int")
+    votes = lambda block: sorted(map(tuple, evaluate.knn(rows, "id", "v", "label", 7, block).collect()))
+    assert len(votes(8192)) == 300 and votes(8192) == votes(100) == votes(37)
