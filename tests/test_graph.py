@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import names
-from loomgraph.operators import access, evaluate, graph, link, statements
+from loomgraph.operators import access, closure, evaluate, graph, link, statements
 from loomgraph.sources import readers, writers
 from loomgraph.streaming import increment
 
@@ -355,3 +355,10 @@ def test_votes_do_not_depend_on_blocks(spark):
     rows = spark.createDataFrame([(i, [float(x) for x in v[i % 290]], int(i % 4)) for i in range(300)], "id long, v array<float>, label int")
     votes = lambda block: sorted(map(tuple, evaluate.knn(rows, "id", "v", "label", 7, block).collect()))
     assert len(votes(8192)) == 300 and votes(8192) == votes(100) == votes(37)
+
+
+def test_starts_of_a_circle_share_what_they_lead_to(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "x"), ("b", "x"), ("z", "a")], "src string, dst string")
+    r = closure.condensed(edges, spark.createDataFrame([("a",), ("b",), ("q",)], "node string"))
+    assert r.pairs.count() == 2 and [n for (n,) in r.leaves.select("node").collect()] == ["x"]
+    assert sorted(r.of.groupBy("part").count().select("count").collect()) == [(1,), (3,)]
