@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import names
-from loomgraph.operators import access, closure, evaluate, graph, link, statements
+from loomgraph.operators import access, closure, evaluate, graph, link, statements, within
 from loomgraph.sources import readers, writers
 from loomgraph.streaming import increment
 
@@ -362,3 +362,15 @@ def test_starts_of_a_circle_share_what_they_lead_to(spark):
     r = closure.condensed(edges, spark.createDataFrame([("a",), ("b",), ("q",)], "node string"))
     assert r.pairs.count() == 2 and [n for (n,) in r.leaves.select("node").collect()] == ["x"]
     assert sorted(r.of.groupBy("part").count().select("count").collect()) == [(1,), (3,)]
+
+
+def test_cases_of_graphs_that_share_a_bin_and_of_larger_ones(spark, monkeypatch):
+    g = spark.createDataFrame([(app, 0, e, a, b, 0) for app in "ab" for e in (3, 4) for a, b in [(1, 2), (1, 5), (2, 8), *((k, k + 1) for k in range(5, 25)), (25, 5)]], "app_id string, uid long, eid long, src long, dst long, type int")
+    cases = spark.createDataFrame([("a", 0, 3, 1, 2), ("b", 0, 4, 1, 5)], CASES)
+    want = {("a", 3, 1, 2), ("a", 3, 2, 8), *((app, e, a, b) for app, e in (("a", 4), ("b", 3)) for a, b in [(1, 2), (1, 5), (2, 8), *((k, k + 1) for k in range(5, 25)), (25, 5)]), *(("b", 4, a, b) for a, b in [(1, 5), (5, 6), (6, 7), (7, 8)])}
+    rounds = []
+    monkeypatch.setattr(within, "reached", lambda *a: rounds.append(1) or closure.reached(*a))
+    for largest, n in ((100_000, 0), (10, 1)):
+        monkeypatch.setattr(within, "LARGEST", largest)
+        assert {(r.app_id, r.eid, r.src, r.dst) for r in graph.prune_cases(g, cases).collect()} == want
+        assert len(rounds) == n
