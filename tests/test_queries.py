@@ -57,3 +57,8 @@ def test_superclasses_of_all_orders(spark):
     got = {tuple(r) for r in catalogue.queries()[name](spark, sf).select("class", "ancestor").collect()}
     assert got == set(con.execute(catalogue.oracle_sql()[name]).fetchall())
     assert {c for c, _ in got} == {k for (k,) in con.execute("SELECT o_orderkey FROM orders WHERE o_orderkey > 0").fetchall()}
+
+
+def test_edges_of_the_fixture_read_lines_once(spark):
+    files = catalogue.edges(spark, SF, callbacks=True).inputFiles()
+    assert files and not any("lineitem" in f for f in files)
