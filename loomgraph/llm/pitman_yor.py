@@ -1,4 +1,4 @@
-"""LM scoring by a hierarchical Pitman-Yor model of words after words, with seatings sampled by Gibbs moves.
+"""LM scoring by a hierarchical Pitman-Yor model of words after words, with seatings sampled dish by dish.
 
 Every previous word is a restaurant of its own; all share one parent, the restaurant without context, over a
 uniform base of the known words and one unknown. A dish (word) of a restaurant has customers c and tables t;
@@ -61,7 +61,7 @@ def _unzip_sorted(data: bytes) -> np.ndarray:
 
 
 def move(t: np.ndarray, c: np.ndarray, fresh: np.ndarray, rng: np.random.Generator, moves: int) -> np.ndarray:
-    """Gibbs moves: up to `moves` times, a random customer of each dish leaves and is seated again given all others.
+    """Gibbs moves, of which `draw` is the limit: up to `moves` times, a random customer of each dish leaves and is seated again given all others.
 
     Who sat alone takes the table along. A new table is taken with a chance in proportion to `fresh` (strength and
     discounted tables of the restaurant, times the dish's probability above), an old one in proportion to the
@@ -78,6 +78,40 @@ def move(t: np.ndarray, c: np.ndarray, fresh: np.ndarray, rng: np.random.Generat
     return t
 
 
+def draw(c: np.ndarray, fresh: np.ndarray, own: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each dish of c customers, by their chances given all other dishes: what moves without end lead to.
+
+    A new table beside t is taken in proportion to fresh + own * t, so that one table more is
+    4 (fresh + own t) (c - t) / (t (2c - t - 1)) times as likely. From the likeliest number on, each next one takes the
+    place of those before with its share of all weights so far, until weights are too small for double precision.
+    """
+    out = np.minimum(c, 1).astype(np.int64)
+    many = np.flatnonzero(c > 1)
+    c, fresh, own = (np.broadcast_to(x, len(out))[many].astype(float) for x in (c, fresh, own))
+    ratio = lambda i, t: 4 * (fresh[i] + own[i] * t) * (c[i] - t) / (t * (2 * c[i] - t - 1))
+    b = 2 * c - 1 + 4 * fresh - 4 * own * c
+    root = b * b - 16 * (1 - 4 * own) * fresh * c
+    below = b + np.sqrt(np.maximum(root, 0))
+    likeliest = np.where((root < 0) | (below <= 0), c, np.clip(np.floor(8 * fresh * c / np.where(below > 0, below, 1)) + 1, 1, c))
+    picked, total = likeliest.copy(), np.ones(len(c))
+    for up in (True, False):
+        i, t, w = np.arange(len(c)), likeliest.copy(), np.ones(len(c))
+        while True:
+            on = t < c[i] if up else t > 1
+            i, t, w = i[on], t[on] - (not up), w[on]
+            w = w * ratio(i, t) if up else w / ratio(i, t)
+            t = t + up
+            on = w > total[i] * 1e-17
+            i, t, w = i[on], t[on], w[on]
+            if not len(i):
+                break
+            total[i] += w
+            taken = rng.random(len(i)) * total[i] < w
+            picked[i[taken]] = t[taken]
+    out[many] = picked
+    return out
+
+
 def parent(c: np.ndarray, t: np.ndarray, c_all: float, t_all: float, known: float) -> np.ndarray:
     """Probabilities of words without context."""
     s = STRENGTH[0]
@@ -187,7 +221,7 @@ def _pick(table: pa.Table, kind: str) -> list[dict]:
     return sorted(table.filter(pc.equal(table.column("kind"), kind)).to_pylist(), key=lambda r: r["other"])
 
 
-def sweep(table: pa.Table, n: int, turn: int, known: float, c_all: float, t_all: float, moves: int) -> pa.Table:
+def sweep(table: pa.Table, n: int, turn: int, known: float, c_all: float, t_all: float) -> pa.Table:
     """One sweep over a bucket's seatings, given the totals of the last; the tables it ends with, and their sums."""
     (many,), (words,), (contexts,), sums = (_pick(table, k) for k in ("many", "words", "contexts", "sums"))
     bucket, rng = many["bucket"], np.random.default_rng((many["bucket"], turn))
@@ -199,9 +233,10 @@ def sweep(table: pa.Table, n: int, turn: int, known: float, c_all: float, t_all:
     t = _unzip(before[0]["a"]).astype(np.int64) if before else np.ones(len(c), np.int64)
     customers = singles + np.bincount(word, t, len(singles)).astype(np.int64)
     root = _unzip(before[0]["b"]).astype(np.int64) if before else (total > 0).astype(np.int64)
-    root = move(np.clip(root, customers > 0, customers), customers, np.full(len(root), (STRENGTH[0] + DISCOUNT * t_all) / (known + 1)), rng, moves)
+    root = np.clip(root, customers > 0, customers)
+    root = draw(customers, (STRENGTH[0] + DISCOUNT * np.maximum(t_all - root, 0)) / (known + 1), DISCOUNT / (known + 1), rng)
     above = parent(customers, root, c_all, t_all, known)
-    t = move(t, c, (STRENGTH[1] + DISCOUNT * tables_of[at]) * above[word], rng, moves)
+    t = draw(c, (STRENGTH[1] + DISCOUNT * (tables_of[at] - t)) * above[word], DISCOUNT * above[word], rng)
     customers = singles + np.bincount(word, t, len(singles)).astype(np.int64)
     root = np.clip(root, customers > 0, customers)
     rows = [("tables", bucket, turn, _zip(t), _zip(root), None, float(customers.sum()), float(root.sum()))]
@@ -226,7 +261,7 @@ def answer(table: pa.Table, known: float, totals: dict[int, tuple[float, float]]
     return _table([("reply", r["bucket"], r["other"], p[_unzip_sorted(r["a"]).astype(np.int64)].astype("<f4").tobytes(), _zip(total[_unzip_sorted(r["b"]).astype(np.int64)])) for r in _pick(table, "slice")])
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, slice_bytes: int = 5_000_000, bucket_bytes: int = 12_000_000, sweeps: int = 3, keep: int = 2, moves: int = 6) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, slice_bytes: int = 5_000_000, bucket_bytes: int = 12_000_000, sweeps: int = 3, keep: int = 2) -> DataFrame:
     """Trains on the documents whose crc32(key as text) mod folds is not 0 and scores all of them.
 
     Columns: key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). Words are runs
@@ -272,7 +307,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     for k in range(1, sweeps + 1):
         state = of(model, "many", "words", "contexts").unionByName(sums)
         state = state if now is None else state.unionByName(of(now, "tables"))
-        now = textops.stored(per(state, "bucket", sweep, n, k, known, c_all, t_all, moves), f"{home}/tables{k}")
+        now = textops.stored(per(state, "bucket", sweep, n, k, known, c_all, t_all), f"{home}/tables{k}")
         sums = textops.stored(per(of(now, "totals"), "other", add_up), f"{home}/sums{k}")
         c_all, t_all = of(now, "tables").agg(F.coalesce(F.sum("x"), F.lit(0.0)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
         if k > sweeps - keep:

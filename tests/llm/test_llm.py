@@ -297,6 +297,24 @@ def test_moves_keep_the_share_of_tables():
     assert np.abs(np.bincount(t, minlength=4)[1:] / n - ways / ways.sum()).max() < 0.01
 
 
+def test_tables_are_drawn_as_after_all_moves():
+    """Against the chances of each number of tables, by the numbers of seatings, and against many moves."""
+    rng, n, d = np.random.default_rng(6), 40000, pitman_yor.DISCOUNT
+    for c, fresh, own in ((3, 0.7, 0.0), (40, 2.5, 0.0), (40, 0.3, 0.4), (7, 30.0, 0.2), (2, 1e-6, 0.0)):
+        ways = {1: 1.0}
+        for k in range(1, c):  # the next customer sits at one of t tables or takes a new one
+            ways = {t: ways.get(t, 0) * (k - d * t) + ways.get(t - 1, 0) * (fresh + own * (t - 1)) for t in range(1, k + 2)}
+        want = np.array([0, *ways.values()]) / sum(ways.values())
+        got = np.bincount(pitman_yor.draw(np.full(n, c), np.full(n, fresh), np.full(n, own), rng), minlength=c + 1) / n
+        assert np.abs(got - want).max() < 0.012
+    t = pitman_yor.move(np.ones(n, np.int64), np.full(n, 40), np.full(n, 2.5), rng, 39)
+    for _ in range(20):
+        t = pitman_yor.move(t, np.full(n, 40), np.full(n, 2.5), rng, 39)
+    assert abs(t.mean() - pitman_yor.draw(np.full(n, 40), np.full(n, 2.5), np.zeros(n), rng).mean()) < 0.08
+    large = pitman_yor.draw(np.array([0, 1, 10**8]), np.array([1.0, 1.0, 5e4]), np.zeros(3), rng)
+    assert large[:2].tolist() == [0, 1] and 9.5e4 < large[2] < 1.05e5
+
+
 def test_chat_round_trip(spark):
     turns = [(1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (1, 1, "assistant", "a\\s<\\|"), (1, 2, "assistant", None), (1, 3, None, "x"), (2, None, "ro\nle<|", ""), (None, 0, "assistant", "é\n"), (1, 4, "assistant", "<|im_sep|>\\")]
     chats = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
