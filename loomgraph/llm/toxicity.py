@@ -87,6 +87,7 @@ class Compressor:
 
         content = zstandard.ZstdCompressionDict(dictionary + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         params = zstandard.ZstdCompressionParameters.from_level(6, dict_size=len(dictionary) + len(FRAME), min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+        content.precompute_compress(compression_params=params)  # once, else for every window; the lengths are the same
         self.compress = zstandard.ZstdCompressor(dict_data=content, compression_params=params).multi_compress_to_buffer
 
     def lengths(self, batches: list[Any]) -> np.ndarray:
