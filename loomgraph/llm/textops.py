@@ -261,8 +261,9 @@ def cached(owner: tuple, make):
 
 
 def release() -> None:
-    """Lets go of the table that earlier tasks left in this Python worker."""
+    """Lets go of the table that earlier tasks left in this Python worker, and of memory that Arrow holds unused."""
     _CACHE[:] = [None, None]
+    pa.default_memory_pool().release_unused()
 
 
 def encoder(path: str, spaced: bool) -> Encoder:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import repeat
 from typing import Any
 
 import numpy as np
@@ -19,8 +18,8 @@ from . import textops
 FRAME = b" ~0123456789ABCDEF~QWERTYUIOP~"
 LEVELS = (2, 3, 4, 5, 6, 8)
 LONGEST = 24
-#: No window saves so much: stands for words that are not kept.
-UNKNOWN = np.iinfo(np.int64).min
+#: No window saves so much: stands for windows that are not kept.
+UNKNOWN = np.iinfo(np.int16).min
 #: (words, step) of the windows that texts are scored by: every word, and every phrase of two words whole in one of three.
 SHAPES = ((1, 1), (3, 2))
 
@@ -86,7 +85,7 @@ class Compressor:
         import zstandard
 
         content = zstandard.ZstdCompressionDict(dictionary + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        params = zstandard.ZstdCompressionParameters.from_level(6, dict_size=len(dictionary) + len(FRAME), min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+        params = zstandard.ZstdCompressionParameters.from_level(6, source_size=1000, dict_size=len(dictionary) + len(FRAME), min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
         content.precompute_compress(compression_params=params)  # once, else for every window; the lengths are the same
         self.compress = zstandard.ZstdCompressor(dict_data=content, compression_params=params).multi_compress_to_buffer
 
@@ -134,32 +133,43 @@ def features(saved: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Scorer:
-    """Features of texts, those of each shape of windows side by side; words are compressed once and kept for later slices, phrases once a slice."""
+class Table:
+    """Savings of the windows met last by their hash of 64 bits, ten bytes each: in as many places as the power of two from `keep` on, new ones instead of older."""
+
+    def __init__(self, keep: int):
+        n = 1 << (keep - 1).bit_length()
+        self.keys, self.values, self.mask = np.zeros(n, np.int64), np.full(n, UNKNOWN, np.int16), np.int64(n - 1)
+
+    def savings(self, ordinary: Compressor, toxic: Compressor, some: list[str]) -> np.ndarray:
+        """Like `savings`; windows in the table are not compressed again, nor are equal ones."""
+        hashes = np.fromiter(map(hash, some), np.int64, len(some))
+        at = hashes & self.mask
+        out = np.where(self.keys[at] == hashes, self.values[at], UNKNOWN).astype(np.int64)
+        holes = np.flatnonzero(out == UNKNOWN)
+        new, first, back = np.unique(hashes[holes], return_index=True, return_inverse=True)
+        data = packed(list(map(some.__getitem__, holes[first].tolist())))
+        saved = ordinary.lengths(data) - toxic.lengths(data)
+        out[holes] = saved[back]
+        self.keys[new & self.mask], self.values[new & self.mask] = new, saved
+        return out
 
-    def __init__(self, model: ToxicityModel, keep: int = 800_000):
-        self.plain, self.toxic, self.keep = Compressor(model.ordinary), Compressor(model.toxic), keep
-        self.shapes, self.known = model.shapes, textops.cached(("toxicity", model.ordinary, model.toxic), dict)
 
-    def _words(self, flat: list[str]) -> np.ndarray:
-        got = np.fromiter(map(self.known.get, flat, repeat(UNKNOWN)), np.int64, len(flat))
-        holes = np.flatnonzero(got == UNKNOWN)
-        new = list(map(flat.__getitem__, holes.tolist()))
-        got[holes] = savings(self.plain, self.toxic, new)
-        if len(self.known) < self.keep:
-            self.known.update(zip(new, got[holes].tolist(), strict=True))
-        return got
+class _Scorer:
+    """Features of texts, those of each shape of windows side by side; tables of words and of phrases serve later slices and tasks."""
+
+    def __init__(self, model: ToxicityModel, keep: int = 1 << 18):
+        self.plain, self.toxic, self.shapes = Compressor(model.ordinary), Compressor(model.toxic), model.shapes
+        self.tables = textops.cached(("toxicity", model.ordinary, model.toxic, model.shapes, keep), lambda: [Table(keep) for _ in model.shapes])
 
     def features(self, texts: list[str]) -> np.ndarray:
         parts, out = [pieces(t) for t in texts], []
-        for width, step in self.shapes:
+        for table, (width, step) in zip(self.tables, self.shapes, strict=True):
             flat: list[str] = []
             ends = [0]
             for p in parts:
                 flat += joined(p, width, step)
                 ends.append(len(flat))
-            saved = self._words(flat) if width == 1 else savings(self.plain, self.toxic, flat)
-            out.append(features(saved, np.diff(np.array(ends, dtype=np.int64))))
+            out.append(features(table.savings(self.plain, self.toxic, flat), np.diff(np.array(ends, dtype=np.int64))))
         return np.hstack(out)
 
 

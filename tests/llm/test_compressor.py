@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import zstandard
 
 from loomgraph.llm import toxicity
@@ -36,3 +37,14 @@ def test_small_batches_do_not_prepare_the_dictionary_again():
             best = min(best, (time.process_time_ns() - began) / 1e9)
         took.append(best)
     assert took[0] * 2 < took[1]
+
+
+def test_tables_of_savings_are_bounded_and_exact():
+    words = ["".join(chr(97 + (k * p) % 26) for p in (3, 5, 7, 11, 17)) + str(k) for k in range(600)]
+    some = [w for k in range(5) for w in words[k * 40 : k * 40 + 300]] + words
+    model = toxicity.ToxicityModel(" ".join(words[::3]).encode(), " ".join(words[::5]).encode(), (), 0.0)
+    plain, toxic = toxicity.Compressor(model.ordinary), toxicity.Compressor(model.toxic)
+    table, want = toxicity.Table(50), toxicity.savings(plain, toxic, some)
+    for part in np.array_split(np.arange(len(some)), 7):
+        assert table.savings(plain, toxic, [some[k] for k in part.tolist()]).tolist() == want[part].tolist()
+    assert len(table.keys) == len(table.values) == 64
