@@ -153,7 +153,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     asked = fit(queries).where(F.size("v") == dim).dropDuplicates(["id"])
     n_blocks = max(1, -(-asked.count() // query_rows))
     blocks = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("qs"))
-    pairs = blocks.select("qs", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard")).join(index, "shard")
+    # Spark reckons the blocks' size before they are repeated for each shard, and would collect them all in the driver.
+    pairs = blocks.select("qs", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard")).join(index.hint("merge"), "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

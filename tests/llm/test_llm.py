@@ -463,6 +463,15 @@ def test_nearest_neighbours(spark):
     assert vamana.search(table.where("false"), table).count() == 0
 
 
+def test_queries_repeated_for_each_shard_are_not_sent_to_the_driver(spark):
+    rng = np.random.default_rng(5)
+    table = spark.createDataFrame([(i, [float(x) for x in rng.normal(0, 1, 8)]) for i in range(400)], "vec_id long, embedding array<double>")
+    found = vamana.search(table, table.where("vec_id % 20 = 0"), shard_rows=16, query_rows=4)
+    assert found.count() == 200
+    plan = found._jdf.queryExecution()
+    assert "Broadcast" not in plan.executedPlan().toString() and "SortMergeJoin" in plan.executedPlan().toString()
+
+
 def test_personal_data(spark, odd, none):
     text = "é mail a@b.co_x@d.e, ip 10.0.0.1.2 and 300.1.1.1; 4111 1111 1111 1111 call +44 20 7946 0958, 1-2"
     digits = "1" * 30000 + " a@" + "b.c" * 20000
