@@ -374,3 +374,33 @@ def test_cases_of_graphs_that_share_a_bin_and_of_larger_ones(spark, monkeypatch)
         monkeypatch.setattr(within, "LARGEST", largest)
         assert {(r.app_id, r.eid, r.src, r.dst) for r in graph.prune_cases(g, cases).collect()} == want
         assert len(rounds) == n
+
+
+def test_laplacian_of_graphs_cut_by_batches(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g % 7, g, int(a), int(b)) for g in range(300) for a, b in rng.integers(0, 3 + g % 11, (1 + g % 40, 2))]
+    table = spark.createDataFrame(rows, "app long, g long, src long, dst long")
+    got = {(r.app, r.g): (r.n_nodes, r.eigen_mean) for r in evaluate.spectra(table, ["app", "g"], rows=64).collect()}
+    for g in range(300):
+        pairs = [(a, b) for _, h, a, b in rows if h == g]
+        ids = sorted({x for p in pairs for x in p})
+        a = np.zeros((len(ids), len(ids)))
+        for x, y in pairs:
+            a[ids.index(x), ids.index(y)] = a[ids.index(y), ids.index(x)] = 1
+        d = 1 / np.sqrt(a.sum(1))
+        want = np.linalg.eigvalsh(np.eye(len(ids)) - d[:, None] * a * d[None, :])[:2].mean()
+        assert got[g % 7, g] == (len(ids), pytest.approx(want, abs=1e-12))
+    assert len(got) == 300
+    assert "FlatMapGroups" not in evaluate.laplacian(table, ["app", "g"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_of_graphs_are_filled_in_by_arrow(spark):
+    rows = [("a", g, 1, 0, k, 0) for g in range(3) for k in range(1, 3 + g)]
+    g = spark.createDataFrame(rows, "app_id string, uid long, eid long, src long, dst long, type int")
+    ops = spark.createDataFrame([("a", 0, [5, 5, 300]), ("a", 1, [5, 2]), ("a", 1, [2]), ("a", 3, [-1])], "app_id string, node_id long, ops array<int>")
+    found = evaluate.uhg_vectors(g, ops, names.KEYS)
+    for r in found.collect():
+        n, held = r.uid + 3, {i: x for i, x in enumerate(r.vec[1:]) if x}
+        p = {5: 2 / n, 2: 1 / n}
+        assert len(r.vec) == 529 and held == pytest.approx(p | {264 + o: (x * (1 - x)) ** 0.5 for o, x in p.items()})
+    assert found.count() == 3 and "try_element_at" not in found._jdf.queryExecution().executedPlan().toString()
