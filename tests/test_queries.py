@@ -62,3 +62,10 @@ def test_superclasses_of_all_orders(spark):
 def test_edges_of_the_fixture_read_lines_once(spark):
     files = catalogue.edges(spark, SF, callbacks=True).inputFiles()
     assert files and not any("lineitem" in f for f in files)
+
+
+def test_opcode_stats_read_vectors_once(spark):
+    from loomgraph.plans import apps
+
+    plan = apps.uhg_opcode_stats(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1
