@@ -404,3 +404,29 @@ def test_vectors_of_graphs_are_filled_in_by_arrow(spark):
         p = {5: 2 / n, 2: 1 / n}
         assert len(r.vec) == 529 and held == pytest.approx(p | {264 + o: (x * (1 - x)) ** 0.5 for o, x in p.items()})
     assert found.count() == 3 and "try_element_at" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("largest", [0, 12, 10_000])
+def test_cases_of_whole_graphs_are_those_by_rounds(spark, monkeypatch, largest):
+    rng = np.random.default_rng(9)
+    rows = [("a", g % 5, 100 + g, int(a), int(b), int(t)) for g in range(60) for a, b, t in zip(rng.integers(0, 12, 5 + g % 15), rng.integers(0, 12, 5 + g % 15), rng.choice([0, 0, 0, 3, 4], 5 + g % 15), strict=True)]
+    cases = [("a", g % 5, 100 + g, int(a), int(b)) for g in range(0, 60, 2) for a, b in rng.integers(0, 12, (2, 2))]
+    table, cases = spark.createDataFrame(rows, "app_id string, uid long, eid long, src long, dst long, type int"), spark.createDataFrame(cases, CASES)
+    wanted = sorted(map(tuple, graph._without_cases_by_rounds(table, cases.distinct()).collect()))
+    monkeypatch.setattr(within, "LARGEST", largest)
+    found = graph.prune_cases(table, cases)
+    assert sorted(map(tuple, found.select(*table.columns).collect())) == wanted and 0 < len(wanted) < len(rows)
+    if largest == 10_000:
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_callees_get_their_names_after_callers_are_met(spark):
+    from loomgraph.operators import reduce
+
+    nodes = spark.createDataFrame([("a", i, f"<x.C: void {n}()>") for i, n in enumerate(("m", "k", "l"))], "app_id string, node_id long, name string")
+    g = spark.createDataFrame([("a", 9, 0, 0, 1, 0), ("a", 9, 0, 0, 2, 0), ("a", 9, 0, 1, 2, 0)], "app_id string, uid long, eid long, src long, dst long, type int")
+    entries = spark.createDataFrame([("a", 9, 0, "<x.C: void m()>", "<y.D: void k()>")], "app_id string, uid long, eid long, caller string, callee string")
+    cases = reduce.resolve_cases(entries, nodes, g)[0]
+    assert [tuple(r) for r in cases.collect()] == [("a", 9, 0, 0, 1)]
+    (line,) = (x for x in cases._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Contains(name" in x)
+    assert "dst#" in line and "uid#" not in line
