@@ -430,3 +430,19 @@ def test_callees_get_their_names_after_callers_are_met(spark):
     assert [tuple(r) for r in cases.collect()] == [("a", 9, 0, 0, 1)]
     (line,) = (x for x in cases._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Contains(name" in x)
     assert "dst#" in line and "uid#" not in line
+
+
+def test_cheapest_union_of_a_block(spark):
+    rng = np.random.default_rng(8)
+    c = np.concatenate([np.round(rng.normal(size=(300, 6)), 1) + 1e3, np.zeros((1, 6))])
+    c[200:260] = c[:60]
+    ids, size = rng.permutation(301), rng.integers(1, 9, 301).astype(float)
+    best, height = evaluate._cheapest(c[:280], c, size[:280], size, ids[:280], ids)
+    cost = np.stack([((c - x) ** 2).sum(1) for x in c[:280]]) * (size[:280, None] * size[None, :] / (size[:280, None] + size[None, :]))
+    cost[np.arange(280), np.arange(280)] = np.inf
+    want = np.array([np.lexsort((ids, x))[0] for x in cost])
+    assert (best == want).all() and (height == cost[np.arange(280), want]).all()
+    assert np.isinf(evaluate._cheapest(c[:1], c[:1], size[:1], size[:1], ids[:1], ids[:1])[1]).all()
+    rows = spark.createDataFrame([(i, 1.0, [float(x) for x in v]) for i, v in enumerate(c)], "id long, size double, centre array<double>")
+    found = evaluate._nearest(rows, 50)
+    assert found.count() == 301 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
